@@ -9,6 +9,13 @@ from .common import table
 from .tokenizer import public_path
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import hex_fingerprint, near_duplicates
+
+    found = near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", hex_fingerprint("fp").alias("fingerprint"), "component_id")
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bpe import digests, encode
 
@@ -23,6 +30,6 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
 
 
-QUERIES = {f.__name__: f for f in (op2_bpe, op3_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_bpe, op3_token_counts)}
 
 ORACLE_SQL: dict[str, str] = {}
