@@ -6,23 +6,31 @@ import hashlib
 from collections.abc import Callable
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import lexicon
-from .common import pack_ints, unpack_ints
+from .common import arrow_schema, batch, pack_ints, unpack_ints
 from .tokenizer import load, splitter
 
 
-def encode(docs: DataFrame, tokenizer_path: str) -> DataFrame:
-    """``(doc_id, ids)``, one row for each row of ``docs(doc_id, text, ...)``.
+def piece_table(tokenizer_path: str) -> np.ndarray:
+    """The id-to-piece table: the piece of each id; its size is fixed by the tokenizer's file."""
+    tok = load(tokenizer_path)
+    pieces = np.full(tok.get_vocab_size(with_added_tokens=True), None, object)
+    for piece, i in tok.get_vocab(with_added_tokens=True).items():
+        pieces[i] = piece
+    return pieces
 
-    Texts are cut into words, each distinct word is encoded once, and its ids
-    go back to every position that holds it. A null or empty text has an empty
-    array; a null ``doc_id`` and repeated rows stay as they are; other columns
-    are not used and not returned.
-    """
+
+def joined(pieces: np.ndarray, ids: np.ndarray) -> str:
+    """The pieces that ``ids`` meet in the table, as the library's decode puts them together."""
+    return " ".join(pieces[ids].tolist())
+
+
+def _encoded(docs: DataFrame, tokenizer_path: str, row: Callable[[], Callable[[int | None, np.ndarray], tuple]], out: str) -> DataFrame:
+    """``row()`` is called once a chunk and gives the function from a document's id and token ids to its row."""
     documents, lexicons = lexicon.split_chunks(docs, lambda: splitter(tokenizer_path), frequencies=False)
 
     def resolver():
@@ -33,79 +41,64 @@ def encode(docs: DataFrame, tokenizer_path: str) -> DataFrame:
         lengths = np.fromiter(map(len, answers), np.uint32, len(answers))
         return pack_ints(np.concatenate([[len(answers)], lengths, *answers]))
 
-    def unpack(blob: bytes) -> list[tuple[np.ndarray, np.ndarray]]:
-        v = unpack_ints(blob)
-        return [(v[1 : v[0] + 1], v[v[0] + 1 :])]
-
-    def spread(rows: pa.Table, answers: pa.Table) -> pa.Table:
-        at, got = lexicon.gathered(answers, unpack)
-        lengths, starts = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
-        flat = np.concatenate([x[1] for x in got]) if got else np.zeros(0, np.uint32)
-        if len(at):
-            given = np.concatenate([x[0] for x in got]).astype(np.int64)
-            lengths[at], starts[at] = given, np.cumsum(given) - given
-        out, ends = [], [0]
-        for blob in rows.column("payload").to_pylist():
-            words = unpack_ints(blob)
+    def finish(order: np.ndarray, parts: list[bytes]):
+        given = [(v[1 : v[0] + 1], v[v[0] + 1 :]) for v in map(unpack_ints, parts)]
+        lengths, starts, flat = np.zeros(len(order), np.int64), np.zeros(len(order), np.int64), np.zeros(0, np.uint32)
+        if given:
+            n, flat = np.concatenate([x[0] for x in given]).astype(np.int64), np.concatenate([x[1] for x in given])
+            lengths[order], starts[order] = n, np.cumsum(n) - n
+        make = row()
+
+        def each(doc_id, _, words, __):
             n = lengths[words]
             inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            out.append(flat[np.repeat(starts[words], n) + inner].astype(np.int32))
-            ends.append(ends[-1] + len(out[-1]))
-        ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(out) if out else [], pa.int32()))
-        return pa.table({"doc_id": rows.column("doc_id"), "ids": ids})
+            return make(doc_id, flat[np.repeat(starts[words], n) + inner])
 
-    return lexicon.rejoin(documents, lexicon.resolve(lexicons, resolver, pack), spread, "doc_id long, ids array<int>")
+        return each
 
+    return lexicon.rejoin(documents, lexicon.resolve(lexicons, resolver, pack), finish, out)
 
-def piece_table(tokenizer_path: str) -> np.ndarray:
-    """The id-to-piece table: the piece of each id; its size is fixed by the tokenizer's file."""
-    tok = load(tokenizer_path)
-    pieces = np.full(tok.get_vocab_size(with_added_tokens=True), None, object)
-    for piece, i in tok.get_vocab(with_added_tokens=True).items():
-        pieces[i] = piece
-    return pieces
-
-
-def _each_decoded(tokenizer_path: str, schema: str, row: Callable[[np.ndarray, str], tuple]):
-    """Ids joined to their pieces a batch at a time; ``row`` makes what is returned beside the id."""
-    from pyspark.sql import types as T
-
-    from .common import arrow_schema, batch
-
-    out = arrow_schema(T._parse_datatype_string(schema))
 
-    def decode_batches(batches):
-        pieces = piece_table(tokenizer_path)
-        for b in batches:
-            ids, ends = b.column(1), b.column(1).offsets.to_numpy() if len(b) else [0]
-            flat = ids.values.to_numpy(zero_copy_only=False) if len(b) else []
-            rows = []
-            for i in range(len(b)):
-                own = flat[ends[i] : ends[i + 1]] if ids[i].is_valid else flat[:0]
-                joined = pieces[own]
-                rows.append((b.column(0)[i].as_py(), *row(own, " ".join(joined.tolist()))))
-            if rows:
-                yield batch(out, *zip(*rows))
+def encode(docs: DataFrame, tokenizer_path: str) -> DataFrame:
+    """``(doc_id, ids)``, one row for each row of ``docs(doc_id, text, ...)``.
 
-    return decode_batches
+    Texts are cut into words, each distinct word is encoded once, and its ids
+    go back to every position that holds it. A null or empty text has an empty
+    array; a null ``doc_id`` and repeated rows stay as they are; other columns
+    are not used and not returned.
+    """
+    return _encoded(docs, tokenizer_path, lambda: lambda doc_id, ids: (doc_id, ids.astype(np.int32)), "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, tokenizer_path: str) -> DataFrame:
-    """``(doc_id, text)`` of ``encoded(doc_id, ids)``, as the library's decode without skipping special tokens.
+    """``(doc_id, text)`` of ``encoded(doc_id, ids, ...)``, as the library's decode without skipping special tokens.
 
     The ids meet the id-to-piece table in a join on the map side: the table is
     as large as the vocabulary, whatever the data. Null ids give an empty text.
     An id that is not in the vocabulary fails.
     """
     schema = "doc_id long, text string"
-    return encoded.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("ids").cast("array<int>").alias("ids")).mapInArrow(_each_decoded(tokenizer_path, schema, lambda ids, text: (text,)), schema)
+    out = arrow_schema(T._parse_datatype_string(schema))
 
+    def scan(batches):
+        pieces = piece_table(tokenizer_path)
+        for b in batches:
+            yield batch(out, b.column(0), [joined(pieces, np.array(ids.as_py() or [], np.int64)) for ids in b.column(1)])
 
-def digests(encoded: DataFrame, tokenizer_path: str) -> DataFrame:
-    """``(doc_id, n_tokens, ids_sha256, decoded_sha256)`` of ``encoded(doc_id, ids)``."""
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    return encoded.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("ids").cast("array<int>").alias("ids")).mapInArrow(scan, schema)
 
-    def row(ids: np.ndarray, text: str) -> tuple:
-        return len(ids), hashlib.sha256(np.asarray(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()
 
-    return encoded.select("doc_id", "ids").mapInArrow(_each_decoded(tokenizer_path, schema, row), schema)
+def round_trip(docs: DataFrame, tokenizer_path: str) -> DataFrame:
+    """``(doc_id, n_tokens, ids_sha256, decoded_sha256)``: texts encoded as :func:`encode` does and decoded as :func:`decode` does.
+
+    The hashes are those of the ids as little-endian unsigned 32-bit integers
+    and of the decoded text in UTF-8. Both steps run where a chunk's ids are put
+    together, so that the ids of the corpus are never shuffled.
+    """
+
+    def row():
+        pieces = piece_table(tokenizer_path)
+        sha = lambda x: hashlib.sha256(x).hexdigest()
+        return lambda doc_id, ids: (doc_id, len(ids), sha(ids.astype("<u4").tobytes()), sha(joined(pieces, ids).encode()))
+
+    return _encoded(docs, tokenizer_path, row, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -36,7 +36,7 @@ def pack_strings(words: list[str]) -> bytes:
     """Lengths, then the UTF-8 bytes, compressed; the inverse of :func:`unpack_strings`."""
     raw = [w.encode() for w in words]
     lengths = np.fromiter(map(len, raw), np.uint32, len(raw))
-    return zstandard.compress(np.uint32(len(raw)).tobytes() + lengths.tobytes() + b"".join(raw), 1)
+    return zstandard.compress(np.uint32(len(raw)).tobytes() + lengths.tobytes() + b"".join(raw), 9)
 
 
 def unpack_strings(blob: bytes) -> list[str]:

@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import zlib
 from collections import defaultdict
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,98 +23,129 @@ from pyspark.sql import types as T
 
 from .common import arrow_schema, durable, pack_ints, pack_strings, shuffle_width, unpack_ints, unpack_strings
 
-#: A chunk ends with the document that reaches one of these.
-CHUNK_WORDS, CHUNK_DISTINCT = 4_000_000, 400_000
-
-SCHEMA = "chunk long, bucket int, doc_id long, n_bytes long, payload binary, counts binary"
+#: A chunk ends with the document that reaches one of these; a row holds documents until one reaches the third.
+CHUNK_WORDS, CHUNK_DISTINCT, ROW_WORDS = 4_000_000, 400_000, 100_000
+
+#: bucket: -1 for documents, -2 for a chunk's order, else the bucket of a part of the lexicon.
+SCHEMA = "chunk long, bucket int, doc_ids array<long>, n_bytes array<long>, lengths binary, words binary, counts binary"
+
+
+class Chunk:
+    """Documents under way, and their lexicon."""
+
+    def __init__(self, number: int, buckets: int, frequencies: bool, limits: tuple[int, int, int]):
+        self.number, self.buckets, self.frequencies, self.limits = number, buckets, frequencies, limits
+        self.lexicon: dict = defaultdict()
+        self.lexicon.default_factory = self.lexicon.__len__
+        self.docs: list[tuple] = []
+        self.words = 0
+
+    def add(self, doc_id: int | None, n_bytes: int, words: list[str]) -> bool:
+        """Takes a document; whether the chunk is full now."""
+        at = np.fromiter(map(self.lexicon.__getitem__, words), np.uint32, len(words))
+        self.words += len(words)
+        self.docs.append((doc_id, n_bytes, *(np.unique(at, return_counts=True) if self.frequencies else (at, None))))
+        return self.words >= self.limits[0] or len(self.lexicon) >= self.limits[1]
+
+    def rows(self) -> Iterator[tuple]:
+        """Documents first; words are numbered anew, the most frequent first."""
+        total = np.zeros(len(self.lexicon), np.int64)
+        for _, _, at, n in self.docs:
+            if n is None:
+                total += np.bincount(at, minlength=len(total))
+            else:
+                total[at] += n
+        rank = np.empty(len(total), np.uint32)
+        rank[np.argsort(-total, kind="stable")] = np.arange(len(total))
+        run: list[tuple] = []
+        for i, d in enumerate(self.docs):
+            run.append(d)
+            if i + 1 == len(self.docs) or sum(len(x[2]) for x in run) >= self.limits[2] or len(run) >= 200:
+                counts = pack_ints(np.concatenate([x[3] for x in run])) if self.frequencies else None
+                yield self.number, -1, [x[0] for x in run], [x[1] for x in run], pack_ints(np.array([len(x[2]) for x in run])), pack_ints(rank[np.concatenate([x[2] for x in run])]), counts
+                run = []
+        dealt = defaultdict(list)
+        for w in self.lexicon:
+            dealt[zlib.crc32(w.encode()) % self.buckets].append(w)
+        order = [np.zeros(0, np.uint32)]
+        for b, words in sorted(dealt.items()):
+            words.sort()
+            order.append(rank[np.fromiter(map(self.lexicon.__getitem__, words), np.int64, len(words))])
+            yield self.number, b, None, None, None, pack_strings(words), None
+        yield self.number, -2, None, None, None, pack_ints(np.concatenate(order)), None
 
 
 def split_chunks(df: DataFrame, splitter: Callable[[], Callable[[str], list[str]]], frequencies: bool) -> tuple[DataFrame, DataFrame]:
-    """``df(doc_id, text)`` as documents ``(chunk, doc_id, n_bytes, payload, counts)`` and lexicons ``(chunk, bucket, payload)``.
+    """``df(doc_id, text)`` as rows of documents and as parts of lexicons.
 
     ``splitter()`` is called once a task and gives the function that cuts a text
     into words. With ``frequencies`` a document holds its distinct positions and
     how often each occurs, else its positions in order. A null text is empty.
     """
-    buckets = shuffle_width(df.sparkSession)
-
+    buckets, limits = shuffle_width(df.sparkSession), (CHUNK_WORDS, CHUNK_DISTINCT, ROW_WORDS)
     out = arrow_schema(T._parse_datatype_string(SCHEMA))
 
     def scan(batches):
-        split = splitter()
-        first, k = TaskContext.get().partitionId() << 32, 0
-        lexicon: dict = defaultdict()
-        lexicon.default_factory = lexicon.__len__
-        seen = 0
-        rows: list[tuple] = []
-
-        def lexicon_rows():
-            dealt = defaultdict(list)
-            for w in lexicon:
-                dealt[zlib.crc32(w.encode()) % buckets].append(w)
-            for b, words in sorted(dealt.items()):
-                words.sort()
-                at = np.fromiter((lexicon[w] for w in words), np.uint32, len(words))
-                rows.append((first + k, b, None, None, pack_strings(words), pack_ints(at)))
-
-        def flush():
-            got = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), out)], schema=out)
-            rows.clear()
-            return got
+        split, part, k = splitter(), TaskContext.get().partitionId() << 32, 0
+
+        def made(rows):
+            for r in rows:
+                yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(r, out)], schema=out)
 
+        chunk = Chunk(part, buckets, frequencies, limits)
         for b in batches:
             for doc_id, text, n_bytes in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist()):
-                words = split(text.as_py() or "")
-                at = np.fromiter(map(lexicon.__getitem__, words), np.uint32, len(words))
-                if frequencies:
-                    at, n = np.unique(at, return_counts=True)
-                    rows.append((first + k, -1, doc_id, n_bytes, pack_ints(np.diff(at, prepend=0)), pack_ints(n)))
-                else:
-                    rows.append((first + k, -1, doc_id, n_bytes, pack_ints(at), None))
-                seen += len(words)
-                if seen >= CHUNK_WORDS or len(lexicon) >= CHUNK_DISTINCT:
-                    lexicon_rows()
-                    lexicon.clear()
-                    seen, k = 0, k + 1
-                if len(rows) >= 2000:
-                    yield flush()
-        lexicon_rows()
-        if rows:
-            yield flush()
+                if chunk.add(doc_id, n_bytes, split(text.as_py() or "")):
+                    yield from made(chunk.rows())
+                    k += 1
+                    chunk = Chunk(part + k, buckets, frequencies, limits)
+        if chunk.docs:
+            yield from made(chunk.rows())
 
     source = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
     made = durable(source.mapInArrow(scan, SCHEMA))
-    return made.where("bucket < 0").select("chunk", "doc_id", "n_bytes", "payload", "counts"), made.where("bucket >= 0").select("chunk", "bucket", "payload", "counts")
+    return made.where("bucket < 0").drop("bucket"), made.where("bucket >= 0").select("chunk", "bucket", "words")
 
 
 def resolve(lexicons: DataFrame, resolver: Callable[[], Callable[[list[str]], list]], pack: Callable[[list], bytes]) -> DataFrame:
-    """Each distinct word of all chunks resolved once; ``(chunk, at, answers)`` with the answers of ``at`` in order.
+    """``(chunk, bucket, answers)``, with each distinct word of all chunks resolved once.
 
     ``resolver()`` gives the function from distinct words to answers, ``pack``
-    turns the answers of one chunk's part into bytes.
+    turns the answers for one chunk's part into bytes.
     """
 
     def each(part: pa.Table) -> pa.Table:
         solve = resolver()
-        blobs = [unpack_strings(x) for x in part.column("payload").to_pylist()]
         distinct: dict = defaultdict()
         distinct.default_factory = distinct.__len__
-        places = [list(map(distinct.__getitem__, words)) for words in blobs]
+        places = [np.fromiter(map(distinct.__getitem__, unpack_strings(x.as_py())), np.int64) for x in part.column("words")]
         answers = solve(list(distinct))
-        return pa.table({"chunk": part.column("chunk"), "at": part.column("counts"), "answers": pa.array([pack([answers[i] for i in p]) for p in places], pa.binary())})
+        return pa.table({"chunk": part.column("chunk"), "bucket": part.column("bucket"), "answers": pa.array([pack([answers[i] for i in p.tolist()]) for p in places], pa.binary())})
 
-    return lexicons.groupBy("bucket").applyInArrow(each, "chunk long, at binary, answers binary")
+    return lexicons.groupBy("bucket").applyInArrow(each, "chunk long, bucket int, answers binary")
 
 
-def rejoin(documents: DataFrame, answers: DataFrame, finish: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
-    """Brings a chunk's documents and answers together; ``finish`` makes the rows."""
-    return documents.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(finish, schema)
+def rejoin(documents: DataFrame, answers: DataFrame, finish: Callable[[np.ndarray, list[bytes]], Callable], out: str) -> DataFrame:
+    """A row for each document, with the columns of ``out``.
 
-
-def gathered(answers: pa.Table, unpack: Callable[[bytes], list]) -> tuple[np.ndarray, list]:
-    """Lexicon positions of a chunk and their answers, in one order."""
-    at = [unpack_ints(x) for x in answers.column("at").to_pylist()]
-    got: list = []
-    for x in answers.column("answers").to_pylist():
-        got += unpack(x)
-    return (np.concatenate(at) if at else np.zeros(0, np.uint32)), got
+    For each chunk ``finish(order, parts)`` gets its lexicon's order and answers:
+    what ``parts`` hold, one after the other, answers the positions in ``order``.
+    It gives the function from a document's id, bytes, positions and
+    frequencies to its row.
+    """
+    schema = arrow_schema(T._parse_datatype_string(out))
+
+    def each(docs: pa.Table, got: pa.Table) -> pa.Table:
+        parts = [x["answers"] for x in sorted(got.select(["bucket", "answers"]).to_pylist(), key=lambda x: x["bucket"])]
+        runs = [x for x in docs.to_pylist() if x["doc_ids"] is not None]
+        order = next(x["words"] for x in docs.select(["doc_ids", "words"]).to_pylist() if x["doc_ids"] is None)
+        row = finish(unpack_ints(order), parts)
+        rows = []
+        for x in runs:
+            cuts = np.cumsum(unpack_ints(x["lengths"]))[:-1]
+            words = np.split(unpack_ints(x["words"]), cuts)
+            counts = np.split(unpack_ints(x["counts"]), cuts) if x["counts"] is not None else [None] * len(words)
+            rows += map(row, x["doc_ids"], x["n_bytes"], words, counts)
+        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+
+    return documents.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(each, out)

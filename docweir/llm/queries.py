@@ -17,10 +17,9 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .bpe import digests, encode
+    from .bpe import round_trip
 
-    path = public_path("word_bpe_49k.json")
-    return digests(encode(table(spark, sf_dir, "documents"), path), path)
+    return round_trip(table(spark, sf_dir, "documents"), public_path("word_bpe_49k.json"))
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import lexicon
@@ -16,8 +15,8 @@ def token_counts(docs: DataFrame, tokenizer_path: str) -> DataFrame:
 
     Pieces are counted once for each distinct pre-token, joined to the
     documents' pre-token frequencies and summed. A null or empty text has no
-    bytes and no tokens; a null ``doc_id`` and repeated rows stay as they are; other columns
-    are not used and not returned.
+    bytes and no tokens; a null ``doc_id`` and repeated rows stay as they are;
+    other columns are not used and not returned.
     """
     documents, lexicons = lexicon.split_chunks(docs, lambda: splitter(tokenizer_path), frequencies=True)
 
@@ -27,12 +26,10 @@ def token_counts(docs: DataFrame, tokenizer_path: str) -> DataFrame:
 
     pieces = lexicon.resolve(lexicons, resolver, lambda counts: pack_ints(np.array(counts, np.uint32)))
 
-    def total(rows: pa.Table, answers: pa.Table) -> pa.Table:
-        at, got = lexicon.gathered(answers, lambda x: [unpack_ints(x)])
-        per_word = np.zeros(len(at), np.int64)
-        if len(at):
-            per_word[at] = np.concatenate(got)
-        sums = [int(per_word[np.cumsum(unpack_ints(a), dtype=np.int64)] @ unpack_ints(n).astype(np.int64)) for a, n in zip(rows.column("payload").to_pylist(), rows.column("counts").to_pylist())]
-        return pa.table({"doc_id": rows.column("doc_id"), "n_bytes": rows.column("n_bytes"), "n_tokens": pa.array(sums, pa.int64())})
+    def finish(order: np.ndarray, parts: list[bytes]):
+        per_word = np.zeros(len(order), np.int64)
+        if parts:
+            per_word[order] = np.concatenate([unpack_ints(x) for x in parts])
+        return lambda doc_id, n_bytes, words, counts: (doc_id, n_bytes, int(per_word[words] @ counts.astype(np.int64)))
 
-    return lexicon.rejoin(documents, pieces, total, "doc_id long, n_bytes long, n_tokens long")
+    return lexicon.rejoin(documents, pieces, finish, "doc_id long, n_bytes long, n_tokens long")

@@ -38,9 +38,18 @@ def test_encode_and_decode(spark, docs):
     texts = {r.doc_id: r.text for r in bpe.decode(encoded, path).collect()}
     for i, t in enumerate(TEXTS):
         assert texts[i] == tok.decode(tok.encode(t or "", add_special_tokens=False).ids, skip_special_tokens=False)
-    for r in bpe.digests(encoded, path).collect():
+    for r in bpe.round_trip(docs, path).collect():
         ids = dict(want)[r.doc_id]
         assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())
+        assert r.decoded_sha256 == hashlib.sha256(tok.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+
+
+def test_many_chunks(spark, docs, monkeypatch):
+    path = public_path("word_bpe_49k.json")
+    want = sorted(docs_row for docs_row in bpe.round_trip(docs.where("doc_id is not null"), path).collect())
+    monkeypatch.setattr("docweir.llm.lexicon.CHUNK_WORDS", 3)
+    monkeypatch.setattr("docweir.llm.lexicon.ROW_WORDS", 2)
+    assert sorted(bpe.round_trip(docs.where("doc_id is not null"), path).collect()) == want
 
 
 def test_counts(spark, docs):
