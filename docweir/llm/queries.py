@@ -30,6 +30,15 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
 
 
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language import predict, train
+
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    model = train(docs.where(~held_out), public_path("piece_bpe_32k.model"))
+    return predict(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .topk import quantised, top_k
 
@@ -67,6 +76,6 @@ def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_license(license_scan(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_bpe, op3_token_counts, op5_topk, op6_sharding, op7_licenses)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_bpe, op3_token_counts, op4_language, op5_topk, op6_sharding, op7_licenses)}
 
 ORACLE_SQL: dict[str, str] = {"op5_topk": OP5_SQL, "op7_licenses": licenses.oracle_sql()}
