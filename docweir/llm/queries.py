@@ -76,6 +76,15 @@ def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_license(license_scan(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_bpe, op3_token_counts, op4_language, op5_topk, op6_sharding, op7_licenses)}
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import predict, train
+
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    model = train(docs, table(spark, sf_dir, "labels").where(~held_out))
+    return predict(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_bpe, op3_token_counts, op4_language, op5_topk, op6_sharding, op7_licenses, op8_quality)}
 
 ORACLE_SQL: dict[str, str] = {"op5_topk": OP5_SQL, "op7_licenses": licenses.oracle_sql()}
