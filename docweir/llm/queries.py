@@ -85,6 +85,12 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_bpe, op3_token_counts, op4_language, op5_topk, op6_sharding, op7_licenses, op8_quality)}
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import find_spans
+
+    return find_spans(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_bpe, op3_token_counts, op4_language, op5_topk, op6_sharding, op7_licenses, op8_quality, op9_pii)}
 
 ORACLE_SQL: dict[str, str] = {"op5_topk": OP5_SQL, "op7_licenses": licenses.oracle_sql()}

@@ -1,0 +1,78 @@
+import re
+from itertools import product
+
+import numpy as np
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from docweir.llm import pii
+
+EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+
+
+def brute(text):
+    out = [("email", m.start(), m.end()) for m in EMAIL.finditer(text)]
+    out += [("ip", m.start(), m.end()) for m in IP.finditer(text) if all(int(x) <= 255 for x in m[0].split("."))]
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
+        d = re.sub(r"\D", "", m[0])
+        if 12 <= len(d) <= 19 and sum(int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(d[::-1])) % 10 == 0:
+            out.append(("card", m.start(), m.end()))
+    for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text):
+        if 9 <= len(re.sub(r"\D", "", m[0])) <= 15:
+            out.append(("phone", m.start(), m.end()))
+    return sorted(out, key=lambda s: (s[1], pii.KINDS.index(s[0])))
+
+
+@settings(max_examples=600, deadline=None)
+@given(st.text(alphabet="a1@.-+_ 0(9)5\nx%", max_size=40) | st.text(alphabet="12.05", max_size=30) | st.text(alphabet="4 1-+()", max_size=40))
+def test_patterns(text):
+    assert pii.base_spans(text) == brute(text)
+
+
+def test_long_runs_take_linear_time():
+    for text in ("1" * 300000, "a" * 300000 + "@", "1." * 200000, "@" * 300000, "+1 " * 100000, "+1" + " " * 300000, "a@b." * 50000):
+        pii.base_spans(text)
+
+
+def test_viterbi_against_all_labellings():
+    crf = pii.field()
+    words = "call (705) 555-5569 now".split()
+    x, lengths = crf.pad([words])
+    e = crf.emissions(x)[0]
+    best = max(product(range(len(pii.LABELS)), repeat=4), key=lambda y: (-1e9 if pii.LABELS[y[0]][0] == "I" else 0) + sum(e[t, y[t]] for t in range(4)) + sum(crf.step[a, b] for a, b in zip(y, y[1:])))
+    assert crf.decode([words, ["x"], words * 3])[0].tolist() == list(best)
+
+
+def test_marginals_sum():
+    crf = pii.field()
+    x, lengths = crf.pad([["call", "555-0123", "now"], ["one"]])
+    node, edge = crf.marginals(crf.emissions(x), lengths)
+    assert np.allclose(node[0].sum(axis=1), 1) and np.allclose(node[1, 0].sum(), 1) and np.isclose(edge.sum(), 2)
+
+
+def kinds(text):
+    base, spans = pii.find_all([text])[0]
+    return [(k, text[a:b]) for k, a, b in spans if (k, a, b) not in base]
+
+
+def test_added_spans():
+    assert kinds("please call (802) 555-7781 tonight") == [("phone", "(802) 555-7781")]
+    assert kinds("mail tom at site dot com now, 1 day") == [("email", "tom at site dot com")]
+    assert kinds("write to kim [at] mail7.org today") == [("email", "kim [at] mail7.org")]
+    for clean in ("In 2019 there were 120 of 300 left, 40 %.", "the 12 . and 13 . of May", 'token = "59b79a44c83160ff605db5295c3f1b8f59a30bf7" here', "version 2.4.1 of 2021-04-05", "at the dot we met"):
+        assert kinds(clean) == []
+
+
+def test_rows(spark):
+    texts = [None, "", "a.b@c.de and 10.0.0.1, +1 (705) 555-5569\n4111 1111 1111 1111", "é😀 x@y.zz", "call (802) 555-7781", "w " * 50000 + "1 " * 3000]
+    rows = [(i, t, 5, "z") for i, t in enumerate(texts)] + [(None, "x@y.zz", 1, "z"), (3, texts[3], 5, "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long, spans string")
+    got = {r.doc_id: r for r in pii.find_spans(docs).collect()}
+    assert len(pii.find_spans(docs).collect()) == len(rows)
+    assert (got[2].n_email, got[2].n_ip, got[2].n_card, got[2].n_phone) == (1, 1, 1, 1)
+    assert got[3].spans == "email:3:9" and got[0].spans == got[1].spans == ""
+    clean = {r.doc_id: r for r in pii.redact(docs).collect()}
+    assert clean[2].text == "[EMAIL] and [IP], [PHONE]\n[CARD]" and clean[2].n_chars == len(clean[2].text)
+    assert clean[0].text is None and clean[4].text == "call [PHONE]" and clean[4].spans == "z"
+    assert pii.find_spans(docs.limit(0)).count() == 0 and pii.redact(docs.limit(0)).count() == 0
