@@ -91,6 +91,12 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_spans(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_bpe, op3_token_counts, op4_language, op5_topk, op6_sharding, op7_licenses, op8_quality, op9_pii)}
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import leaks
+
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_bpe, op3_token_counts, op4_language, op5_topk, op6_sharding, op7_licenses, op8_quality, op9_pii, op10_decontaminate)}
 
 ORACLE_SQL: dict[str, str] = {"op5_topk": OP5_SQL, "op7_licenses": licenses.oracle_sql()}
