@@ -261,6 +261,36 @@ def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     return prints.join(by_print, "fp", "left").select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
+def first_of_each_group(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+    """The rows of ``docs`` without near-duplicates: of each group the one with the smallest ``doc_id`` stays.
+
+    Of rows that repeat that ``doc_id`` within the group one stays, that with the
+    smallest fingerprint. Rows with a null ``doc_id`` link nothing and all stay.
+    """
+    columns = docs.columns
+    groups = durable(near_duplicates(docs, max_bits))
+    others = groups.where("doc_id <> component_id").select("doc_id", F.col("fp").alias("_fp")).distinct()
+    kept = _with_print(docs).join(others, ["doc_id", "_fp"], "left_anti")
+    again = durable(groups.where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"))
+    if again.take(1):
+        first = kept.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct("_fp", *columns)).alias("row")).select("row.*")
+        kept = kept.join(again, "doc_id", "left_anti").select(*columns).unionByName(first.select(*columns))
+    return kept.select(*columns)
+
+
+def _with_print(docs: DataFrame) -> DataFrame:
+    """``docs`` with the fingerprint of its text as ``_fp``."""
+    schema = T.StructType([*docs.schema.fields, T.StructField("_fp", T.LongType())])
+    out, at = arrow_schema(schema), docs.columns.index("text")
+
+    def scan(batches):
+        for b in batches:
+            fp = np.array([fingerprint(t.as_py()) for t in b.column(at)], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fp)], schema=out)
+
+    return docs.mapInArrow(scan, schema)
+
+
 def hex_fingerprint(fp: str = "fp"):
     """Sixteen lower-case hexadecimal digits of a signed long."""
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
