@@ -570,3 +570,21 @@ def source_lookup(spark, sf):
     names = F.array(F.lit("primary"), F.lit("second"))
     i = (F.col("page_id") % 4 - 1).cast("int")
     return pages(spark, sf).select("page_id", F.coalesce(F.when(i >= 0, F.get(names, i)), names[0]).alias("name"))
+
+
+@query(f"WITH {REFS}, {PREFIX}, first AS (SELECT r.*, k.title_key FROM refs r JOIN (SELECT ord, title_key FROM (SELECT * FROM keyed QUALIFY row_number() OVER (PARTITION BY url_key ORDER BY ord) = 1)) k USING (ord)), kept AS (SELECT * FROM first WHERE title_key = '' UNION ALL SELECT * FROM (SELECT * FROM first WHERE title_key <> '' QUALIFY row_number() OVER (PARTITION BY title_key ORDER BY ord) = 1)) SELECT 'web-' || left(sha256(canonical), 16) AS article_id, url, CASE WHEN e.key IS NOT NULL OR p.key IS NOT NULL THEN 'held' ELSE 'open' END AS verdict FROM kept r LEFT JOIN idx e ON e.key = r.probe_title LEFT JOIN prefixes p ON p.ord = r.ord")
+def stream_backfill(spark, sf):
+    """Pages as a file stream, merged into a state store by :mod:`docweir.streaming.stream`; similar titles count as open here."""
+    import tempfile
+    import uuid
+
+    from docweir.streaming import stream
+
+    folder = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='docweir-')}/stream-{uuid.uuid4().hex}"
+    store = state.StateStore(spark, f"{folder}/state")
+    arriving = stream.page_stream(spark, f"{sf}/[p]ages.parquet", pages(spark, sf).schema.simpleString()[7:-1].replace(":", " "))
+    title = text.collapsed(text.html_unescaped(F.regexp_extract("html", r"(?s)<title>(.*?)</title>", 1)))
+    refs = lambda b: b.select(F.col("page_id").alias("ord"), "url", title.alias("title"))
+    stream.run(arriving, refs, linkage.corpus_index(held(spark, sf)), store, f"{folder}/checkpoint", "L", lambda: NOW).awaitTermination()
+    rule = F.when(F.rlike("match_reason", F.lit("^(exact|prefix)")), "held").otherwise("open")
+    return store.read("articles").select("article_id", "url", rule.alias("verdict"))
