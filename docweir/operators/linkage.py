@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from docweir.functions.similarity import CUTOFF, lengths_allow, ratios
 from docweir.functions.text import MIN_PROBE, canonical_url, id_of_canonical, title_key
+from docweir.sources.durable import durable
 
 
 def corpus_index(held: DataFrame) -> DataFrame:
@@ -87,12 +88,13 @@ def classify(refs: DataFrame, index: DataFrame, known: DataFrame, fuzzy: bool =
     Known URLs first, then equal titles, then prefixes, then similar titles;
     each rule sees only the refs that the ones before left.
     """
-    keyed = keyed_refs(refs)
+    keyed, index = durable(keyed_refs(refs)), durable(index)
     left, reasons = keyed, []
 
     def settled(found: DataFrame) -> None:
         nonlocal left
-        reasons.append(found.select("ord", "reason"))
+        found = durable(found.select("ord", "reason"))
+        reasons.append(found)
         left = left.join(found.select("ord"), "ord", "left_anti")
 
     settled(known_urls(left, known).select("ord", F.lit("already backfilled").alias("reason")))

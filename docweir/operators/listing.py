@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from docweir.functions.dates import parsed_date
 from docweir.functions.jsonpath import dotted_items, dotted_value, json_path
 from docweir.functions.text import canonical_url, stripped, template_filled, title_key
+from docweir.sources.durable import durable
 
 
 def page_urls(config: DataFrame) -> DataFrame:
@@ -91,19 +92,19 @@ def read_listing(sources: list[tuple[DataFrame, DataFrame]], limit: int | None =
     A source's walk ends at its first page without a new URL; what an earlier
     source has, by URL or title, a later one does not add. ``limit`` counts over
     all sources. Sources are few, so the fold is a loop on the driver; each step
-    is a join.
+    is a join, and is kept, so that the plan does not grow with their number.
     """
     kept: DataFrame | None = None
     seen: DataFrame | None = None
     for k, (pages, items) in enumerate(sources):
-        own = with_keys(items).withColumn("source_index", F.lit(k)).withColumn("ord", F.struct(F.lit(k).alias("s"), F.col("page_no").cast("int").alias("p"), F.col("pos").cast("int").alias("i")))
+        own = durable(with_keys(items).withColumn("source_index", F.lit(k)).withColumn("ord", F.struct(F.lit(k).alias("s"), F.col("page_no").cast("int").alias("p"), F.col("pos").cast("int").alias("i"))))
         fresh = own if seen is None else own.join(seen.select("url_key").distinct(), "url_key", "left_anti")
         counts = new_on_page(pages.withColumn("source_index", F.lit(k)), fresh)
-        urls = first_urls(fresh).join(pages_read(counts).select("page_no"), "page_no", "left_semi")
+        urls = durable(first_urls(fresh).join(pages_read(counts).select("page_no"), "page_no", "left_semi"))
         titles = first_titles(urls)
         if kept is not None:
             titles = titles.join(kept.where("title_key <> ''").select("title_key").distinct(), "title_key", "left_anti")
-        titles, urls = titles.select(*own.columns), urls.select(*own.columns)
+        titles, urls = durable(titles.select(*own.columns)), urls.select(*own.columns)
         kept = titles if kept is None else kept.unionByName(titles)
         seen = urls if seen is None else seen.unionByName(urls)
     if kept is None:

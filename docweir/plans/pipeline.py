@@ -14,6 +14,7 @@ from docweir.functions.text import canonical_url
 from docweir.operators import articles, linkage, listing, prune, render, state
 from docweir.sources import sinks
 from docweir.sources.config import Mapping
+from docweir.sources.durable import durable
 
 
 class ListingError(RuntimeError):
@@ -83,7 +84,7 @@ def read_listing(spark: SparkSession, m: Mapping, store: DataFrame, limit: int |
     found = listing.read_listing([list_source(spark, m, i, store) for i in range(len(m.sources))], limit)
     if len(m.sources) > 1 and not found.take(1):
         raise ListingError(f"no articles of {m.label_name!r} in any of {len(m.sources)} archives")
-    return found.withColumn("published_at", parsed_date("date_raw"))
+    return durable(found.withColumn("published_at", parsed_date("date_raw")))
 
 
 def corpus(messages: DataFrame, files: DataFrame | None, label: str) -> DataFrame:
@@ -109,10 +110,10 @@ def run(spark: SparkSession, m: Mapping, pages: DataFrame, index: DataFrame, sto
     """
     old = store.read("articles")
     refs = read_listing(spark, m, pages)
-    entries = scan(refs, index, old, m.label_name).persist()
+    entries = durable(scan(refs, index, old, m.label_name))
     total = linkage.summary(entries).first()
     missing = entries.where("status = 'discovered'").orderBy("ord")
-    chosen = (missing.limit(limit) if limit is not None else missing).persist()
+    chosen = durable(missing.limit(limit) if limit is not None else missing)
     n = chosen.count()
     if dry_run:
         return Result(m.label_name, total.listed, total.held, total.missing, selected=n, dry_run=True)
@@ -132,14 +133,12 @@ def run(spark: SparkSession, m: Mapping, pages: DataFrame, index: DataFrame, sto
         wrote = sinks.write_pairs(ready.where("error = ''"), folders.raw, folders.markdown)
         bad = ready.where("error <> ''").select("article_id", F.lit("").alias("raw_html_path"), F.lit("").alias("markdown_path"), "error")
         done = wrote.unionByName(bad) if done is None else done.unionByName(wrote).unionByName(bad)
-    done = done.persist()
+    done = durable(done)
     merged = state.marked_done(store.read("articles"), done.where("error = ''"), stamp)
     merged = state.marked_failed(merged, done.where("error <> ''").select("article_id", F.col("error").alias("error_message")), stamp)
     store.write("articles", merged)
     written, failed = done.where("error = ''").count(), done.where("error <> ''").count()
     store.complete_run(started, now(), total.listed, total.held, written, failed)
-    for df in (entries, chosen, done):
-        df.unpersist()
     return Result(m.label_name, total.listed, total.held, total.missing, n, written, failed)
 
 

@@ -69,4 +69,4 @@ class SqliteSource(DataSource):
 def sqlite_table(spark: SparkSession, path: str, name: str, partitions: int = 1) -> DataFrame:
     """A store's table by name, with the schema that stores have; the file must be where executors see it."""
     spark.dataSource.register(SqliteSource)
-    return spark.read.format("sqlite").schema(SCHEMAS[name]).option("path", path).option("table", name).option("partitions", partitions).load(path)
+    return spark.read.format("sqlite").schema(SCHEMAS[name]).option("path", path).option("table", name).option("partitions", partitions).load()
