@@ -176,7 +176,8 @@ def train(labelled: DataFrame, path: str, train_docs: int = TRAIN_DOCS, rounds:
         if seen:
             yield batch(counted_out, *zip(*((lang, w, n) for (lang, w), n in seen.items())))
 
-    words = durable(rows.where(drawn).mapInArrow(count, counted).groupBy("lang", "word").agg(F.sum("n").alias("n")))
+    # copies of a text are drawn together, so only one of them counts
+    words = durable(rows.where(drawn).select("text", "lang").dropDuplicates().mapInArrow(count, counted).groupBy("lang", "word").agg(F.sum("n").alias("n")))
     summed = "lang int, piece int, n double"
     summed_out = arrow_schema(T._parse_datatype_string(summed))
     number = {lang: i for i, lang in enumerate(languages)}
@@ -221,8 +222,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     def scan(batches):
         model = shared.value
         for b in batches:
-            for i in range(0, len(b), 4_000):
-                part = b.slice(i, 4_000)
-                yield batch(out, part.column(0), *zip(*model.score(part.column(1).to_pylist())))
+            if len(b):
+                yield batch(out, b.column(0), *zip(*model.score(b.column(1).to_pylist())))
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(scan, schema)
