@@ -55,3 +55,16 @@ def test_one_of_each_group_stays(spark):
     assert got.columns == docs.columns
     assert sorted(map(tuple, got.collect()), key=str) == sorted([(5, "a b c d", 1), (7, "quite other words", 2), (None, "a b c d", 3), (None, None, 3), (9, None, 4), (11, "z y x", 5)], key=str)
     assert simhash.first_of_each_group(docs.limit(0)).count() == 0
+
+
+def test_stages_on_nothing(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, SF).count() == 0
+
+
+def test_stages_take_nulls(spark):
+    schema = spark.read.parquet(f"{SF}/documents.parquet").schema
+    docs = spark.createDataFrame([(None, None, None, None, None), (1, None, None, "s", None), (None, "mail a@b.cd now", "en", None, 3), (2, "", "en", "s", 0), (2, "", "en", "s", 0)], schema)
+    for _, stage in corpus_pipeline.STAGES[1:]:
+        assert stage(spark, docs, SF).count() >= 2
