@@ -60,26 +60,46 @@ def prefix_matches(refs: DataFrame, index: DataFrame) -> DataFrame:
     return found.select("ord", "b.probe", "b.m.key", "b.m.message_id")
 
 
+#: Characters of keys, twelve to a long; how many occurrences of each are told apart; parts of a length's keys.
+ALPHABET, LEVELS, PARTS = "abcdefghijklmnopqrstuvwxyz0123456789-", 5, 16
+
+
+def _letters(df: DataFrame, text: str, to: str) -> DataFrame:
+    """``df`` with the letter counts of ``text`` as bits of four longs, one for each occurrence up to ``LEVELS``, and the number of further ones."""
+    marks = F.array(*[F.lit((1 << n) - 1).cast("long") for n in range(LEVELS + 1)])
+    count = {x: F.length(text) - F.length(F.replace(F.col(text), F.lit(x))) for x in ALPHABET}
+    longs = []
+    for at in range(0, len(ALPHABET), 12):
+        word = F.lit(0).cast("long")
+        for k, x in enumerate(ALPHABET[at : at + 12]):
+            word = word + F.shiftleft(F.get(marks, F.least(count[x], F.lit(LEVELS))), LEVELS * k)
+        longs.append(word.alias(f"{to}{at // 12}"))
+    out = df.select("*", *longs)
+    kept = sum((F.bit_count(f"{to}{i}") for i in range(len(longs))), F.lit(0))
+    return out.withColumn(f"{to}_rest", F.length(text) - kept)
+
+
 def fuzzy_matches(refs: DataFrame, index: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
-    """``(ord, key, message_id, ratio)``: the held key most similar to the ref's, at least ``cutoff``.
+    """``(ord, key, message_id, ratio)``: the held key most similar to the ref's, at least ``cutoff``; ties go to the key that is last in order.
 
-    Distinct keys only. Two texts with that ratio have lengths within a band, so
-    each probe is dealt to the lengths that its band allows, and there, exactly,
-    to keys of nearly the same letters: the ratio cannot exceed what the letter
-    counts allow. Ties go to the key that is last in order.
+    Distinct keys only. A key equal to the probe is the most similar one. For
+    the rest, two exact bounds keep pairs from the costly comparison: lengths
+    must lie in a band, to which the probes are dealt, and the characters that
+    two keys can have in common are at most those that both hold, which a few
+    bit operations tell. The keys of one length are split into parts.
     """
     probes = refs.where("probe_title <> ''").select(F.col("probe_title").alias("probe")).distinct()
+    same = probes.join(index, F.col("probe") == F.col("key")).select("probe", F.struct(F.lit(1.0).alias("decided"), "key", "message_id", F.lit(1.0).alias("reported")).alias("b"))
+    rest = _letters(probes.join(index.select(F.col("key").alias("probe")), "probe", "left_anti"), "probe", "p")
     band = F.sequence(F.ceil(F.length("probe") * cutoff / (2 - cutoff) - 1e-9).cast("int"), F.floor(F.length("probe") * (2 - cutoff) / cutoff + 1e-9).cast("int"))
-    dealt = probes.withColumn("n", F.explode(band))
-    keys = index.select("key", "message_id").withColumn("n", F.length("key"))
-    letters = "abcdefghijklmnopqrstuvwxyz0123456789-"
-    counts = lambda c: F.array(*[F.length(c) - F.length(F.replace(c, F.lit(x))) for x in letters])
-    dealt, keys = dealt.withColumn("pc", counts(F.col("probe"))), keys.withColumn("kc", counts(F.col("key")))
-    common = F.aggregate(F.zip_with("pc", "kc", lambda a, b: F.least(a, b)), F.lit(0), lambda a, b: a + b)
-    pairs = dealt.join(keys, "n").where(lengths_allow(F.col("probe"), F.col("key"), cutoff) & (2.0 * common >= F.lit(cutoff) * (F.length("probe") + F.length("key"))))
+    dealt = rest.withColumn("n", F.explode(band)).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    keys = _letters(index.select("key", "message_id"), "key", "k").withColumn("n", F.length("key")).withColumn("part", F.pmod(F.xxhash64("key"), F.lit(PARTS)).cast("int"))
+    common = sum((F.bit_count(F.col(f"p{i}").bitwiseAND(F.col(f"k{i}"))) for i in range(-(-len(ALPHABET) // 12))), F.least("p_rest", "k_rest"))
+    pairs = dealt.join(keys, ["n", "part"]).where(lengths_allow(F.col("probe"), F.col("key"), cutoff) & (2.0 * common >= F.lit(cutoff) * (F.length("probe") + F.length("key"))))
     scored = pairs.select("probe", "key", "message_id", ratios("key", "probe").alias("r")).where("r.decided is not null")
     best = scored.groupBy("probe").agg(F.max(F.struct("r.decided", "key", "message_id", "r.reported")).alias("b"))
-    return refs.join(best, F.col("probe_title") == F.col("probe")).select("ord", "b.key", "b.message_id", F.col("b.reported").alias("ratio"))
+    found = same.unionByName(best)
+    return refs.join(found, F.col("probe_title") == F.col("probe")).select("ord", "b.key", "b.message_id", F.col("b.reported").alias("ratio"))
 
 
 def classify(refs: DataFrame, index: DataFrame, known: DataFrame, fuzzy: bool = True) -> DataFrame:
