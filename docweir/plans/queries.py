@@ -588,3 +588,32 @@ def stream_backfill(spark, sf):
     stream.run(arriving, refs, linkage.corpus_index(held(spark, sf)), store, f"{folder}/checkpoint", "L", lambda: NOW).awaitTermination()
     rule = F.when(F.rlike("match_reason", F.lit("^(exact|prefix)")), "held").otherwise("open")
     return store.read("articles").select("article_id", "url", rule.alias("verdict"))
+
+
+_H1 = _UNESCAPED.replace("<title>", "<h1>").replace("</title>", "</h1>")
+
+
+@query(rf"SELECT page_id, trim(regexp_replace({_H1}, '\s+', ' ', 'g')) AS page_title FROM pages")
+def page_titles(spark, sf):
+    """The title that each page itself gives."""
+    return articles.extracted(pages(spark, sf)).select("page_id", "page_title")
+
+
+_ESCAPED = "replace(replace(replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;')"
+
+
+@query(
+    f"""SELECT doc_id, replace('<!DOCTYPE html>~<html lang="en">~<head>~<meta charset="utf-8">~<meta name="viewport" content="width=device-width, initial-scale=1.0">~<title>', '~', chr(10)) || {_ESCAPED.format(f'left(text, {SUBJECT})')} || replace('</title>~<link rel="canonical" href="https://x.test/?d=', '~', chr(10)) || doc_id
+|| replace('">~<style>~{articles.STYLE.replace(chr(10), '~')}</style>~</head>~<body>~<div class="email-body">~<p>', '~', chr(10)) || lang || replace('</p>~', '~', chr(10))
+|| CASE WHEN doc_id % 2 = 0 THEN '<p class="backfill-note">Subscriber-only post — this is the public preview. The full text is at <a href="https://x.test/?d=' || doc_id || '">https://x.test/?d=' || doc_id || '</a>.</p>' || chr(10) ELSE '' END || replace('</div>~</body>~</html>~', '~', chr(10)) AS document FROM documents"""
+)
+def wrapped_documents(spark, sf):
+    """The stored document around given content."""
+    url = F.concat(F.lit("https://x.test/?d="), "doc_id")
+    content = F.concat(F.lit("<p>"), "lang", F.lit("</p>"))
+    return documents(spark, sf).select("doc_id", articles.wrapped(content, url, F.left("text", F.lit(SUBJECT)), F.col("doc_id") % 2 == 0).alias("document"))
+
+
+SQL["link_histogram"] = f"""SELECT url, count(DISTINCT href) AS n
+FROM (SELECT url, regexp_replace(unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)), '[?#].*$', '') AS href FROM pages)
+WHERE regexp_extract(href, '[^/]*$') NOT IN ('', {', '.join(map(repr, probe.NAVIGATION))}) GROUP BY 1"""
