@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import lexicon
-from .common import arrow_schema, batch, pack_ints, unpack_ints
+from .common import arrow_schema, batch, pack_lists, unpack_lists
 from .tokenizer import load, splitter
 
 
@@ -37,12 +37,8 @@ def _encoded(docs: DataFrame, tokenizer_path: str, row: Callable[[], Callable[[i
         tok = load(tokenizer_path)
         return lambda words: [e.ids for e in tok.encode_batch_fast(words, add_special_tokens=False)]
 
-    def pack(answers: list) -> bytes:
-        lengths = np.fromiter(map(len, answers), np.uint32, len(answers))
-        return pack_ints(np.concatenate([[len(answers)], lengths, *answers]))
-
     def finish(order: np.ndarray, parts: list[bytes]):
-        given = [(v[1 : v[0] + 1], v[v[0] + 1 :]) for v in map(unpack_ints, parts)]
+        given = [unpack_lists(x) for x in parts]
         lengths, starts, flat = np.zeros(len(order), np.int64), np.zeros(len(order), np.int64), np.zeros(0, np.uint32)
         if given:
             n, flat = np.concatenate([x[0] for x in given]).astype(np.int64), np.concatenate([x[1] for x in given])
@@ -56,7 +52,7 @@ def _encoded(docs: DataFrame, tokenizer_path: str, row: Callable[[], Callable[[i
 
         return each
 
-    return lexicon.rejoin(documents, lexicon.resolve(lexicons, resolver, pack), finish, out)
+    return lexicon.rejoin(documents, lexicon.resolve(lexicons, resolver, pack_lists), finish, out)
 
 
 def encode(docs: DataFrame, tokenizer_path: str) -> DataFrame:

@@ -36,30 +36,64 @@ def shuffle_width(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def _planes(values) -> bytes:
+    return np.ascontiguousarray(values, dtype="<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _from_planes(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+
 def pack_strings(words: list[str]) -> bytes:
-    """Lengths, then the UTF-8 bytes, compressed; the inverse of :func:`unpack_strings`."""
-    raw = [w.encode() for w in words]
-    lengths = np.fromiter(map(len, raw), np.uint32, len(raw))
-    return zstandard.compress(np.uint32(len(raw)).tobytes() + lengths.tobytes() + b"".join(raw), 9)
+    """Strings as what each shares with the one before and what follows, compressed; sorted ones take the least room."""
+    shared, left, rest, before = [], [], [], b""
+    for w in words:
+        w = w.encode()
+        k, most = 0, min(len(w), len(before))
+        while k < most and w[k] == before[k]:
+            k += 1
+        shared.append(k)
+        left.append(len(w) - k)
+        rest.append(w[k:])
+        before = w
+    return zstandard.compress(np.uint32(len(words)).tobytes() + _planes(shared) + _planes(left) + b"".join(rest), 9)
 
 
 def unpack_strings(blob: bytes) -> list[str]:
+    """The inverse of :func:`pack_strings`."""
     data = zstandard.decompress(blob)
-    n = int(np.frombuffer(data, np.uint32, 1)[0])
-    ends = np.cumsum(np.frombuffer(data, np.uint32, n, 4), dtype=np.int64) + 4 + 4 * n
-    starts = np.concatenate(([4 + 4 * n], ends[:-1])) if n else ends
-    return [data[a:b].decode() for a, b in zip(starts.tolist(), ends.tolist())]
+    n = int(np.frombuffer(data, "<u4", 1)[0])
+    shared, left = _from_planes(data[4 : 4 + 4 * n]).tolist(), _from_planes(data[4 + 4 * n : 4 + 8 * n]).tolist()
+    out, before, at = [], b"", 4 + 8 * n
+    for k, m in zip(shared, left):
+        before = before[:k] + data[at : at + m]
+        at += m
+        out.append(before.decode())
+    return out
 
 
 def pack_ints(values: np.ndarray) -> bytes:
     """Non-negative integers under 2**32 as compressed byte planes."""
-    v = np.ascontiguousarray(values, dtype="<u4")
-    return zstandard.compress(v.view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+    return zstandard.compress(_planes(values), 1)
 
 
 def unpack_ints(blob: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.decompress(blob), np.uint8).reshape(4, -1)
-    return np.ascontiguousarray(planes.T).view("<u4").ravel()
+    return _from_planes(zstandard.decompress(blob))
+
+
+def pack_lists(lists: list[list[int]]) -> bytes:
+    """Lists of non-negative integers under 2**32: their lengths, then all of them in as few bytes each as the largest needs."""
+    flat = np.concatenate([np.asarray(x, np.uint32) for x in lists]) if lists else np.zeros(0, np.uint32)
+    kind = "<u2" if flat.max(initial=0) < 1 << 16 else "<u4"
+    head = np.array([len(lists), int(kind[2])], "<u4").tobytes()
+    return zstandard.compress(head + _planes([len(x) for x in lists]) + flat.astype(kind).tobytes(), 9)
+
+
+def unpack_lists(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The lengths and all integers."""
+    data = zstandard.decompress(blob)
+    n, width = np.frombuffer(data, "<u4", 2).tolist()
+    return _from_planes(data[8 : 8 + 4 * n]), np.frombuffer(data, f"<u{width}", offset=8 + 4 * n).astype(np.uint32)
 
 
 def arrow_schema(df_schema) -> pa.Schema:
