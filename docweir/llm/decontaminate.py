@@ -25,7 +25,7 @@ RARE = 1_000
 #: Alignment: a match, another word, a word left out on either side.
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: A document holds an item if the alignment reaches this share of the item's own score.
-THRESHOLD = 0.6
+THRESHOLD = 0.5
 #: Items are handled in blocks of about so many bytes, so that what each task holds is bounded.
 BLOCK_BYTES = 8_000_000
 
