@@ -79,3 +79,22 @@ def mapping_states(mappings: DataFrame, articles: DataFrame) -> DataFrame:
 def preview(rows: DataFrame, order: list[Column], most: int = 40) -> tuple[DataFrame, int]:
     """The first rows of a report, and how many more there are."""
     return rows.orderBy(*order).limit(most), max(0, rows.count() - most)
+
+
+def page_of(rows: DataFrame, order: list[Column], limit: int | None = None, offset: int = 0) -> DataFrame:
+    """Rows in order from an offset on, at most ``limit``."""
+    out = rows.orderBy(*order)
+    out = out.offset(offset) if offset else out
+    return out if limit is None else out.limit(limit)
+
+
+def advanced(sync: DataFrame, new: DataFrame) -> DataFrame:
+    """Sync cursors ``(label_id, history_id, updated_at)`` with each label's latest one taken over from ``new``."""
+    both = sync.withColumn("_n", F.lit(0)).unionByName(new.select(*sync.columns).withColumn("_n", F.lit(1)))
+    return both.groupBy("label_id").agg(F.max(F.struct("updated_at", "_n", "history_id")).alias("m")).select("label_id", "m.history_id", "m.updated_at")
+
+
+def cursor(sync: DataFrame, label_id: str, full: bool = False) -> str | None:
+    """Where a label's next sync begins; null for a full one."""
+    row = None if full else sync.where(F.col("label_id") == label_id).select("history_id").head()
+    return row.history_id if row else None

@@ -617,3 +617,25 @@ def wrapped_documents(spark, sf):
 SQL["link_histogram"] = f"""SELECT url, count(DISTINCT href) AS n
 FROM (SELECT url, regexp_replace(unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)), '[?#].*$', '') AS href FROM pages)
 WHERE regexp_extract(href, '[^/]*$') NOT IN ('', {', '.join(map(repr, probe.NAVIGATION))}) GROUP BY 1"""
+
+
+@query("SELECT event_id, event_type FROM events ORDER BY ts, event_id LIMIT 30 OFFSET 70")
+def page_of_rows(spark, sf):
+    return status.page_of(events(spark, sf), [F.col("ts"), F.col("event_id")], 30, 70).select("event_id", "event_type")
+
+
+@query("SELECT 'L' || user_id AS label_id, 'h' || max(event_id) AS history_id, lpad(CAST(max(event_id) AS VARCHAR), 12, '0') AS updated_at FROM events GROUP BY 1")
+def sync_cursors(spark, sf):
+    """Cursors of even events advanced by those of odd ones."""
+    rows = events(spark, sf).select("event_id", F.concat(F.lit("L"), "user_id").alias("label_id"), F.concat(F.lit("h"), "event_id").alias("history_id"), F.lpad(F.col("event_id").cast("string"), 12, "0").alias("updated_at"))
+    return status.advanced(rows.where("event_id % 2 = 0").drop("event_id"), rows.where("event_id % 2 = 1").drop("event_id"))
+
+
+@query("SELECT 'https://' || page_id || '.test/wp-json/wp/v2/posts?per_page={limit}&page={page}' AS url_template, 'posts' AS items_path, 2 AS item_count, 'link,n,title' AS available_fields FROM pages WHERE page_id % 2 = 0")
+def endpoint_listing(spark, sf):
+    """Known listings asked in a page table; those of odd pages hold nothing that is a list."""
+    site = F.concat(F.lit("https://"), "page_id", F.lit(".test"))
+    asked = probe.endpoints(pages(spark, sf).select(site.alias("url"), F.lit("<link href='/wp-content/x.css'>").alias("html")))
+    payload = F.when(F.col("page_id") % 2 == 0, '{"total": 2, "posts": [{"title": "a", "link": "b", "n": 1}, {}]}').otherwise('{"posts": 3}')
+    store = pages(spark, sf).select(F.concat(site, F.lit("/wp-json/wp/v2/posts?per_page=5&page=1")).alias("url"), payload.alias("payload"))
+    return probe.endpoint_items(asked, store).select("url_template", "items_path", "item_count", F.array_join("available_fields", ",").alias("available_fields"))
