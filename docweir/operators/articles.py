@@ -21,6 +21,11 @@ MEANINGFUL = frozenset("img picture source video audio embed object svg canvas i
 TITLES = (('meta[property="og:title"]', "content"), ('meta[name="twitter:title"]', "content"), ("h1", ""), ("title", ""))
 DATES = (('meta[property="article:published_time"]', "content"), ('meta[name="publish_date"]', "content"), ('meta[property="og:published_time"]', "content"), ("time[datetime]", "datetime"), ("time", ""))
 
+# The stored document's parts, around the title, the address, the style, the content and the note on a preview.
+HEAD = '<!DOCTYPE html>\n<html lang="en">\n<head>\n<meta charset="utf-8">\n<meta name="viewport" content="width=device-width, initial-scale=1.0">\n<title>'
+CANONICAL, STYLED, BODY = '</title>\n<link rel="canonical" href="', '">\n<style>\n', '</style>\n</head>\n<body>\n<div class="email-body">\n'
+NOTE, NOTE_LINK, NOTE_END, END = '<p class="backfill-note">Subscriber-only post — this is the public preview. The full text is at <a href="', '">', "</a>.</p>\n", "</div>\n</body>\n</html>\n"
+
 #: The stored page's style; a parameter of :func:`wrapped`.
 STYLE = "body{max-width:68ch;margin:0 auto;padding:2rem 1.5rem;font:16px/1.6 sans-serif}\nimg{max-width:100%;height:auto}\n"
 
@@ -135,9 +140,8 @@ def articles(refs: DataFrame, pages: DataFrame, config: ArticleConfig = ArticleC
 def wrapped(content: Column, url: Column, title: Column, preview: Column, style: str = STYLE) -> Column:
     """A document that needs nothing else: charset, title, canonical link, style, the content, and a note on a preview."""
     href = html_escaped(url)
-    note = F.when(preview, F.concat(F.lit('<p class="backfill-note">Subscriber-only post — this is the public preview. The full text is at <a href="'), href, F.lit('">'), href, F.lit("</a>.</p>\n"))).otherwise("")
-    head = F.concat(F.lit('<!DOCTYPE html>\n<html lang="en">\n<head>\n<meta charset="utf-8">\n<meta name="viewport" content="width=device-width, initial-scale=1.0">\n<title>'), html_escaped(title), F.lit('</title>\n<link rel="canonical" href="'), href, F.lit(f'">\n<style>\n{style}</style>\n</head>\n'))
-    return F.concat(head, F.lit('<body>\n<div class="email-body">\n'), content, F.lit("\n"), note, F.lit("</div>\n</body>\n</html>\n"))
+    note = F.when(preview, F.concat(F.lit(NOTE), href, F.lit(NOTE_LINK), href, F.lit(NOTE_END))).otherwise("")
+    return F.concat(F.lit(HEAD), html_escaped(title), F.lit(CANONICAL), href, F.lit(STYLED + style + BODY), content, F.lit("\n"), note, F.lit(END))
 
 
 def html_items(pages: DataFrame, item_selector: str, fields: dict) -> DataFrame:

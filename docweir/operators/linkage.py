@@ -13,6 +13,9 @@ from docweir.functions.similarity import CUTOFF, lengths_allow, ratios
 from docweir.functions.text import MIN_PROBE, canonical_url, id_of_canonical, title_key
 from docweir.sources.durable import durable
 
+# The reasons that a match gives.
+KNOWN, EXACT, PREFIX, FUZZY, SAME_AS, HELD_AS = "already backfilled", "exact title match: ", "prefix match: ", "fuzzy match (", " ~ ", " → "
+
 
 def corpus_index(held: DataFrame) -> DataFrame:
     """``(key, corpus_ord, message_id)`` of ``held(message_id, subject, corpus_ord)``: the first message of each title key."""
@@ -117,13 +120,13 @@ def classify(refs: DataFrame, index: DataFrame, known: DataFrame, fuzzy: bool =
         reasons.append(found)
         left = left.join(found.select("ord"), "ord", "left_anti")
 
-    settled(known_urls(left, known).select("ord", F.lit("already backfilled").alias("reason")))
+    settled(known_urls(left, known).select("ord", F.lit(KNOWN).alias("reason")))
     quoted = lambda c: F.concat(F.lit("'"), c, F.lit("'"))
-    held = lambda *parts: F.concat(*parts, F.lit(" → "), F.col("message_id").cast("string")).alias("reason")
-    settled(exact_matches(left, index).select("ord", held(F.lit("exact title match: "), quoted(F.col("key")))))
-    settled(prefix_matches(left, index).select("ord", held(F.lit("prefix match: "), quoted(F.col("probe")), F.lit(" ~ "), quoted(F.col("key")))))
+    held = lambda *parts: F.concat(*parts, F.lit(HELD_AS), F.col("message_id").cast("string")).alias("reason")
+    settled(exact_matches(left, index).select("ord", held(F.lit(EXACT), quoted(F.col("key")))))
+    settled(prefix_matches(left, index).select("ord", held(F.lit(PREFIX), quoted(F.col("probe")), F.lit(SAME_AS), quoted(F.col("key")))))
     if fuzzy:
-        settled(fuzzy_matches(left, index).select("ord", held(F.lit("fuzzy match ("), F.format_number("ratio", 2), F.lit("): "), quoted(F.col("key")))))
+        settled(fuzzy_matches(left, index).select("ord", held(F.lit(FUZZY), F.format_number("ratio", 2), F.lit("): "), quoted(F.col("key")))))
     found = reasons[0]
     for r in reasons[1:]:
         found = found.unionByName(r)
