@@ -131,8 +131,9 @@ class Model:
         words, vocab = list(lexicon), vocabulary(self.path)
         logs = np.concatenate([np.zeros((0, len(self.languages)))] + [forward(words[i : i + 10_000], vocab, self.p) for i in range(0, len(words), 10_000)])
         out = []
-        for at in places:
-            if not len(at):
+        for at, text in zip(places, texts):
+            # words hold letters and such signs as fractions
+            if not len(at) or not any(map(str.isalpha, text)):
                 out.append(("und", 0.0))
                 continue
             total = logs[at].sum(axis=0)
