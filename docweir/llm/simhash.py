@@ -12,6 +12,7 @@ block. Whoever lives at an anchor is compared with all that came there.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import combinations, product
 
 import numpy as np
@@ -267,10 +268,15 @@ def first_of_each_group(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     Of rows that repeat that ``doc_id`` within the group one stays, that with the
     smallest fingerprint. Rows with a null ``doc_id`` link nothing and all stay.
     """
+    return keep_first(docs, near_duplicates(docs, max_bits), fingerprint)
+
+
+def keep_first(docs: DataFrame, groups: DataFrame, print_of: Callable[[str | None], int]) -> DataFrame:
+    """The rows of ``docs`` that ``groups(doc_id, fp, component_id)`` lets stay; ``fp`` is what ``print_of`` makes of a text."""
     columns = docs.columns
-    groups = durable(near_duplicates(docs, max_bits))
+    groups = durable(groups)
     others = groups.where("doc_id <> component_id").select("doc_id", F.col("fp").alias("_fp")).distinct()
-    kept = _with_print(docs).join(others, ["doc_id", "_fp"], "left_anti")
+    kept = _with_print(docs, print_of).join(others, ["doc_id", "_fp"], "left_anti")
     again = durable(groups.where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"))
     if again.take(1):
         first = kept.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct("_fp", *columns)).alias("row")).select("row.*")
@@ -278,14 +284,14 @@ def first_of_each_group(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     return kept.select(*columns)
 
 
-def _with_print(docs: DataFrame) -> DataFrame:
-    """``docs`` with the fingerprint of its text as ``_fp``."""
+def _with_print(docs: DataFrame, print_of: Callable[[str | None], int]) -> DataFrame:
+    """``docs`` with what ``print_of`` makes of its text as ``_fp``."""
     schema = T.StructType([*docs.schema.fields, T.StructField("_fp", T.LongType())])
     out, at = arrow_schema(schema), docs.columns.index("text")
 
     def scan(batches):
         for b in batches:
-            fp = np.array([fingerprint(t.as_py()) for t in b.column(at)], np.uint64).view(np.int64)
+            fp = np.array([print_of(t.as_py()) for t in b.column(at)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fp)], schema=out)
 
     return docs.mapInArrow(scan, schema)
