@@ -1,6 +1,6 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-Seeds are n-grams of the test items that are rare in the corpus. Where a seed of
+Seeds are all n-grams of the test items, whatever the corpus. Where a seed of
 an item occurs in a document, the stretch around it is aligned with the item,
 word by word, which scores edited copies as well as exact ones.
 """
@@ -8,7 +8,7 @@ word by word, which scores edited copies as well as exact ones.
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
+from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +20,7 @@ from .common import arrow_schema, batch
 
 #: Words of a seed: edits leave few longer ones whole.
 SEED_WORDS = 3
-#: An n-gram is rare if it occurs at most so often in the corpus; the rarer half of an item's are seeds in any case.
+#: What ``Items.seeds`` calls rare, which the search does not use: an n-gram is rare if it occurs at most so often in the corpus; the rarer half of an item's are seeds in any case.
 RARE = 1_000
 #: Alignment: a match, another word, a word left out on either side.
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -146,32 +146,14 @@ class Matcher:
 
 
 def _blocks(docs: DataFrame, benchmark: DataFrame):
-    """A matcher for each block of the test items, with its seeds chosen by their frequency in all of ``docs``."""
+    """A matcher for each block of the test items; all n-grams are seeds, so that the size of the corpus changes no result."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first().n
     number = max(1, -(-int(size) // BLOCK_BYTES))
-    schema = "gram long, n long"
-    out = arrow_schema(T._parse_datatype_string(schema))
-    texts = docs.select(F.col("text").cast("string").alias("text"))
     spark = docs.sparkSession
     for k in range(number):
         block = Items(sorted((r.item_id, r.text) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(number)) == k).collect()))
-        shared = spark.sparkContext.broadcast(block)
-
-        def count(batches, shared=shared):
-            items, total = shared.value, Counter()
-            known = np.array(sorted(items.grams), np.int64)
-            for b in batches:
-                for t in b.column(0):
-                    codes = items.codes(items.numbers(t.as_py()), SEED_WORDS)
-                    codes = codes[codes > 0]
-                    if len(codes) and len(known):
-                        total.update(codes[known[np.minimum(np.searchsorted(known, codes), len(known) - 1)] == codes].tolist())
-            if total:
-                yield batch(out, list(total), list(total.values()))
-
-        frequency = {r.gram: r.n for r in texts.mapInArrow(count, schema).groupBy("gram").agg(F.sum("n").alias("n")).collect()}
-        yield spark.sparkContext.broadcast(Matcher(block, block.seeds(frequency)))
+        yield spark.sparkContext.broadcast(Matcher(block, block.grams))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

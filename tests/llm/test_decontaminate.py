@@ -91,3 +91,12 @@ def test_query(spark):
     found = {(r.doc_id, r.item_id) for r in got}
     exact = {(i, k) for i, t in texts.items() for k, x in items.items() if " ".join(d.words_of(x)) in " ".join(d.words_of(t))}
     assert exact and exact <= found
+
+
+def test_frequent_grams_find_edited_copies(spark):
+    item = " ".join(f"w{i}" for i in range(15))
+    copy = "w0 zz w2 w3 zz w5 w6 zz " + " ".join(f"w{i}" for i in range(8, 15))  # only grams of the item's end are whole
+    docs = [(1, "other " + copy + " words"), (2, ("w8 w9 w10 " + "x w9 w10 w11 x w10 w11 w12 x w11 w12 w13 x w12 w13 w14 x ") * 1001)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = d.leaks(df, spark.createDataFrame([(7, item)], "item_id long, text string")).collect()
+    assert [(1, 7, brute_score(d.words_of(item), d.words_of(copy)) / 30)] == [tuple(r) for r in got if r.doc_id == 1]
