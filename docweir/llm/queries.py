@@ -64,10 +64,8 @@ FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sharding import shuffled
 
-    text = F.coalesce(F.col("text"), F.lit(""))
-    docs = table(spark, sf_dir, "documents").select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
-    got = shuffled(docs, 8)
-    return got.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    got, text = shuffled(table(spark, sf_dir, "documents"), 8), F.coalesce(F.col("text"), F.lit(""))
+    return got.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,3 +1,4 @@
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -48,3 +49,13 @@ def test_query(spark):
     df = queries.op6_sharding(spark, "/root/testdata/sf0.001")
     assert df.columns == ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"]
     assert df.count() == 200
+
+
+def test_query_shards_whole_rows(spark, monkeypatch):
+    seen, whole = [], sharding.shuffled
+    monkeypatch.setattr(sharding, "shuffled", lambda df, shards: seen.append(df.columns) or whole(df, shards))
+    got = queries.op6_sharding(spark, "/root/testdata/sf0.001").collect()
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    assert seen == [docs.columns]
+    want = sorted((r.doc_id, len((r.text or "").encode()) + 1, zlib.crc32((r.text or "").encode())) for r in docs.collect())
+    assert sorted((r.doc_id, r["size"], r.text_crc32) for r in got) == want
