@@ -159,8 +159,8 @@ WORD = re.compile(r"\S+")
 SPELLED = re.compile(r"(?i)[\w.%+-]+\s*(?:@|[(\[]at[)\]]|\sat\s)\s*[\w-]+(?:\s*(?:\.|[(\[]dot[)\]]|\sdot\s)\s*[\w-]+)+")
 SPACE = re.compile(r"\s")
 TRIGGER = re.compile(r"[0-9@]+|[(\[][Aa][Tt][)\]]|(?<=\s)at\s+\S{2,40}\s+dot(?=\s)")
-#: The field sees so many characters around a digit or at sign, in sequences of at most so many words.
-REACH, SEQUENCE = 60, 200
+#: The field sees so many characters around a digit or at sign; sequences of about so many words in all are decoded together.
+REACH, AT_ONCE = 60, 102_400
 PUNCTUATION = "\"'.,;:!?<>*#$%&`"
 
 
@@ -303,8 +303,12 @@ class Field:
         """The likeliest labels of each sequence, those of like length together."""
         out: list = [None] * len(sequences)
         order = sorted(range(len(sequences)), key=lambda i: len(sequences[i]))
-        for at in range(0, len(order), 512):
-            rows = order[at : at + 512]
+        at = 0
+        while at < len(order):
+            upto = at + 1
+            while upto < min(len(order), at + 512) and len(sequences[order[upto]]) * (upto + 1 - at) <= AT_ONCE:
+                upto += 1
+            rows, at = order[at:upto], upto
             x, lengths = self.pad([sequences[i] for i in rows])
             e = self.emissions(x)
             start = np.array([-1e9 if label[0] == "I" else 0.0 for label in LABELS])
@@ -348,8 +352,6 @@ def windows(text: str) -> list[tuple[int, int]]:
     out: list[list[int]] = []
     for m in TRIGGER.finditer(text):
         p, q = m.span()
-        if out and q <= out[-1][1]:
-            continue
         start = max(text.rfind("\n", max(0, p - REACH), p) + 1, p - REACH, 0)
         end = text.find("\n", q, q + REACH)
         end = min(len(text), q + REACH) if end < 0 else end
@@ -367,12 +369,8 @@ def windows(text: str) -> list[tuple[int, int]]:
 
 
 def sequences_of(text: str) -> list[list[re.Match]]:
-    """The words of each window; very long windows are cut into parts."""
-    out = []
-    for a, b in windows(text):
-        words = list(WORD.finditer(text, a, b))
-        out += [words[i : i + SEQUENCE] for i in range(0, len(words), SEQUENCE)]
-    return out
+    """The words of each window."""
+    return [list(WORD.finditer(text, a, b)) for a, b in windows(text)]
 
 
 def find_all(texts: list[str]) -> list[tuple[list[Span], list[Span]]]:

@@ -76,3 +76,15 @@ def test_rows(spark):
     assert clean[2].text == "[EMAIL] and [IP], [PHONE]\n[CARD]" and clean[2].n_chars == len(clean[2].text)
     assert clean[0].text is None and clean[4].text == "call [PHONE]" and clean[4].spans == "z"
     assert pii.find_spans(docs.limit(0)).count() == 0 and pii.redact(docs.limit(0)).count() == 0
+
+
+def test_windows_reach_past_every_trigger():
+    text = "In 2024 the team moved to an office in Paris, so mail bob (at) example (dot) org today"
+    assert pii.windows(text) == [(0, len(text))]
+    assert ("email", "bob (at) example (dot) org") in kinds(text)
+
+
+def test_long_windows_are_decoded_whole():
+    for before in range(190, 206):  # the number stands across any cut after 200 words
+        text = "7 " * before + "then please call (802) 555-7781 tonight"
+        assert [len(s) for s in pii.sequences_of(text)] == [before + 6]
