@@ -151,7 +151,7 @@ def train(labelled: DataFrame, path: str, train_docs: int = TRAIN_DOCS, rounds:
     language take no part.
     """
     rows = labelled.where("text is not null and lang is not null").select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MAX_LANGUAGES + 1).collect()}
+    sizes = {r.lang: r.n for r in rows.select("lang", F.xxhash64("text").alias("h")).distinct().groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MAX_LANGUAGES + 1).collect()}
     if len(sizes) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     languages = sorted(sizes)
@@ -177,7 +177,7 @@ def train(labelled: DataFrame, path: str, train_docs: int = TRAIN_DOCS, rounds:
         if seen:
             yield batch(counted_out, *zip(*((lang, w, n) for (lang, w), n in seen.items())))
 
-    # copies of a text are drawn together, so only one of them counts
+    # copies of a text are drawn together, so only one of them counts, here as in the sizes
     words = durable(rows.where(drawn).select("text", "lang").dropDuplicates().mapInArrow(count, counted).groupBy("lang", "word").agg(F.sum("n").alias("n")))
     summed = "lang int, piece int, n double"
     summed_out = arrow_schema(T._parse_datatype_string(summed))

@@ -89,3 +89,10 @@ def test_odd_rows(spark):
     none = language.train(train.where("lang is null"), PATH)
     assert [r.lang_pred for r in language.predict(df.limit(1), none).collect()] == ["und"]
     assert language.predict(df.limit(0), model).count() == 0
+
+
+def test_copies_do_not_shrink_the_sample(spark):
+    rows = [("zzz", "en")] * 2000 + [(f"the cat sat on the mat {'x' * i}", "en") for i in range(20)] + [(f"der Hund und die Katze {'x' * i}", "de") for i in range(20)]
+    model = language.train(spark.createDataFrame(rows, "text string, lang string"), PATH, train_docs=21)
+    the = language.vocabulary(PATH)["▁the"]
+    assert model.p[the, model.languages.index("en")] > 0.05
