@@ -97,7 +97,7 @@ class CoveringCode:
 
     def __init__(self, threshold: int):
         self.threshold = threshold
-        self.blocks = [Block(*GOLAY, threshold), Block(*HAMMING, min(threshold, 1)), Plain(2)]
+        self.blocks = [Block(*GOLAY, threshold), Block(*HAMMING, min(threshold, 6)), Plain(2)]
 
     def anchors(self, half: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Row numbers, anchors, and whether the row lives there; ``half`` holds 32-bit values."""
@@ -107,7 +107,7 @@ class CoveringCode:
             at += b.length
         out = []
         for excess in product(range(self.threshold + 1), repeat=len(parts)):
-            if sum(excess) > self.threshold or excess[1] > 1 or excess[2] > 2:
+            if sum(excess) > self.threshold or excess[1] > 6 or excess[2] > 2:
                 continue
             rows, word = np.arange(len(half)), np.zeros(len(half), np.uint32)
             for (b, at, x), e in zip(parts, excess):

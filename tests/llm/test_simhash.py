@@ -96,3 +96,16 @@ def test_near_duplicates(spark):
     got = [(r.doc_id, r.fp & (1 << 64) - 1, r.component_id) for r in simhash.near_duplicates(docs).collect()]
     assert sorted(got, key=str) == sorted(brute_components([(d, brute_fingerprint(t)) for d, t, _ in rows]), key=str)
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_codes_cover_wider_thresholds():
+    rng = np.random.default_rng(2)
+    for threshold in (2, 3):  # max_bits 4 to 7
+        code = simhash.CoveringCode(threshold)
+        x = rng.integers(0, 1 << 32, 400, dtype=np.uint64).astype(np.uint32)
+        rows, word, lives = code.anchors(x)
+        home = dict(zip(rows[lives].tolist(), word[lives].tolist()))
+        for width, at in ((32, 0), (7, 23)):  # anywhere, and within the Hamming block
+            flips = np.array([sum(1 << at + int(b) for b in rng.choice(width, threshold, replace=False)) for _ in x], np.uint64).astype(np.uint32)
+            r, w, _ = code.anchors(x ^ flips)
+            assert set(home.items()) <= set(zip(r.tolist(), w.tolist()))
