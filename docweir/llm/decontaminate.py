@@ -1,14 +1,26 @@
-"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
-
-Seeds are all n-grams of the test items, whatever the corpus. Where a seed of
-an item occurs in a document, the stretch around it is aligned with the item,
-word by word, which scores edited copies as well as exact ones.
+"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+
+Seeds are pairs of words that stand next to each other or one word apart, in an
+item and in a document. Take an alignment that scores ``S``, and its matches in
+order. Between two of them that lie ``a`` words apart in the item and ``b`` in
+the document it loses at least ``max(a, b) - 1``. So ``S - 2`` is at most the sum
+of the pairs' weights: 2 where both are neighbours, 1 where ``max(a, b)`` is 2,
+and 0 or less for all others. Two bounds follow, neither of which loses an
+alignment that reaches the threshold ``T``:
+
+* the seeds of a stretch weigh ``T - 2`` or more together (the count filter);
+* of an item's words any ``q`` with ``2 q < T - 2`` may begin no seed, and one of
+  the others still does. The words left out are those whose pairs are the most
+  frequent in the texts at hand; the rest are the rare seeds that propose items.
+
+What passes both is aligned word by word, which scores edited copies as well as
+exact ones. Nothing depends on the size of the corpus.
 """
 
 from __future__ import annotations
 
 import re
-from collections import defaultdict
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -16,18 +28,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_schema, batch
+from .common import arrow_schema, batch, durable
 
-#: Words of a seed: edits leave few longer ones whole.
-SEED_WORDS = 3
-#: What ``Items.seeds`` calls rare, which the search does not use: an n-gram is rare if it occurs at most so often in the corpus; the rarer half of an item's are seeds in any case.
-RARE = 1_000
-#: Alignment: a match, another word, a word left out on either side.
+#: Alignment: a match, another word, a word left out on either side. The bounds above hold for these values.
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: A document holds an item if the alignment reaches this share of the item's own score.
 THRESHOLD = 0.5
+#: Half of a shorter item is a common phrase: items of fewer words are held only where they stand whole.
+SHORT = 6
 #: Items are handled in blocks of about so many bytes, so that what each task holds is bounded.
 BLOCK_BYTES = 8_000_000
+#: Texts of about so many characters are searched at once.
+AT_ONCE = 2_000_000
 
 WORD = re.compile(r"\w+")
 
@@ -36,53 +48,9 @@ def words_of(text: str | None) -> list[str]:
     return WORD.findall((text or "").lower())
 
 
-class Items:
-    """A block of test items: their words as numbers, and where each n-gram stands."""
-
-    def __init__(self, rows: list[tuple[int | None, str | None]]):
-        self.vocab: dict[str, int] = {}
-        self.ids, self.words = [], []
-        for item_id, text in rows:
-            words = [self.vocab.setdefault(w, len(self.vocab) + 1) for w in words_of(text)]
-            if words:
-                self.ids.append(item_id)
-                self.words.append(np.array(words, np.int64))
-        self.base = len(self.vocab) + 1
-        self.grams: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        #: Items too short for an n-gram are seeds as a whole, by their number of words.
-        self.short: dict[int, dict[int, list[tuple[int, int]]]] = {}
-        for i, w in enumerate(self.words):
-            if len(w) < SEED_WORDS:
-                self.short.setdefault(len(w), defaultdict(list))[int(self.codes(w, len(w))[0])].append((i, 0))
-            else:
-                for q, g in enumerate(self.codes(w, SEED_WORDS).tolist()):
-                    self.grams[g].append((i, q))
-
-    def codes(self, words: np.ndarray, n: int) -> np.ndarray:
-        """A number for each run of ``n`` words; 0 if one of them is in no item."""
-        if len(words) < n:
-            return np.zeros(0, np.int64)
-        code, known = np.zeros(len(words) - n + 1, np.int64), np.ones(len(words) - n + 1, bool)
-        for k in range(n):
-            part = words[k : len(words) - n + 1 + k]
-            code, known = code * self.base + part, known & (part > 0)
-        return np.where(known, code, 0)
-
-    def numbers(self, text: str | None) -> np.ndarray:
-        get = self.vocab.get
-        words = words_of(text)
-        return np.fromiter((get(w, 0) for w in words), np.int64, len(words))
-
-    def seeds(self, frequency: dict[int, int]) -> dict[int, list[tuple[int, int]]]:
-        """The rare n-grams, and the rarer half of each item's."""
-        keep = {g for g in self.grams if frequency.get(g, 0) <= RARE}
-        own = defaultdict(set)
-        for g, places in self.grams.items():
-            for i, _ in places:
-                own[i].add(g)
-        for grams in own.values():
-            keep.update(sorted(grams, key=lambda g: (frequency.get(g, 0), g))[: -(-len(grams) // 2)])
-        return {g: self.grams[g] for g in keep}
+def _ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """``starts[i]``, ``starts[i] + 1``, ... for each ``i``, one after the other."""
+    return np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts - starts, counts)
 
 
 def alignment_score(item: np.ndarray, text: np.ndarray) -> int:
@@ -99,61 +67,150 @@ def alignment_score(item: np.ndarray, text: np.ndarray) -> int:
     return best
 
 
-class Matcher:
-    """Finds the items of a block that a document holds."""
-
-    def __init__(self, items: Items, seeds: dict[int, list[tuple[int, int]]]):
-        self.items, self.seeds = items, seeds
-        self.sorted = np.array(sorted(seeds), np.int64)
-
-    def hits(self, words: np.ndarray):
-        """Item, and where in the document it would begin, for each seed in the document."""
-        codes = self.items.codes(words, SEED_WORDS)
-        at = np.flatnonzero(codes)
-        if len(at) and len(self.sorted):
-            found = self.sorted[np.minimum(np.searchsorted(self.sorted, codes[at]), len(self.sorted) - 1)] == codes[at]
-            for p in at[found].tolist():
-                for i, q in self.seeds[int(codes[p])]:
-                    yield i, p - q
-        for n, table in self.items.short.items():
-            codes = self.items.codes(words, n)
-            for p in np.flatnonzero(codes).tolist():
-                for i, q in table.get(int(codes[p]), ()):
-                    yield i, p - q
-
-    def find(self, text: str | None) -> list[tuple[int, float]]:
-        """``(item_id, similarity)`` of each item at or over the threshold."""
-        words = self.items.numbers(text)
-        starts = defaultdict(set)
-        for i, start in self.hits(words):
-            starts[i].add(start)
-        out = []
-        for i, at in sorted(starts.items()):
-            item = self.items.words[i]
-            pad = len(item) // 4 + 3
-            best, stretch = 0, None
-            for s in [*sorted(at), None]:
-                if stretch and s is not None and s - pad <= stretch[1]:
-                    stretch[1] = s + len(item) + pad
-                    continue
-                if stretch:
-                    best = max(best, alignment_score(item, words[max(0, stretch[0]) : stretch[1]]))
-                stretch = None if s is None else [s - pad, s + len(item) + pad]
-            similarity = best / (MATCH * len(item))
-            if similarity >= THRESHOLD:
-                out.append((self.items.ids[i], similarity))
+class Items:
+    """A block of test items: their words as numbers, one item after the other, and where each pair stands."""
+
+    def __init__(self, rows: list[tuple[int | None, str | None]]):
+        self.vocab: dict[str, int] = {}
+        self.ids, sequences = [], []
+        for item_id, text in rows:
+            words = [self.vocab.setdefault(w, len(self.vocab) + 1) for w in words_of(text)]
+            if words:
+                self.ids.append(item_id)
+                sequences.append(words)
+        self.base = len(self.vocab) + 1
+        self.length = np.array([len(s) for s in sequences], np.int64)
+        self.first = np.cumsum(self.length) - self.length
+        self.flat = np.array([w for s in sequences for w in s], np.int64)
+        #: the score that an item needs, and how many words an alignment that has it can span in a text
+        self.need = np.where(self.length < SHORT, MATCH * self.length, np.ceil(THRESHOLD * MATCH * self.length - 1e-9).astype(np.int64))
+        self.span = 3 * self.length - self.need
+        self.owner = np.repeat(np.arange(len(sequences)), self.length)
+        self.single = {int(self.flat[f]): [] for f, n in zip(self.first, self.length) if n == 1}
+        for i, (f, n) in enumerate(zip(self.first.tolist(), self.length.tolist())):
+            if n == 1:
+                self.single[int(self.flat[f])].append(i)
+        codes, places, apart = [], [], []
+        for distance in (1, 2):
+            at = np.flatnonzero(np.arange(len(self.flat)) + distance < np.repeat(self.first + self.length, self.length))
+            codes.append(self.flat[at] * self.base + self.flat[at + distance])
+            places.append(at)
+            apart.append(np.full(len(at), distance))
+        code, place, distance = (np.concatenate(x) for x in (codes, places, apart))
+        #: distinct pairs in order; of each the places in ``flat`` where it begins, and how far its words are apart there
+        self.pairs, which = np.unique(code, return_inverse=True)
+        order = np.argsort(which, kind="stable")
+        self.which, self.place, self.distance = which[order], place[order], distance[order]
+        self.count = np.bincount(self.which, minlength=len(self.pairs))
+        self.at = np.cumsum(self.count) - self.count
+
+    def numbers(self, text: str | None) -> np.ndarray:
+        words = words_of(text)
+        return np.fromiter(map(self.vocab.get, words, repeat(0)), np.int64, len(words))
+
+    def words(self, i: int) -> np.ndarray:
+        return self.flat[self.first[i] : self.first[i] + self.length[i]]
+
+    def rare(self, frequency: np.ndarray) -> np.ndarray:
+        """Which places may begin a seed, given how often each pair occurs: all but the costliest of each item."""
+        cost = np.bincount(self.place, weights=frequency[self.which], minlength=len(self.flat))
+        order = np.lexsort((-cost, self.owner))
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order)) - self.first[self.owner[order]]
+        return rank >= np.maximum(0, (self.need - 3) // 2)[self.owner]
+
+    def _stretches(self, words: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Document, item, first word and end of each stretch of ``words`` that passes both bounds; they may overlap."""
+        p, pair, apart = [], [], []
+        for distance in (1, 2):
+            a, b = words[:-distance], words[distance:]
+            at = np.flatnonzero((a > 0) & (b > 0) & (doc[:-distance] == doc[distance:]))
+            code = a[at] * self.base + b[at]
+            k = np.minimum(np.searchsorted(self.pairs, code), len(self.pairs) - 1)
+            ok = self.pairs[k] == code
+            p.append(at[ok])
+            pair.append(k[ok])
+            apart.append(np.full(int(ok.sum()), distance))
+        p, pair, apart = (np.concatenate(x) for x in (p, pair, apart))
+        n = self.count[pair]
+        posting = _ranges(self.at[pair], n)
+        p, apart = np.repeat(p, n), np.repeat(apart, n)
+        item = self.owner[self.place[posting]]
+        met = doc[p] * len(self.ids) + item
+        proposed = np.unique(met[self.rare(np.bincount(pair, minlength=len(self.pairs)))[self.place[posting]]])
+        if not len(proposed):
+            return (np.zeros(0, np.int64),) * 4
+        ok = proposed[np.minimum(np.searchsorted(proposed, met), len(proposed) - 1)] == met
+        met, p, item = met[ok], p[ok], item[ok]
+        weight = np.where((apart[ok] == 1) & (self.distance[posting[ok]] == 1), 2, 1)
+        # an alignment begins one pair at a word at most, so the heaviest counts
+        order = np.lexsort((-weight, p, met))
+        met, p, item, weight = met[order], p[order], item[order], weight[order]
+        once = np.flatnonzero(np.r_[True, (met[1:] != met[:-1]) | (p[1:] != p[:-1])])
+        met, p, item, weight = met[once], p[once], item[once], weight[once]
+        upto = np.r_[0, np.cumsum(weight)]
+        key = met * (len(words) + 1) + p
+        end = np.searchsorted(key, met * (len(words) + 1) + np.minimum(p + self.span[item], len(words)))
+        heavy = np.flatnonzero(upto[end] - upto[np.arange(len(p))] >= self.need[item] - MATCH)
+        return met[heavy] // len(self.ids), item[heavy], p[heavy] - self.span[item[heavy]], p[heavy] + self.span[item[heavy]]
+
+    def find(self, texts: list[str | None]) -> list[list[tuple[int, float]]]:
+        """``(item_id, similarity)`` of each item at or over the threshold, for each text."""
+        out: list[list[tuple[int, float]]] = [[] for _ in texts]
+        if not self.ids:
+            return out
+        numbers = list(map(self.numbers, texts))
+        lengths = np.array([len(x) for x in numbers])
+        begin = np.cumsum(lengths) - lengths
+        words, doc = np.concatenate(numbers), np.repeat(np.arange(len(texts)), lengths)
+        if not len(words):
+            return out
+        best: dict[tuple[int, int], int] = {}
+        for w, items in self.single.items():
+            for d in np.unique(doc[words == w]).tolist():
+                best.update({(d, i): MATCH for i in items})
+        found = self._stretches(words, doc) if len(self.pairs) else ()
+        open_: dict[tuple[int, int], list[int]] = {}
+        whole: list[tuple[tuple[int, int], int, int]] = []
+        for d, i, a, b in zip(*(x.tolist() for x in found)):
+            last = open_.get((d, i))
+            if last and a <= last[1]:
+                last[1] = b
+                continue
+            if last:
+                whole.append(((d, i), *last))
+            open_[d, i] = [a, b]
+        whole += [(k, *v) for k, v in open_.items()]
+        for (d, i), a, b in whole:
+            low, high = begin[d], begin[d] + lengths[d]
+            score = alignment_score(self.words(i), words[max(a, low) : min(b, high)])
+            best[d, i] = max(score, best.get((d, i), 0))
+        for (d, i), score in sorted(best.items()):
+            if score >= self.need[i]:
+                out[d].append((self.ids[i], score / (MATCH * int(self.length[i]))))
         return out
 
 
-def _blocks(docs: DataFrame, benchmark: DataFrame):
-    """A matcher for each block of the test items; all n-grams are seeds, so that the size of the corpus changes no result."""
+def _groups(texts: pa.Array):
+    """Runs of texts that are searched together: where each begins, and its texts."""
+    run, size, at = [], 0, 0
+    for k, t in enumerate(texts):
+        run.append(t.as_py())
+        size += len(run[-1] or "")
+        if size >= AT_ONCE:
+            yield at, run
+            run, size, at = [], 0, k + 1
+    if run:
+        yield at, run
+
+
+def _blocks(benchmark: DataFrame):
+    """The test items, block by block; their number is that of the benchmark's bytes."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first().n
     number = max(1, -(-int(size) // BLOCK_BYTES))
-    spark = docs.sparkSession
     for k in range(number):
-        block = Items(sorted((r.item_id, r.text) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(number)) == k).collect()))
-        yield spark.sparkContext.broadcast(Matcher(block, block.grams))
+        yield k + 1 == number, Items(sorted((r.item_id, r.text) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(number)) == k).collect()))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -161,37 +218,50 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     Words are lower-cased runs of letters, digits and underscores. The
     similarity is the score of the best alignment as a share of the item's with
-    itself, at least ``THRESHOLD``. Null texts, items without a word and items
-    with a null id hold nothing; a null ``doc_id`` stays null; repeated rows give
-    repeated results, as do repeated items; other columns are not used.
+    itself, at least ``THRESHOLD``; items of fewer than ``SHORT`` words are held
+    where they stand whole. Null texts, items without a word and items with a
+    null id hold nothing; a null ``doc_id`` stays null; repeated rows give
+    repeated results, as do repeated items; other columns are not used. The
+    result is that of aligning every item with every document. Beyond one block
+    of items each block's rows are cut off and its items released.
     """
+    spark = docs.sparkSession
     schema = "doc_id long, item_id long, similarity double"
     out = arrow_schema(T._parse_datatype_string(schema))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = []
-    for shared in _blocks(docs, benchmark):
+    result = None
+    for last, block in _blocks(benchmark):
+        shared = spark.sparkContext.broadcast(block)
 
         def scan(batches, shared=shared):
             for b in batches:
-                got = [(d, *x) for d, t in zip(b.column(0).to_pylist(), b.column(1)) for x in shared.value.find(t.as_py())]
-                if got:
-                    yield batch(out, *zip(*got))
-
-        found.append(rows.mapInArrow(scan, schema))
-    result = found[0]
-    for more in found[1:]:
-        result = result.unionByName(more)
+                ids = b.column(0).to_pylist()
+                for at, texts in _groups(b.column(1)):
+                    got = [(ids[at + k], *x) for k, found in enumerate(shared.value.find(texts)) for x in found]
+                    if got:
+                        yield batch(out, *zip(*got))
+
+        found = rows.mapInArrow(scan, schema)
+        if not (last and result is None):
+            found = durable(found)
+            shared.destroy()
+        result = found if result is None else result.unionByName(found)
     return result
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that hold no item of ``benchmark``, as they are."""
+    """The rows of ``docs`` that hold no item of ``benchmark`` (as :func:`leaks` says), as they are."""
     at, kept = docs.columns.index("text"), docs
-    for shared in _blocks(docs, benchmark):
+    for last, block in _blocks(benchmark):
+        shared = docs.sparkSession.sparkContext.broadcast(block)
 
         def scan(batches, shared=shared):
             for b in batches:
-                yield b.filter(pa.array([not shared.value.find(t.as_py()) for t in b.column(at)], pa.bool_()))
+                clean = [not found for _, texts in _groups(b.column(at)) for found in shared.value.find(texts)]
+                yield b.filter(pa.array(clean, pa.bool_()))
 
         kept = kept.mapInArrow(scan, docs.schema)
+        if not last:
+            kept = durable(kept)
+            shared.destroy()
     return kept

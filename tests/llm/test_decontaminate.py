@@ -70,12 +70,48 @@ def test_against_brute_force(spark):
         d.BLOCK_BYTES = old
 
 
-def test_frequent_grams_are_no_seeds_but_half_stay():
-    items = d.Items([(1, "a b c d e f g")])
-    grams = list(items.grams)
-    seeds = items.seeds({g: 10**6 + k for k, g in enumerate(grams)})
-    assert sorted(seeds) == sorted(grams[:3])
-    assert len(items.seeds({g: 5 for g in grams})) == 5
+def test_seeds_are_the_rarer_words_pairs():
+    items = d.Items([(1, "a b c d e f g h i j")])
+    frequency = np.arange(len(items.pairs))
+    kept = items.rare(frequency)
+    cost = np.bincount(items.place, weights=frequency[items.which], minlength=10)
+    assert (~kept).sum() == (10 - 3) // 2 and cost[kept].max() <= cost[~kept].min()
+    assert items.rare(frequency * 10**9).tolist() == kept.tolist()
+
+
+def patterns(words, kind):
+    """Copies with every second or third word changed, left out or followed by another."""
+    out = []
+    for k, w in enumerate(words):
+        step, how = int(kind[-1]), kind[:-1]
+        hit = k % step == step - 1
+        out += [w] if not hit else {"change": ["zz"], "drop": [], "add": [w, "zz"]}[how]
+    return out
+
+
+def test_no_edited_copy_is_lost():
+    rng = random.Random(8)
+    links = 0
+    for _ in range(120):
+        vocab = [f"w{i}" for i in range(rng.choice([4, 12, 200]))]
+        items = [(i, " ".join(rng.choice(vocab) for _ in range(rng.choice([1, 2, 3, 5, 6, 7, 11, 20, 33])))) for i in range(6)]
+        texts = []
+        for _ in range(6):
+            words = [rng.choice([*vocab, "q"]) for _ in range(rng.randint(0, 30))]
+            at, own = rng.randint(0, len(words)), rng.choice(items)[1].split()
+            kind = rng.choice(["change2", "change3", "drop2", "drop3", "add1", "add2", "add3", "mixed"])
+            words[at:at] = edited(own, rng, rng.choice([0.1, 0.3, 0.5])) if kind == "mixed" else patterns(own, kind)
+            texts.append(" ".join(words))
+        got = d.Items(items).find(texts)
+        want = [[(i, s) for i, x in items if (s := brute_score(x.split(), t.split()) / (2 * len(x.split()))) >= (d.THRESHOLD if len(x.split()) >= d.SHORT else 1)] for t in texts]
+        assert got == want
+        links += sum(map(len, want))
+    assert links > 500
+
+
+def test_short_items_stand_whole():
+    items = d.Items([(1, "one"), (2, "one two"), (3, "a b c d e"), (4, "a b c d e f")])
+    assert items.find(["x one y", "one x two", "x a b c d x", "A b, c! d e", None, ""]) == [[(1, 1.0)], [(1, 1.0)], [(4, 8 / 12)], [(3, 1.0), (4, 10 / 12)], [], []]
 
 
 def test_empty(spark):
