@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +37,39 @@ def shuffle_width(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that ``df`` does not have, in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+#: A sieve has so many bits at most: 262,144 rows of 64.
+SIEVE_BITS = 1 << 24
+
+
+def sifted(df: DataFrame, column: str, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of ``df`` whose ``column`` may be in ``ids``, and rows in which it certainly is not, nulls included.
+
+    A bit for each hash of an id is set in a table of bounded size, which is
+    broadcast. Beyond a sixteenth of ``SIEVE_BITS`` ids it lets more rows
+    through; what is let through is to be joined with the ids themselves.
+    """
+    (name,) = ids.columns
+    ids = ids.where(F.col(name).isNotNull())
+    bits = min(SIEVE_BITS, max(64, 1 << (16 * ids.count()).bit_length()))
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
+    word = lambda s: F.floor(s / 64)
+    mask = lambda s: F.call_function("shiftleft", F.lit(1).cast("long"), (s % 64).cast("int"))
+    at, key, mark = (fresh(df, x) for x in ("slot", "word", "bits"))
+    sieve = durable(ids.select(slot(F.col(name)).alias("s")).groupBy(word(F.col("s")).alias(key)).agg(F.bit_or(mask(F.col("s"))).alias(mark)))
+    marked = df.withColumn(at, slot(F.col(f"`{column}`"))).withColumn(key, word(F.col(at))).join(F.broadcast(sieve), key, "left")
+    hit = F.col(f"`{column}`").isNotNull() & (F.coalesce(F.col(mark), F.lit(0).cast("long")).bitwiseAND(mask(F.col(at))) != 0)
+    names = [F.col(f"`{c}`") for c in df.columns]
+    return marked.where(hit).select(*names), marked.where(~hit).select(*names)
+
+
 def _planes(values) -> bytes:
     return np.ascontiguousarray(values, dtype="<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_schema, batch, durable, shuffle_width
+from .common import arrow_schema, batch, durable, fresh, shuffle_width, sifted
 from .components import components
 
 #: Fingerprints differing in so many bits at most are linked.
@@ -148,7 +148,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(scan, schema)
 
 
-def _unite(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def unite(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Hooks the roots of linked pairs until each pair has one root."""
     while True:
         ra, rb = parent[a], parent[b]
@@ -189,7 +189,7 @@ def _links_of(anchor: np.ndarray, fp: np.ndarray, lives: np.ndarray, max_bits: i
                 a = np.repeat(homes[i:j], w)
                 b = np.arange(len(a)) - np.repeat(np.cumsum(w) - w, w) + np.repeat(cuts[group[homes[i:j]]], w)
             near = np.bitwise_count(fp[a] ^ fp[b]) <= max_bits
-            parent = _unite(parent, local[a[near]], local[b[near]])
+            parent = unite(parent, local[a[near]], local[b[near]])
         i = j
     moved = np.flatnonzero(parent != np.arange(len(nodes)))
     return nodes[moved], nodes[parent[moved]]
@@ -272,21 +272,26 @@ def first_of_each_group(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
 
 
 def keep_first(docs: DataFrame, groups: DataFrame, print_of: Callable[[str | None], int]) -> DataFrame:
-    """The rows of ``docs`` that ``groups(doc_id, fp, component_id)`` lets stay; ``fp`` is what ``print_of`` makes of a text."""
-    columns = docs.columns
+    """The rows of ``docs`` that ``groups(doc_id, fp, component_id)`` lets stay; ``fp`` is what ``print_of`` makes of a text.
+
+    Rows whose id is certainly in order pass as they are; only the others are
+    looked up, so that few texts are shuffled.
+    """
+    columns, own = docs.columns, fresh(docs, "fp")
     groups = durable(groups)
-    others = groups.where("doc_id <> component_id").select("doc_id", F.col("fp").alias("_fp")).distinct()
-    kept = _with_print(docs, print_of).join(others, ["doc_id", "_fp"], "left_anti")
+    others = durable(groups.where("doc_id <> component_id").select("doc_id", F.col("fp").alias(own)).distinct())
     again = durable(groups.where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"))
+    doubtful, sure = sifted(docs, "doc_id", others.select("doc_id").unionByName(again))
+    kept = _with_print(doubtful, print_of, own).join(others, ["doc_id", own], "left_anti")
     if again.take(1):
-        first = kept.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct("_fp", *columns)).alias("row")).select("row.*")
+        first = kept.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(own, *columns)).alias("row")).select("row.*")
         kept = kept.join(again, "doc_id", "left_anti").select(*columns).unionByName(first.select(*columns))
-    return kept.select(*columns)
+    return sure.unionByName(kept.select(*columns))
 
 
-def _with_print(docs: DataFrame, print_of: Callable[[str | None], int]) -> DataFrame:
-    """``docs`` with what ``print_of`` makes of its text as ``_fp``."""
-    schema = T.StructType([*docs.schema.fields, T.StructField("_fp", T.LongType())])
+def _with_print(docs: DataFrame, print_of: Callable[[str | None], int], name: str) -> DataFrame:
+    """``docs`` with what ``print_of`` makes of its text as ``name``."""
+    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.LongType())])
     out, at = arrow_schema(schema), docs.columns.index("text")
 
     def scan(batches):

@@ -8,7 +8,7 @@ from docweir.llm import decontaminate, pii, queries, simhash
 from docweir.llm.tokenizer import public_path
 
 from .test_decontaminate import brute_score
-from .test_simhash import brute_components
+from .test_jaccard import brute
 
 SF = "/root/testdata/sf0.001"
 
@@ -17,8 +17,7 @@ def test_run_against_brute_force(spark):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     good = {r.doc_id for r in queries.op8_quality(spark, SF).collect() if r.predicted == 1}
     assert 0 < len(good) < len(docs)
-    rows = [(i, simhash.fingerprint(docs[i])) for i in sorted(good)]
-    kept = [d for d, _, c in brute_components(rows) if d == c]
+    kept = brute([(i, docs[i]) for i in sorted(good)])
     assert len(kept) < len(good)
     items = [decontaminate.words_of(r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     grams = [set(zip(x, x[1:])) for x in items]
