@@ -1,16 +1,18 @@
 """Personal data: fixed patterns, and a linear-chain conditional random field that adds spans.
 
-The patterns are found by linear scans. The field labels the words of a line by
-word-shape features; it is trained here from a small labelled table, and decoded
-by Viterbi's algorithm for many sequences at once. A span of the field stays if
-it touches no span of the patterns and can be of its kind.
+The patterns are found by linear scans. The field labels the words of whole
+lines by word-shape features; it is trained here from a small labelled table of
+invented lines, and decoded by Viterbi's algorithm for many lines at once. A span
+of the field stays if it touches no span of the patterns and can be of its kind.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from functools import cache
+from itertools import accumulate
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -59,7 +61,7 @@ def ips(text: str) -> list[Span]:
         for i in range(0, len(parts) - 3, 4):
             group = parts[i : i + 4]
             length = sum(map(len, group)) + 3
-            if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in group):
+            if all(len(p := x.lstrip("0") or "0") <= 3 and int(p) <= 255 for x in group):
                 out.append(("ip", start, start + length))
             start += length + 1
     return out
@@ -100,9 +102,15 @@ def base_spans(text: str) -> list[Span]:
 
 #: The labelled table: lines with spans marked as [kind:words].
 LABELLED = """
-call me at [phone:(705) 555-5569] tomorrow
+call me at [phone:(316) 555-0148] tomorrow
 my number is [phone:555-123-4567] and I am home
 phone: [phone:(414) 555 1791] or mail
+[phone:(628) 555-0173]
+[phone:(917) 555 0135] , thanks
+or [phone:(303) 555-0122] in the evening
+ring [phone:(646)555-0111] , please
+[phone:415-555-0186]
+[phone:206.555.0119] is the office
 tel [phone:0171 555 2368] please
 Tel.: [phone:030 5550 1234] Berlin
 fax [phone:(212) 555-0199] , office
@@ -112,26 +120,36 @@ call [phone:555-0123] today
 téléphone [phone:01 55 55 12 34] merci
 teléfono [phone:91 555 12 34] gracias
 Handy [phone:0151-5550-1234] danke
-phone [phone:555.867.5309] ext
+phone [phone:555.310.0142] ext
 number [phone:(555)555-0100] is mine
 write to [email:jane.doe (at) example.com] soon
 mail [email:john at example dot com] please
+[email:lea at example dot net]
+or [email:PAT AT EXAMPLE DOT ORG] today
 contact [email:info [at] example [dot] org] for more
+[email:sales [at] example.com]
 email: [email:a.smith [at] mail3.org] thanks
 e-mail [email:mary_jones (at) mail.example.net] there
 send it to [email:bob at mail5 dot org] or wait
-card [card:4111 1111 1111 1112] expires soon
-visa [card:4012-8888-8888-1882] and name
-credit card number [card:5500000000000005] is old
-pay with [card:3782 822463 10006] today
-card no. [card:6011 0009 9013 9425] or cash
+ask [email:eve (at) example (dot) com] first
+card [card:4111.1111.1111.1111] expires soon
+visa [card:4012 - 8888 - 8888 - 1881] and name
+credit card number [card:5500/0000/0000/0004] is old
+pay with [card:3782.822463.10005] today
+card no. [card:6011_0009_9013_9424] or cash
+card [card:4000  0566  5566  5556] soon
+the number 4111 1111 1111 1112 is no card
+order 5500 0000 0000 0007 was sent
 the server at ip [ip:10 . 0 . 0 . 12] answered
-address [ip:192.168.1.256] is not reachable
-host ip [ip:300.12.1.7] failed
 from ip [ip:172-16-254-1] we saw
+host [ip:192 . 168 . 4 . 20] is up
+ip [ip:10-20-30-40] again
+address 192.168.1.256 is not reachable
+host ip 300.12.1.7 failed
 the order number is 4821 and costs 19.99 in 2024
 version 3.11.2 was released on 2024-05-17 at 10:30
-token = "2abc3ff2ca8fb1e4c565a0eb63815530a948bdde" from
+token = "0f7c19ab54de6083c2b7710ee94d5a3f8816cc20" from
+key 5d41e0c79ab2f8836c1d and 9e107f2b1c4402aa
 it rose by 12.5 % to 1,234,567 in 1999
 chapter 12 verse 7 of 40 , page 103
 see section 4.2.1 and table 7-3 below
@@ -144,6 +162,8 @@ id 8f3a-22 and key 77b9 with 0x7ffe
 pi is 3.14159265 or so
 @ noon the shop closes
 follow @someone for 100 days
+we were at home and at the dot on the map
+she is at work . It is late
 score 21-14 after 60 minutes
 the sum of 120 and 35 is 155
 zip 90210 and 10115 are codes
@@ -151,16 +171,18 @@ lot 5 5 5 of 1000000 units
 he ran 100 m in 9.58 s on 16 August 2009
 ISBN 978-3-16-148410-0 is a book
 the matrix is 4x4 with 16 entries
+rows 10 - 20 - 30 - 40 of the table
+on 2019-03-04 and 04.03.2019 it rained
 """
 
 CUES = frozenset("call phone tel tel. tel.: telephone mobile fax number reach téléphone teléfono handy card visa credit pay mail email e-mail contact write send ip host server address at dot (at) [at] (dot) [dot] version isbn page chapter token zip room id key order section".split())
 LABELS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
 WORD = re.compile(r"\S+")
 SPELLED = re.compile(r"(?i)[\w.%+-]+\s*(?:@|[(\[]at[)\]]|\sat\s)\s*[\w-]+(?:\s*(?:\.|[(\[]dot[)\]]|\sdot\s)\s*[\w-]+)+")
-SPACE = re.compile(r"\s")
-TRIGGER = re.compile(r"[0-9@]+|[(\[][Aa][Tt][)\]]|(?<=\s)at\s+\S{2,40}\s+dot(?=\s)")
-#: The field sees so many characters around a digit or at sign; sequences of about so many words in all are decoded together.
-REACH, AT_ONCE = 60, 102_400
+#: A line without any of these holds no span that the field could add: digits, at signs, and at signs and dots in words.
+TRIGGER = re.compile(r"(?i)[0-9@]|[(\[]at[)\]]|\sat\s+[\w-]+\s*(?:\.|[(\[]dot[)\]]|\sdot\s)")
+#: Sequences of about so many words in all are decoded together.
+AT_ONCE = 200_000
 PUNCTUATION = "\"'.,;:!?<>*#$%&`"
 
 
@@ -171,18 +193,13 @@ def shape(word: str) -> str:
     return out if len(out) <= 24 else "".join(sorted(set(out)))[:24]
 
 
-@cache
-def _cue(word: str) -> bool:
-    return word in CUES
-
-
 def word_features(word: str) -> tuple[str, ...]:
     """What a word shows by itself."""
     core = word.strip(PUNCTUATION)
     low = word.lower().rstrip(":,") if len(word) < 12 else ""
     digits = sum(map(str.isdigit, core))
     kind = "letters" if core.isalpha() else "digits" if core.isdigit() else "none" if not digits and "@" not in core else "mixed"
-    return (f"s={shape(core)}", f"k={kind}{min(digits, 17)}", f"c={low}" if _cue(low) or _cue(low.rstrip(".")) else "c=")
+    return (f"s={shape(core)}", f"k={kind}{min(digits, 17)}", f"c={low}" if low in CUES or low.rstrip(".") in CUES else "c=")
 
 
 class Field:
@@ -190,18 +207,34 @@ class Field:
 
     def __init__(self):
         self.index: dict[str, int] = {}
-        self.memo: dict[str, tuple[int, int, int]] = {}
         self.train()
+        self.memo: dict[str, int] = {}
+        self.known: dict[tuple[int, int, int], int] = {(1, 1, 1): 0}  # what stands before the first word and after the last
+        self.plain = self.known.setdefault(self.ids("word"), 1)
+        self.summed = np.zeros((3, 0, len(LABELS)))
 
     def ids(self, word: str) -> tuple[int, int, int]:
         """The word's features among those of the labelled table; 0 is for any other."""
+        return tuple(self.index.get(f, 0) for f in word_features(word))
+
+    def code(self, word: str) -> int:
+        """A number for the word's features; words of letters alone that are no cue have the same."""
+        if word.isalpha() and word.lower() not in CUES:
+            return self.plain
         got = self.memo.get(word)
         if got is None:
-            got = tuple(self.index.get(f, 0) for f in word_features(word))
-            if len(self.memo) < 50_000:
+            got = self.known.setdefault(self.ids(word), len(self.known))
+            if len(self.memo) < 100_000:
                 self.memo[word] = got
         return got
 
+    def scores(self) -> np.ndarray:
+        """What each number adds to the label scores at the word after, at its own and at the word before."""
+        if self.summed.shape[1] < len(self.known):
+            features = np.array(list(self.known))
+            self.summed = np.stack([w[features].sum(axis=1) for w in self.unary])
+        return self.summed
+
     def emissions(self, x: np.ndarray) -> np.ndarray:
         """Label scores at each word; ``x`` (B, T, 3) holds feature numbers, with one row of padding before and after."""
         w = self.unary
@@ -238,7 +271,6 @@ class Field:
                     self.index.setdefault(f, len(self.index))
         n, k = len(self.index), len(LABELS)
         self.unary, self.step = np.zeros((3, n, k)), np.zeros((k, k))
-        self.memo.clear()
         x, lengths = self.pad(sequences)
         y = np.full(x.shape[:2], -1)
         for b, labels in enumerate(gold):
@@ -303,27 +335,35 @@ class Field:
         """The likeliest labels of each sequence, those of like length together."""
         out: list = [None] * len(sequences)
         order = sorted(range(len(sequences)), key=lambda i: len(sequences[i]))
+        start = np.array([-1e9 if label[0] == "I" else 0.0 for label in LABELS])
+        step = np.ascontiguousarray(self.step.T)
         at = 0
         while at < len(order):
             upto = at + 1
             while upto < min(len(order), at + 512) and len(sequences[order[upto]]) * (upto + 1 - at) <= AT_ONCE:
                 upto += 1
             rows, at = order[at:upto], upto
-            x, lengths = self.pad([sequences[i] for i in rows])
-            e = self.emissions(x)
-            start = np.array([-1e9 if label[0] == "I" else 0.0 for label in LABELS])
-            best, back = start + e[:, 0], np.zeros(e.shape, np.int8)
-            for t in range(1, e.shape[1]):
-                through = best[:, :, None] + self.step[None]
-                back[:, t] = through.argmax(axis=1)
-                best = np.where((t < lengths)[:, None], through.max(axis=1) + e[:, t], best)
+            lengths = np.array([len(sequences[i]) for i in rows])
+            # words run down, so that a step takes one row of the table
+            x = np.zeros((lengths[-1] + 2, len(rows)), np.int64)
+            for k, i in enumerate(rows):
+                x[1 : lengths[k] + 1, k] = np.fromiter(map(self.code, sequences[i]), np.int64, lengths[k])
+            after, own, before = self.scores()
+            best, back = start + (after[x[0]] + own[x[1]] + before[x[2]]), np.zeros((lengths[-1], len(rows), len(LABELS)), np.int8)
+            for t in range(1, int(lengths[-1])):
+                live = np.searchsorted(lengths, t, side="right")  # shorter ones have ended
+                through = best[live:, None, :] + step
+                back[t, live:] = came = through.argmax(axis=2)
+                best[live:] = np.take_along_axis(through, came[:, :, None], axis=2)[:, :, 0] + (after[x[t, live:]] + own[x[t + 1, live:]] + before[x[t + 2, live:]])
             last = best.argmax(axis=1)
-            labels = np.zeros(e.shape[:2], np.int64)
-            for t in range(e.shape[1] - 1, -1, -1):
-                labels[:, t] = last
-                last = np.where((0 < t) & (t < lengths), back[np.arange(len(rows)), t, last], last)
+            labels = np.zeros((lengths[-1], len(rows)), np.int8)
+            for t in range(int(lengths[-1]) - 1, -1, -1):
+                live = np.searchsorted(lengths, t, side="right")
+                labels[t, live:] = last[live:]
+                if t:
+                    last[live:] = back[t, np.arange(live, len(rows)), last[live:]]
             for k, i in enumerate(rows):
-                out[i] = labels[k, : lengths[k]]
+                out[i] = labels[: lengths[k], k]
         return out
 
 
@@ -335,70 +375,58 @@ def field() -> Field:
 
 def possible(kind: str, text: str) -> bool:
     """Whether a text can be of a kind at all."""
-    digits = sum(map(str.isdigit, text))
     if kind == "email":
         return bool(SPELLED.fullmatch(text))
     if kind == "ip":
-        return len(re.findall(r"[0-9]+", text)) == 4
-    return (12 <= digits <= 19) if kind == "card" else (7 <= digits <= 15)
+        parts = re.findall("[0-9]+", text)
+        return len(parts) == 4 and all(len(p := x.lstrip("0") or "0") <= 3 and int(p) <= 255 for x in parts)
+    digits = re.sub("[^0-9]", "", text)
+    return 12 <= len(digits) <= 19 and luhn(digits) if kind == "card" else 7 <= len(digits) <= 15
 
 
-def windows(text: str) -> list[tuple[int, int]]:
-    """Stretches of a line around what can belong to a span: digits and at signs, spelled or not.
-
-    They reach ``REACH`` characters to both sides, back to whole words, and are
-    joined where they meet.
-    """
-    out: list[list[int]] = []
-    for m in TRIGGER.finditer(text):
-        p, q = m.span()
-        start = max(text.rfind("\n", max(0, p - REACH), p) + 1, p - REACH, 0)
-        end = text.find("\n", q, q + REACH)
-        end = min(len(text), q + REACH) if end < 0 else end
-        if start and not text[start - 1].isspace():
-            w = SPACE.search(text, start, p)
-            start = w.end() if w else start
-        if end < len(text) and not text[end].isspace():
-            while end > q and not text[end - 1].isspace():
-                end -= 1
-        if out and start <= out[-1][1]:
-            out[-1][1] = max(end, out[-1][1])
-        else:
-            out.append([start, end])
-    return [(a, b) for a, b in out]
+def lines_of(text: str) -> list[tuple[int, str]]:
+    """Where each line begins that can hold a span of the field, and the line."""
+    if not TRIGGER.search(text):
+        return []
+    out, at = [], 0
+    for line in text.split("\n"):
+        if TRIGGER.search(line):
+            out.append((at, line))
+        at += len(line) + 1
+    return out
 
 
-def sequences_of(text: str) -> list[list[re.Match]]:
-    """The words of each window."""
-    return [list(WORD.finditer(text, a, b)) for a, b in windows(text)]
+def runs(labels: np.ndarray):
+    """Label, first and last word of each span that the labels mark."""
+    marked = np.flatnonzero(labels)
+    t = 0
+    while t < len(marked):
+        first = last = int(marked[t])
+        kind, t = LABELS[labels[first]][2:], t + 1
+        while t < len(marked) and marked[t] == last + 1 and LABELS[labels[marked[t]]] == f"I-{kind}":
+            last, t = last + 1, t + 1
+        yield kind, first, last
 
 
 def find_all(texts: list[str]) -> list[tuple[list[Span], list[Span]]]:
     """For each text the pattern spans, and all spans with those that the field adds; both in order."""
-    crf, found = field(), []
-    owners, sequences, places = [], [], []
-    for i, text in enumerate(texts):
-        found.append((base_spans(text), []))
-        for words in sequences_of(text):
-            owners.append(i)
-            places.append(words)
-            sequences.append([w[0] for w in words])
-    for i, words, labels in zip(owners, places, crf.decode(sequences) if sequences else []):
-        for t in np.flatnonzero(labels).tolist():
-            label = LABELS[labels[t]]
-            if label[0] != "B":
-                continue
-            last = t
-            while last + 1 < len(words) and LABELS[labels[last + 1]] == f"I-{label[2:]}":
-                last += 1
-            start, end, text = words[t].start(), words[last].end(), texts[i]
-            while start < end and text[start] in PUNCTUATION:
+    crf, found = field(), [(base_spans(text), []) for text in texts]
+    places = [(i, at, line) for i, text in enumerate(texts) for at, line in lines_of(text)]
+    for (i, at, line), labels in zip(places, crf.decode([WORD.findall(line) for _, _, line in places])):
+        if not labels.any():
+            continue
+        words, base = [m.span() for m in WORD.finditer(line)], found[i][0]
+        starts, ends = [a for _, a, _ in base], list(accumulate((b for _, _, b in base), max))
+        for kind, first, last in runs(labels):
+            start, end = words[first][0], words[last][1]
+            while start < end and (line[start] in PUNCTUATION or line[start].isspace()):
                 start += 1
-            while end > start and text[end - 1] in PUNCTUATION:
+            while end > start and (line[end - 1] in PUNCTUATION or line[end - 1].isspace()):
                 end -= 1
-            base = found[i][0]
-            if possible(label[2:], text[start:end]) and not any(a < end and start < b for _, a, b in base):
-                found[i][1].append((label[2:], start, end))
+            if possible(kind, line[start:end]):
+                before = bisect_left(starts, at + end)  # so many pattern spans begin before its end
+                if not before or ends[before - 1] <= at + start:
+                    found[i][1].append((kind, at + start, at + end))
     return [(base, sorted(base + added, key=lambda s: (s[1], RANK[s[0]]))) for base, added in found]
 
 
