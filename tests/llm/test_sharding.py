@@ -40,6 +40,28 @@ def test_every_row_can_go_anywhere(spark):
     assert all(1 <= seen[(i, s)] <= 25 for i in range(16) for s in range(4))
 
 
+def test_probabilities_at_any_size():
+    from fractions import Fraction
+    from math import comb, exp
+
+    for good, bad, draws in ((30, 50, 20), (1, 9, 5), (700, 20, 600), (400, 4000, 37)):
+        p = draws / (good + bad)
+        for k in range(max(0, draws - bad), min(draws, good) + 1):
+            want = Fraction(comb(good, k) * comb(bad, draws - k), comb(good + bad, draws))
+            got = exp(sharding._binomial(k, good, p) + sharding._binomial(draws - k, bad, p) - sharding._binomial(draws, good + bad, p))
+            assert abs(got - float(want)) < 1e-12
+    n, rng = 10**12, __import__("random").Random(1)
+    drawn = [sharding._hypergeometric(rng, n, 7 * n, 10**8) for _ in range(200)]
+    assert abs(np.mean(drawn) - 1.25e7) < 1500 and 2500 < np.std(drawn) < 4200
+
+
+def test_many_copies_of_a_row_are_numbered_in_parts(spark):
+    df = spark.range(6000, numPartitions=7).selectExpr("if(id % 3 = 0, 'x', cast(id as string)) as text", "id % 2 as slot")
+    got = sharding.shuffled(df, 5).collect()
+    assert len({(r.shard, r.slot) for r in got}) == 6000 and Counter(r.text for r in got)["x"] == 2000
+    assert sorted(map(str, got)) == sorted(map(str, sharding.shuffled(df.repartition(2), 5).collect()))
+
+
 def test_few_rows(spark):
     assert sharding.shuffled(spark.createDataFrame([], "doc_id long"), 8).count() == 0
     assert [(r.shard, r.slot) for r in sharding.shuffled(spark.createDataFrame([(1,)], "doc_id long"), 8).collect()] == [(0, 0)]
