@@ -123,12 +123,17 @@ def extracted(pages: DataFrame, config: ArticleConfig = ArticleConfig()) -> Data
     return pages.withColumn("_e", run("url", "html")).select(*pages.columns, "_e.*")
 
 
+def looked_up(pages: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``(url, html)`` of the pages at ``wanted(url)``, one for each address; the other pages are left before the shuffle."""
+    return pages.join(wanted.select("url").distinct(), "url", "left_semi").groupBy("url").agg(F.max("html").alias("html"))
+
+
 def articles(refs: DataFrame, pages: DataFrame, config: ArticleConfig = ArticleConfig()) -> DataFrame:
     """Each ref of ``refs(url, title, published_at, ...)`` with its article or its error: a lookup in ``pages(url, html)``.
 
     What the listing says of title and date goes before what the page says.
     """
-    once = pages.groupBy(F.col("url").alias("_url")).agg(F.max("html").alias("html"))
+    once = looked_up(pages, refs).withColumnRenamed("url", "_url")
     found = extracted(refs.join(once, refs["url"] == once["_url"], "left").drop("_url"), config)
     title = F.coalesce(F.nullif("title", F.lit("")), "page_title")
     own = F.get(F.filter(F.transform("page_dates", parsed_date), lambda d: d.isNotNull()), 0)

@@ -3,31 +3,55 @@
 from __future__ import annotations
 
 import argparse
+import re
 import sys
 
-from docweir.operators import probe, state, status
+from pyspark.sql import functions as F
+
+from docweir.operators import probe, render, state, status
 from docweir.session import session
 from docweir.sources.config import ConfigError, Mappings
 from docweir.sources.tables import store_table
 
 from . import pipeline
+from .control import Control
+
+#: Options by name, as ``add_argument`` takes them.
+OPTIONS: dict[str, dict] = {
+    "label": {},
+    "limit": {"type": int},
+    "offset": {"type": int, "default": 0},
+    "force_full_sync": {"action": "store_true"},
+    "dry_run": {"action": "store_true"},
+    "yes": {"action": "store_true"},
+}
+# The options of each command, in order.
+COMMANDS = {
+    "run": ("label", "limit", "dry_run", "yes"),
+    "scan": ("label", "limit"),
+    "prune": ("label", "dry_run", "yes"),
+    "fetch": ("label", "limit", "force_full_sync"),
+    "discover": ("label", "limit", "force_full_sync"),
+    "fetch-pending": ("label", "limit", "offset"),
+    "convert-pending": ("label", "limit", "offset"),
+}
+#: The commands that run here; the others are those of the message store.
+OWN = ("scan", "run", "prune")
 
-# The flags of each command, in order, and what gives a flag only if it is set.
-FLAGS = {"run": ("label", "limit", "dry_run", "yes"), "scan": ("label", "limit"), "prune": ("label", "dry_run", "yes"), "fetch": ("label", "limit", "force_full_sync"), "discover": ("label", "limit", "force_full_sync"), "fetch-pending": ("label", "limit", "offset"), "convert-pending": ("label", "limit", "offset")}
-SWITCHES = ("force_full_sync", "dry_run", "yes")
+
+def _with_options(p: argparse.ArgumentParser, command: str, **more) -> argparse.ArgumentParser:
+    for name in COMMANDS.get(command, ()):
+        p.add_argument(f"--{name.replace('_', '-')}", **OPTIONS[name], **more.get(name, {}))
+    return p
 
 
 def command_line(program: str, command: str, params: dict) -> str:
-    """The command with the flags that are set; texts with spaces or commas in quotes."""
-    parts = [program, command]
-    for key in FLAGS.get(command, ()):
-        value, flag = params.get(key), "--" + key.replace("_", "-")
-        if key in SWITCHES:
-            parts += [flag] if value else []
-        elif value is not None and not (key == "offset" and not value):
-            text = str(value)
-            parts += [flag, f'"{text}"' if " " in text or "," in text else text]
-    return " ".join(parts)
+    """The text of a command: each of its options whose value is not the one that it has anyway."""
+    known = _with_options(argparse.ArgumentParser(add_help=False), command)
+    plain = vars(known.parse_args([]))
+    changed = {a.dest: a for a in known._actions if params.get(a.dest) is not None and params[a.dest] != plain[a.dest]}
+    shown = lambda v: f'"{v}"' if re.search("[ ,]", str(v)) else str(v)
+    return " ".join([program, command, *(" ".join([*a.option_strings, *([] if a.nargs == 0 else [shown(params[name])])]) for name, a in changed.items())])
 
 
 def parser() -> argparse.ArgumentParser:
@@ -35,19 +59,14 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--mappings", default="mappings.json")
     p.add_argument("--state", default="state")
     p.add_argument("--messages", default="messages.parquet")
+    p.add_argument("--message-labels", default="message_labels.parquet", help="which message is under which labels")
     p.add_argument("--pages", default="pages.parquet", help="page table with url and html")
     p.add_argument("--raw", default="output/raw")
     p.add_argument("--markdown", default="output/markdown")
     p.add_argument("--published", default="")
     sub = p.add_subparsers(dest="command", required=True)
-    for name in ("scan", "run", "prune"):
-        s = sub.add_parser(name)
-        s.add_argument("--label", required=True)
-        if name != "prune":
-            s.add_argument("--limit", type=int)
-        if name != "scan":
-            s.add_argument("--dry-run", action="store_true")
-            s.add_argument("--yes", action="store_true")
+    for name in OWN:
+        _with_options(sub.add_parser(name), name, label={"required": True})
     sub.add_parser("list")
     sub.add_parser("validate")
     sub.add_parser("probe").add_argument("url")
@@ -78,8 +97,7 @@ def _run(args: argparse.Namespace) -> int:
         status.mapping_states(mappings.frame(spark).select("label_name").distinct(), store.read("articles")).orderBy("label_name").show(40, False)
         return 0
     if args.command == "validate":
-        messages = store_table(spark, args.messages, "messages")
-        found = pipeline.validate(mappings.frame(spark).select("label_name", "label_id").distinct(), messages)
+        found = pipeline.validate(mappings.frame(spark).select("label_name", "label_id").distinct(), store_table(spark, args.message_labels, "message_labels"))
         found.orderBy("label_name").show(40, False)
         return int(found.where("problem <> ''").count() > 0)
     pages = spark.read.parquet(args.pages)
@@ -96,15 +114,19 @@ def _run(args: argparse.Namespace) -> int:
         if not args.dry_run and (args.yes or input("Delete? [y/N] ").strip().lower() == "y"):
             print(pipeline.prune_label(spark, args.label, store, folders, dry_run=False))
         return 0
-    messages = store_table(spark, args.messages, "messages")
-    index = pipeline.corpus(messages.where(messages.label_id == m.label_id), None, m.label_name)
+    messages, bridge = store_table(spark, args.messages, "messages"), store_table(spark, args.message_labels, "message_labels")
+    index = pipeline.corpus(pipeline.held_messages(messages, bridge, m.label_id), render.read_markdown(spark, folders.markdown), m.label_name)
     if args.command == "scan":
         entries = pipeline.scan(pipeline.read_listing(spark, m, pages, args.limit), index, store.read("articles"), m.label_name)
-        entries.orderBy(entries.status != "discovered", "ord").select("status", "title", "match_reason").show(40, 88)
+        shown, more = status.preview(entries, [F.col("status") != "discovered", F.col("published_at").desc_nulls_last(), F.col("ord")])
+        shown.select("status", F.date_format("published_at", "yyyy-MM-dd").alias("date"), "title", "match_reason").show(40, 88)
+        if more:
+            print(f"... and {more} more")
         return 0
     if not args.dry_run and not args.yes and input("Write? [y/N] ").strip().lower() != "y":
         return 0
-    got = pipeline.run(spark, m, pages, index, store, folders, args.limit, args.dry_run)
+    control = Control(spark, lambda p: print(p.stage, *(f"{k}={v}" for k, v in p.counts.items()), file=sys.stderr))
+    got = control.run("run", lambda c: pipeline.run(spark, m, pages, index, store, folders, args.limit, args.dry_run, c))
     print(got)
     return int(got.failed > 0)
 

@@ -11,11 +11,13 @@ from pyspark.sql import functions as F
 from docweir.functions.dates import parsed_date
 from docweir.functions.markdown import markdown
 from docweir.functions.text import canonical_url
-from docweir.operators import articles, linkage, listing, prune, render, state
+from docweir.operators import articles, linkage, listing, prune, render, state, status
 from docweir.sources import sinks
 from docweir.sources.config import Mapping
 from docweir.sources.durable import durable
 
+from .control import Control
+
 
 class ListingError(RuntimeError):
     """No archive of a label could be listed."""
@@ -50,7 +52,7 @@ def list_source(spark: SparkSession, m: Mapping, index: int, store: DataFrame) -
     """Pages and items of one source, its pages looked up in ``store(url, html)``; the walk ends before the first page that is missing or empty."""
     cfg = m.source(index).listing
     config = spark.createDataFrame([(index, cfg.url_template, cfg.paging.type, cfg.paging.page_size, cfg.paging.start, cfg.paging.max_pages)], "source_index int, url_template string, type string, page_size int, start int, max_pages int")
-    once = store.groupBy("url").agg(F.max("html").alias("payload"))
+    once = lambda wanted: articles.looked_up(store, wanted).withColumnRenamed("html", "payload")
     if cfg.next_page_selector:
         first = articles.next_links(store.select("url", "html"), cfg.next_page_selector)
         pages = listing.next_link_walk(first, cfg.url_template, cfg.paging.max_pages).select(F.lit(index).alias("source_index"), F.col("step").alias("page_no"), "url")
@@ -59,7 +61,7 @@ def list_source(spark: SparkSession, m: Mapping, index: int, store: DataFrame) -
         rows, offset = [], cfg.paging.start
         for n in range(cfg.paging.max_pages):
             url = cfg.url_template.format(offset=offset, limit=cfg.paging.page_size)
-            got = once.where(F.col("url") == url).select(F.size(listing.dotted_items("payload", cfg.items_path)).alias("n")).head()
+            got = store.where(F.col("url") == url).agg(F.max("html").alias("payload")).where("payload is not null").select(F.size(listing.dotted_items("payload", cfg.items_path)).alias("n")).head()
             if got is None or (got.n or 0) <= 0:
                 break
             rows.append((index, n, url))
@@ -67,7 +69,8 @@ def list_source(spark: SparkSession, m: Mapping, index: int, store: DataFrame) -
         pages = spark.createDataFrame(rows, "source_index int, page_no int, url string")
     else:
         pages = listing.page_urls(config)
-    pages = pages.join(once, "url")
+    pages = durable(pages)
+    pages = durable(pages.join(once(pages), "url"))
     if cfg.mode == "json":
         items = listing.json_items(pages, cfg.items_path, cfg.fields)
     else:
@@ -87,6 +90,11 @@ def read_listing(spark: SparkSession, m: Mapping, store: DataFrame, limit: int |
     return durable(found.withColumn("published_at", parsed_date("date_raw")))
 
 
+def held_messages(messages: DataFrame, bridge: DataFrame, label_id: str) -> DataFrame:
+    """The messages that ``bridge(message_id, label_id)`` puts under a label, whatever label they were found under; none without a label id."""
+    return status.messages_for_label(messages, bridge.distinct(), (F.col("label_id") == label_id) & F.lit(bool(label_id)))
+
+
 def corpus(messages: DataFrame, files: DataFrame | None, label: str) -> DataFrame:
     """The held index: a label's messages, latest first, or else its Markdown files."""
     if not messages.take(1) and files is not None:
@@ -101,9 +109,13 @@ def scan(refs: DataFrame, index: DataFrame, articles_state: DataFrame, label: st
     return entries.join(refs.select("ord", "source_index", "published_at"), "ord")
 
 
-def run(spark: SparkSession, m: Mapping, pages: DataFrame, index: DataFrame, store: state.StateStore, folders: Folders, limit: int | None = None, dry_run: bool = False) -> Result:
+def run(spark: SparkSession, m: Mapping, pages: DataFrame, index: DataFrame, store: state.StateStore, folders: Folders, limit: int | None = None, dry_run: bool = False, control: Control | None = None) -> Result:
     """Writes what is missing; ``limit`` takes the first ones as listed. A dry run only counts.
 
+    ``control`` hears of each step. When it is stopped, the articles of the
+    sources that are not done stay ``discovered`` and the run is closed with
+    what it has written.
+
     Held entries are recorded, then the selected ones, then each is fetched,
     extracted and written by itself; one that fails is recorded as failed.
     Running again writes nothing new.
@@ -121,19 +133,23 @@ def run(spark: SparkSession, m: Mapping, pages: DataFrame, index: DataFrame, sto
     stamp = F.lit(now())
     row = lambda df: df.select("article_id", F.lit(m.label_name).alias("label_name"), F.lit(m.label_id).alias("label_id"), "url", "title", F.coalesce(F.date_format("published_at", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("")).alias("published_at"), "status", "match_reason")
     store.write("articles", state.upserted(old, row(entries.where("status = 'have'").unionByName(chosen)), stamp))
-    done = None
+    done = spark.createDataFrame([], "article_id string, raw_html_path string, markdown_path string, error string")
+    report = control.report if control else lambda stage, **counts: None
+    report("listed", listed=total.listed, held=total.held, selected=n)
     for i, source in enumerate(m.sources):
+        if control and control.stopped:
+            break
         part = chosen.where(F.col("source_index") == i).select("article_id", "url", "title", "published_at")
         got = articles.articles(part, pages, source.article)
         html = articles.wrapped(F.col("content"), F.col("url"), F.col("title"), F.col("preview"))
         head = render.front_matter(F.col("article_id"), F.col("title"), F.lit(source.sender), F.col("published_at"), F.lit(m.label_name), F.lit(m.label_id))
         body = markdown(F.col("content"))
         whole = render.with_keys(F.concat(head, F.lit("\n"), F.col("body"), F.lit("\n")), {"source_url": F.col("url"), "origin": F.lit(render.ORIGIN)})
-        ready = got.withColumn("body", body).select("article_id", render.file_name(F.col("title"), F.col("article_id")).alias("file_name"), html.alias("html"), F.when((F.col("error") == "") & (F.col("body") != ""), whole).alias("markdown"), "error")
+        ready = durable(got.withColumn("body", body).select("article_id", render.file_name(F.col("title"), F.col("article_id")).alias("file_name"), html.alias("html"), F.when((F.col("error") == "") & (F.col("body") != ""), whole).alias("markdown"), "error"))
         wrote = sinks.write_pairs(ready.where("error = ''"), folders.raw, folders.markdown)
         bad = ready.where("error <> ''").select("article_id", F.lit("").alias("raw_html_path"), F.lit("").alias("markdown_path"), "error")
-        done = wrote.unionByName(bad) if done is None else done.unionByName(wrote).unionByName(bad)
-    done = durable(done)
+        done = durable(done.unionByName(wrote).unionByName(bad))
+        report("written", sources=i + 1, written=done.where("error = ''").count(), failed=done.where("error <> ''").count())
     merged = state.marked_done(store.read("articles"), done.where("error = ''"), stamp)
     merged = state.marked_failed(merged, done.where("error <> ''").select("article_id", F.col("error").alias("error_message")), stamp)
     store.write("articles", merged)
@@ -158,7 +174,7 @@ def prune_label(spark: SparkSession, label: str, store: state.StateStore, folder
     return {"files_removed": files, "directories_removed": folders_gone, "rows_removed": gone, "dry_run": False, "errors": e1 + e2}
 
 
-def validate(mappings: DataFrame, held: DataFrame) -> DataFrame:
-    """``(label_name, problem)`` for mappings ``(label_name, label_id)`` against ``held(label_id)``: no id, or no messages; '' if there are some."""
-    n = held.groupBy("label_id").agg(F.count(F.lit(1)).alias("n"))
+def validate(mappings: DataFrame, bridge: DataFrame) -> DataFrame:
+    """``(label_name, problem)`` for mappings ``(label_name, label_id)`` against ``bridge(message_id, label_id)``: no id, or no messages; '' if there are some."""
+    n = bridge.groupBy("label_id").agg(F.count(F.lit(1)).alias("n"))
     return mappings.join(n, "label_id", "left").select("label_name", F.when(F.coalesce("label_id", F.lit("")) == "", "no label id").when(F.col("n").isNull(), "no messages held").otherwise("").alias("problem"), F.coalesce("n", F.lit(0)).alias("n_held"))

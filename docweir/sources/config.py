@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 from pathlib import Path
 from urllib.parse import urlsplit
@@ -72,24 +73,36 @@ class Mapping:
         return self.sources[index] if 0 <= index < len(self.sources) else self.sources[0]
 
 
+def _number(data: dict, key: str, plain: int) -> int:
+    return int(data.get(key, plain))
+
+
+def _kind(data: dict) -> str:
+    return str((data.get("pagination") or {}).get("type", "none"))
+
+
+#: What a listing section has to fulfil: a test, and what to say of a section that fails it.
+LISTING_RULES: tuple[tuple[Callable[[dict], bool], Callable[[dict], str]], ...] = (
+    (lambda d: str(d.get("mode", "html")) in MODES, lambda d: f"listing.mode must be one of {sorted(MODES)}, not {str(d['mode'])!r}"),
+    (lambda d: _kind(d) in PAGING, lambda d: f"pagination.type must be one of {sorted(PAGING)}, not {_kind(d)!r}"),
+    (lambda d: str(d.get("url_template", "")).strip() != "", lambda d: "listing.url_template is missing"),
+    # without its placeholder every page would be the first one again
+    (lambda d: _kind(d) == "none" or f"{{{_kind(d)}}}" in str(d["url_template"]), lambda d: f"url_template has no {{{_kind(d)}}}, which pagination needs"),
+    (lambda d: d.get("mode") == "json" or bool(d.get("item_selector")), lambda d: f"listing.item_selector is missing for mode {str(d.get('mode', 'html'))!r}"),
+    (lambda d: isinstance(d.get("fields") or {}, dict), lambda d: "listing.fields must be an object"),
+    (lambda d: set(REQUIRED) <= set(d.get("fields") or {}), lambda d: f"listing.fields lacks {sorted(set(REQUIRED) - set(d.get('fields') or {}))}"),
+)
+
+
 def _listing(data: dict, where: str) -> Listing:
-    mode, template, fields = str(data.get("mode", "html")), str(data.get("url_template", "")).strip(), data.get("fields") or {}
-    _need(mode in MODES, where, f"listing.mode must be one of {sorted(MODES)}, not {mode!r}")
-    _need(bool(template), where, "listing.url_template is missing")
-    _need(isinstance(fields, dict), where, "listing.fields must be an object")
-    lacking = sorted(set(REQUIRED) - set(fields))
-    _need(not lacking, where, f"listing.fields lacks {lacking}")
-    p, scroll = data.get("pagination") or {}, data.get("scroll") or {}
-    kind = str(p.get("type", "none"))
-    _need(kind in PAGING, where, f"pagination.type must be one of {sorted(PAGING)}, not {kind!r}")
-    out = Listing(
-        mode, template, Paging(kind, *(int(p.get(k, d)) for k, d in (("page_size", 50), ("start", 0), ("max_pages", 20)))), *(str(data.get(k, "")) for k in ("item_selector", "next_page_selector", "items_path")),
-        fields, int(scroll.get("max_scrolls", 20)), int(scroll.get("wait_ms", 800)),
+    for holds, fault in LISTING_RULES:
+        if not holds(data):
+            _need(False, where, fault(data))
+    paging, scroll = data.get("pagination") or {}, data.get("scroll") or {}
+    return Listing(
+        str(data.get("mode", "html")), str(data["url_template"]).strip(), Paging(_kind(data), _number(paging, "page_size", 50), _number(paging, "start", 0), _number(paging, "max_pages", 20)),
+        *(str(data.get(k, "")) for k in ("item_selector", "next_page_selector", "items_path")), data["fields"], _number(scroll, "max_scrolls", 20), _number(scroll, "wait_ms", 800),
     )
-    _need(mode == "json" or bool(out.item_selector), where, f"listing.item_selector is missing for mode {mode!r}")
-    # without its placeholder every page would be the first one again
-    _need(kind == "none" or "{" + kind + "}" in template, where, f"url_template has no {{{kind}}}, which pagination needs")
-    return out
 
 
 def _archive(data: object, where: str) -> Archive:

@@ -1,6 +1,7 @@
 import threading
 
 import pytest
+from pyspark.sql import functions as F
 
 from docweir.operators import probe, status
 from docweir.plans.control import Busy, Control
@@ -46,9 +47,19 @@ def test_cursors(spark):
     assert status.cursor(got, "L3") == "h3" and status.cursor(got, "L3", full=True) is None and status.cursor(got, "zz") is None
 
 
-def test_located():
-    assert probe.located([1]) == ([1], "") and probe.located({"a": [], "b": [1], "c": [{"x": 1}]}) == ([{"x": 1}], "c")
-    assert probe.located({"a": 1}) == ([], "") and probe.located("x") == ([], "")
+def test_located(spark):
+    want = {"[1]": ("", "[1]"), "[]": ("", "[]"), '{"a": [], "b": [1], "c": [{"x": 1}]}': ("c", '[{"x":1}]'), '{"z": [{"y": 1}], "a": [{"x": 1}, 2]}': ("z", '[{"y":1}]'), '{"q\'s": [{}]}': ("q's", "[{}]")}
+    want |= dict.fromkeys(['{"a": 1}', '"x"', "no", "", '{"a": null, "b": {}}', "{}"], (None, None))
+    df = spark.createDataFrame([(x,) for x in want], "payload string").select("payload", probe.located(F.col("payload")).alias("r"))
+    assert {r.payload: (r.path, r.items) for r in df.selectExpr("payload", "r.path", "to_json(r.items) AS items").collect()} == want
+
+
+def test_endpoint_items(spark):
+    asked = spark.createDataFrame([(f"u{k}",) for k in range(5)], "url_template string")
+    payloads = spark.createDataFrame([("u0", '[{"x": 1, "t": "s", "f": 1.5, "n": null, "b": true}, 2]'), ("u1", '{"k": [{}]}'), ("u2", "[7]"), ("u3", "{}"), ("u9", "[1]")], "url string, payload string")
+    got = {r.url_template: r for r in probe.endpoint_items(asked, payloads).collect()}
+    assert {k: (r.items_path, r.item_count, r.available_fields) for k, r in got.items()} == {"u0": ("", 2, ["b", "f", "n", "t", "x"]), "u1": ("k", 1, []), "u2": ("", 1, [])}
+    assert got["u0"].sample_item == {"b": "true", "t": "s", "x": "1"} and got["u2"].sample_item == {}
 
 
 def test_pages_of_rows(spark):

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from docweir.operators import state
 from docweir.plans import cli, pipeline, queries
+from docweir.plans.control import Control
 from docweir.sources import config, fetch, sinks, sqlite
 from docweir.streaming import stream
 
@@ -145,6 +146,47 @@ def test_cli(spark, world, tmp_path, capsys):
     assert cli.main([*base, "probe", "https://y.test/all"]) == 0
 
 
+def test_held_messages_in_the_command_line(spark, world, tmp_path, capsys):
+    """A message found under another label counts; with a stale label id the Markdown files do."""
+    world.write.parquet(f"{tmp_path}/pages")
+    messages = [("m1", "OTHER", "Re: On rivers", "2026-05-01"), ("m2", "OTHER", "Bread", "2026-05-01"), ("m3", "L1", "Cities at night", "2026-05-01")]
+    spark.createDataFrame(messages, "message_id string, label_id string, subject string, date string").write.parquet(f"{tmp_path}/messages")
+    spark.createDataFrame([("m1", "L1"), ("m1", "OTHER"), ("m2", "OTHER")], "message_id string, label_id string").write.parquet(f"{tmp_path}/bridge")
+    (tmp_path / "md").mkdir()
+    (tmp_path / "md" / "three-letters_x9.md").write_text('---\nid: "x9"\nsubject: "Three letters"\nlabels: ["News"]\n---\nb\n')
+
+    def selected(label_id):
+        config.Mappings(tmp_path / "m.json").save("News", {**JSON, "label_id": label_id})
+        base = ["--mappings", f"{tmp_path}/m.json", "--state", f"{tmp_path}/s", "--messages", f"{tmp_path}/messages", "--message-labels", f"{tmp_path}/bridge", "--pages", f"{tmp_path}/pages", "--raw", f"{tmp_path}/raw", "--markdown", f"{tmp_path}/md"]
+        code, _ = cli.main([*base, "validate"]), capsys.readouterr()
+        assert cli.main([*base, "scan", "--label", "News"]) == 0
+        held = {line.split("|")[3].strip() for line in capsys.readouterr().out.split("\n") if "|" in line and line.split("|")[1].strip() == "have"}
+        assert cli.main([*base, "run", "--label", "News", "--dry-run"]) == 0
+        assert f"held={len(held)}" in capsys.readouterr().out
+        return code, held
+
+    assert selected("L1") == (0, {"On rivers"})
+    assert selected("STALE") == (1, {"Three letters"}) == selected("")
+
+
+def test_stop_leaves_the_other_sources(spark, world, tmp_path):
+    store, folders = state.StateStore(spark, f"file://{tmp_path}/state"), pipeline.Folders(f"{tmp_path}/raw", f"{tmp_path}/md")
+    index, heard = pipeline.corpus(held(spark), None, "News"), []
+
+    def listen(p):
+        heard.append(p.stage)
+        if p.stage == "written":
+            control._stop.set()
+
+    control = Control(spark, listen)
+    got = control.run("run", lambda c: pipeline.run(spark, MAPPING, world, index, store, folders, control=c))
+    rows = {r.url: r.status for r in store.read("articles").collect()}
+    assert heard == ["started", "listed", "written", "stopped"] and got.written == 2
+    assert {s for u, s in rows.items() if "y.test" in u} == {"discovered"} and "done" in rows.values()
+    again = pipeline.run(spark, MAPPING, world, index, store, folders)
+    assert again.written == 1 and {r.status for r in store.read("articles").collect()} == {"have", "done", "failed"}
+
+
 def test_sqlite(spark, tmp_path):
     path = f"{tmp_path}/store.db"
     assert sqlite.sqlite_table(spark, path, "messages").count() == 0
