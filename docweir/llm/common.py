@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -17,8 +18,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names, which all executors share; a temporary one where it is unset."""
-    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="docweir-ckpt-")
+    """The folder that ``spark.checkpoint.dir`` names, which all executors share; a temporary one where all run in this process and it is unset."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
+    return folder or tempfile.mkdtemp(prefix="docweir-ckpt-")
 
 
 def durable(df: DataFrame) -> DataFrame:
