@@ -17,11 +17,11 @@ def page_stream(spark: SparkSession, path: str, schema: str, files_per_batch: in
 
 
 def merged(old: DataFrame, refs: DataFrame, index: DataFrame, label: str, now: str) -> DataFrame:
-    """The state after a batch of refs: what the label has done already is not looked at again, the rest is classified and merged.
+    """The state after a batch of refs: what the label has already is not looked at again unless it failed, the rest is classified and merged.
 
     A batch that is merged twice leaves what it left the first time.
     """
-    known = state.completed_urls(old, label).select(canonical_url("url").alias("canonical"))
+    known = old.where((F.col("label_name") == label) & (F.col("status") != "failed")).select(canonical_url("url").alias("canonical"))
     fresh = listing.deduplicated(listing.with_keys(refs).join(known, F.col("url_key") == F.col("canonical"), "left_anti")).drop("url_key", "title_key")
     entries = linkage.classify(fresh, index, known.limit(0))
     blank = F.lit("")

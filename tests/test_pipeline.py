@@ -234,6 +234,10 @@ def test_stream_batches_are_idempotent(spark):
     once = stream.merged(empty(spark, "articles"), refs, index, "L", "t0")
     assert {r.url: r.status for r in once.collect()} == {"https://x.test/a?u": "have", "https://x.test/b": "discovered"}
     assert sorted(stream.merged(once, refs, index, "L", "t1").collect()) == sorted(once.collect())
+    # another label takes its listing over, and what failed is tried again
+    assert {r.label_name for r in stream.merged(once, refs, index, "M", "t1").collect()} == {"M"}
+    failed = once.withColumn("status", F.lit("failed"))
+    assert {r.url: r.status for r in stream.merged(failed, refs, index, "L", "t1").collect()} == {r.url: r.status for r in once.collect()}
     rows = spark.readStream.format("rate").load().select(F.col("timestamp").alias("ts"), F.lit("x").alias("status"))
     assert stream.status_stream(rows).isStreaming
 
