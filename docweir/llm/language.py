@@ -9,9 +9,11 @@ expected counts need a backward pass as well.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter, defaultdict
-from functools import lru_cache
+from functools import cached_property, lru_cache
+from itertools import islice
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -25,43 +27,53 @@ TRAIN_DOCS = 800
 ROUNDS = 2
 #: A character that is no piece of its own has this probability; a piece never seen with a language has this share of a count.
 UNKNOWN, SMOOTH = 1e-8, 0.01
-#: Pieces longer than this are not used; longer words are scored in parts of this length, whose probability a double can hold.
-MAX_PIECE, MAX_WORD = 16, 32
-#: Languages above this number would make the model unbounded.
+#: Words of more characters than this are summed with scaled numbers, as a double cannot hold their probability.
+PLAIN = 30
+#: The model learns so many languages at most, those with the most distinct texts; this bounds its size.
 MAX_LANGUAGES = 500
+#: A worker keeps the scores of words from one batch to the next, so many numbers at most.
+KEPT = 2_000_000
 
 WORD = re.compile(r"[^\W\d_]+")
 
 
+class Vocabulary(dict):
+    """Pieces and their numbers."""
+
+    @cached_property
+    def longest(self) -> int:
+        return max(map(len, self), default=1)
+
+
 @lru_cache(maxsize=4)
-def vocabulary(path: str) -> dict[str, int]:
-    """Lower-cased pieces of a sentencepiece model, numbered; a mark for a word's start stays, control pieces go."""
+def vocabulary(path: str) -> Vocabulary:
+    """Lower-cased pieces of a sentencepiece model, numbered; a mark for a word's start stays, control pieces go.
+
+    Words are lower-cased runs of letters. So pieces that differ in case alone
+    are one, and a piece with anything but letters is left out, as no word holds it.
+    """
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
-    out: dict[str, int] = {}
+    out = Vocabulary()
     for i in range(sp.get_piece_size()):
         if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i)):
             piece = sp.id_to_piece(i).lower()
-            if len(piece) <= MAX_PIECE and WORD.fullmatch(piece.replace("▁", "")):
+            if WORD.fullmatch(piece.replace("▁", "")):
                 out.setdefault(piece, len(out))
     return out
 
 
 def words_of(text: str) -> list[str]:
-    """Lower-cased runs of letters, each marked at its start; very long runs are cut into parts."""
-    out = []
-    for w in WORD.findall(text.lower()):
-        w = "▁" + w
-        out += [w] if len(w) <= MAX_WORD else [w[i : i + MAX_WORD] for i in range(0, len(w), MAX_WORD)]
-    return out
+    """Lower-cased runs of letters, each marked at its start."""
+    return ["▁" + w for w in WORD.findall(text.lower())]
 
 
-def _spans(word: str, vocab: dict[str, int]) -> list[tuple[int, int, int]]:
+def _spans(word: str, vocab: Vocabulary) -> list[tuple[int, int, int]]:
     """Start, end and piece of each piece in the word, by end; -1 for a single character that is no piece."""
-    out = []
+    out, longest = [], vocab.longest
     for j in range(1, len(word) + 1):
-        for i in range(max(0, j - MAX_PIECE), j):
+        for i in range(max(0, j - longest), j):
             p = vocab.get(word[i:j])
             if p is not None:
                 out.append((i, j, p))
@@ -70,20 +82,28 @@ def _spans(word: str, vocab: dict[str, int]) -> list[tuple[int, int, int]]:
     return out
 
 
-def forward(words: list[str], vocab: dict[str, int], p: np.ndarray) -> np.ndarray:
+def forward(words: list[str], vocab: Vocabulary, p: np.ndarray) -> np.ndarray:
     """Log-probability of each word in each language; ``p`` has a row for each piece and one more for unknown characters.
 
     All words take their step to the same end together.
     """
     if not words:
         return np.zeros((0, p.shape[1]))
+    reach = vocab.longest
+    if any(len(w) > PLAIN for w in words):
+        out = np.empty((len(words), p.shape[1]))
+        short = [k for k, w in enumerate(words) if len(w) <= PLAIN]
+        out[short] = forward([words[k] for k in short], vocab, p)
+        for k in set(range(len(words))) - set(short):
+            out[k] = scaled_forward(words[k], vocab, p, reach)
+        return out
     get, unknown = vocab.get, len(p) - 1
     longest = max(map(len, words))
     steps: list[tuple[list, list, list]] = [([], [], []) for _ in range(longest + 1)]
     for k, w in enumerate(words):
         for j in range(1, len(w) + 1):
             at, start, piece = steps[j]
-            for i in range(j - MAX_PIECE if j > MAX_PIECE else 0, j):
+            for i in range(j - reach if j > reach else 0, j):
                 x = get(w[i:j])
                 if x is not None:
                     at.append(k)
@@ -103,9 +123,29 @@ def forward(words: list[str], vocab: dict[str, int], p: np.ndarray) -> np.ndarra
     return np.log(alpha[np.fromiter(map(len, words), np.int64, len(words)), np.arange(len(words))])
 
 
-def expected(word: str, vocab: dict[str, int], p: np.ndarray) -> list[tuple[int, float]]:
+def scaled_forward(word: str, vocab: Vocabulary, p: np.ndarray, reach: int) -> np.ndarray:
+    """The same for one word of any length: sums are kept as shares of the last one, whose logarithms add up."""
+    get, unknown = vocab.get, len(p) - 1
+    window, total = np.zeros((reach, p.shape[1])), np.zeros(p.shape[1])
+    window[-1] = 1.0
+    for j in range(1, len(word) + 1):
+        low = max(0, j - reach)
+        found = [(i, x) for i in range(low, j) if (x := get(word[i:j])) is not None]
+        if not found or found[-1][0] != j - 1:
+            found.append((j - 1, unknown))
+        start, piece = zip(*found)
+        new = (window[np.array(start) - j] * p[list(piece)]).sum(axis=0)
+        total += np.log(new)
+        window[:-1] = window[1:] / new
+        window[-1] = 1.0
+    return total
+
+
+def expected(word: str, vocab: Vocabulary, p: np.ndarray) -> list[tuple[int, float]]:
     """Expected count of each piece over all segmentations of the word in one language; ``p`` is a vector."""
     spans = _spans(word, vocab)
+    if len(word) > PLAIN:
+        return _scaled_expected(spans, len(word), p)
     alpha, beta = [1.0] + [0.0] * len(word), [0.0] * len(word) + [1.0]
     for i, j, piece in spans:
         alpha[j] += alpha[i] * p[piece]
@@ -115,21 +155,50 @@ def expected(word: str, vocab: dict[str, int], p: np.ndarray) -> list[tuple[int,
     return [(piece, alpha[i] * p[piece] * beta[j] / total) for i, j, piece in spans if piece >= 0] if total > 0 else []
 
 
+def _scaled_expected(spans: list[tuple[int, int, int]], length: int, p) -> list[tuple[int, float]]:
+    """The same by logarithms, for words of any length."""
+
+    def add(x: float, y: float) -> float:
+        high, low = max(x, y), min(x, y)
+        return high if low == -math.inf else high + math.log1p(math.exp(low - high))
+
+    alpha, beta = [0.0] + [-math.inf] * length, [-math.inf] * length + [0.0]
+    logs = [math.log(p[piece]) if p[piece] > 0 else -math.inf for _, _, piece in spans]
+    for (i, j, _), x in zip(spans, logs):
+        alpha[j] = add(alpha[j], alpha[i] + x)
+    for (i, j, _), x in sorted(zip(spans, logs), key=lambda s: -s[0][1]):
+        beta[i] = add(beta[i], beta[j] + x)
+    return [(piece, math.exp(alpha[i] + x + beta[j] - alpha[-1])) for (i, j, piece), x in zip(spans, logs) if piece >= 0] if alpha[-1] > -math.inf else []
+
+
 class Model:
     """Languages, in order, and each piece's probability in each."""
 
     def __init__(self, path: str, languages: list[str], p: np.ndarray):
         self.path, self.languages, self.p = path, languages, p
+        self._forget()
+
+    def _forget(self) -> None:
+        self.lexicon: dict = defaultdict()
+        self.lexicon.default_factory = self.lexicon.__len__
+        self.logs = np.zeros((0, len(self.languages)))
+
+    def __getstate__(self) -> dict:
+        return {"path": self.path, "languages": self.languages, "p": self.p}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self._forget()
 
     def score(self, texts: list[str | None]) -> list[tuple[str, float]]:
-        """Language and share of the likelihoods of each text; each distinct word is summed once."""
-        lexicon: dict = defaultdict()
-        lexicon.default_factory = lexicon.__len__
-        places = [np.fromiter(map(lexicon.__getitem__, words), np.int64, len(words)) for words in (words_of(t or "") for t in texts)]
+        """Language and share of the likelihoods of each text; each distinct word is summed once, and kept for the next texts."""
         if not self.languages:
             return [("und", 0.0)] * len(texts)
-        words, vocab = list(lexicon), vocabulary(self.path)
-        logs = np.concatenate([np.zeros((0, len(self.languages)))] + [forward(words[i : i + 10_000], vocab, self.p) for i in range(0, len(words), 10_000)])
+        if len(self.lexicon) * len(self.languages) > KEPT:
+            self._forget()
+        places = [np.fromiter(map(self.lexicon.__getitem__, words), np.int64, len(words)) for words in (words_of(t or "") for t in texts)]
+        new, vocab = list(islice(self.lexicon, len(self.logs), None)), vocabulary(self.path)
+        self.logs = logs = np.concatenate([self.logs, *(forward(new[i : i + 10_000], vocab, self.p) for i in range(0, len(new), 10_000))])
         out = []
         for at, text in zip(places, texts):
             # words hold letters and such signs as fractions
@@ -148,12 +217,11 @@ def train(labelled: DataFrame, path: str, train_docs: int = TRAIN_DOCS, rounds:
     The sample is of a bounded size, and is drawn by hashes of the texts. Words
     are counted in Spark, expected piece counts too; the driver holds a number
     for each piece of the vocabulary and language. Rows with a null text or
-    language take no part.
+    language take no part; of more than ``MAX_LANGUAGES`` languages those with
+    the most distinct texts are learned, ties by name.
     """
     rows = labelled.where("text is not null and lang is not null").select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    sizes = {r.lang: r.n for r in rows.select("lang", F.xxhash64("text").alias("h")).distinct().groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MAX_LANGUAGES + 1).collect()}
-    if len(sizes) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    sizes = {r.lang: r.n for r in rows.select("lang", F.xxhash64("text").alias("h")).distinct().groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "lang").limit(MAX_LANGUAGES).collect()}
     languages = sorted(sizes)
     vocab = vocabulary(path)
     uniform = np.full((len(vocab) + 1, len(languages)), 1.0 / max(1, len(vocab)))

@@ -96,3 +96,61 @@ def test_copies_do_not_shrink_the_sample(spark):
     model = language.train(spark.createDataFrame(rows, "text string, lang string"), PATH, train_docs=21)
     the = language.vocabulary(PATH)["▁the"]
     assert model.p[the, model.languages.index("en")] > 0.05
+
+
+def test_long_words_are_whole():
+    vocab = language.vocabulary(PATH)
+    p = np.random.default_rng(3).random((len(vocab) + 1, 2)) / 10
+    p[-1] = language.UNKNOWN
+    words = ["▁donaudampfschifffahrtsgesellschaftskapitänsmütze", "▁" + "x" * 30, "▁und", "▁" + "日本語é" * 12]
+    for w, line in zip(words, language.forward(words, vocab, p)):
+        assert np.allclose(line, [math.log(brute(w, vocab, p[:, k])) for k in range(2)], rtol=1e-9)
+    assert language.words_of("Donau" * 40) == ["▁" + "donau" * 40]
+    long = "▁" + "straße" * 2000
+    assert np.isfinite(language.forward([long], vocab, p / 1000)).all()
+    old, language.PLAIN = language.PLAIN, 4
+    try:
+        scaled = language.forward(words, vocab, p), language.expected(words[0], vocab, p[:, 0])
+    finally:
+        language.PLAIN = old
+    assert np.allclose(scaled[0], language.forward(words, vocab, p), rtol=1e-9)
+    language.PLAIN = 99
+    try:
+        plain = language.expected(words[0], vocab, p[:, 0])
+    finally:
+        language.PLAIN = old
+    assert [x for x, _ in plain] == [x for x, _ in scaled[1]] and np.allclose([n for _, n in plain], [n for _, n in scaled[1]], rtol=1e-7, atol=1e-12)
+    assert all(math.isfinite(n) for _, n in language.expected(long, vocab, (p / 1000)[:, 0]))
+
+
+def test_predict_against_brute_force(spark):
+    vocab = language.vocabulary(PATH)
+    p = np.random.default_rng(5).random((len(vocab) + 1, 3)) / 100
+    model = language.Model(PATH, ["aa", "bb", "cc"], p)
+    rng = __import__("random").Random(5)
+    pool = ["The", "straße", "x", "été", "Donaudampfschifffahrtsgesellschaftskapitän", "of", "12", "a1b", "日本"]
+    texts = [" ".join(rng.choice(pool) for _ in range(rng.randint(1, 12))) for _ in range(60)] + ["of", "12 3"]
+    old, language.KEPT = language.KEPT, 6
+    try:
+        local = [s for i in range(0, len(texts), 7) for s in model.score(texts[i : i + 7])]  # what is kept is forgotten in between
+    finally:
+        language.KEPT = old
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language.predict(docs, model).collect()}
+    for i, text in enumerate(texts):
+        words = ["▁" + w for w in __import__("re").findall(r"[^\W\d_]+", text.lower())]
+        logs = [sum(math.log(brute(w, vocab, p[:, k])) for w in words) for k in range(3)]
+        best = max(range(3), key=logs.__getitem__)
+        want = (model.languages[best], 1 / sum(math.exp(x - logs[best]) for x in logs)) if words else ("und", 0.0)
+        for name, score in (got[i], local[i]):
+            assert name == want[0] and math.isclose(score, want[1], rel_tol=1e-9)
+
+
+def test_more_languages_than_the_model_takes(spark):
+    rows = [(f"the cat {w}", "en") for w in ("sat", "ran", "ate")] + [(f"der Hund {w}", "de") for w in ("ist", "war")] + [(f"noise {i}", f"l{i:03}") for i in range(600)]
+    old, language.MAX_LANGUAGES = language.MAX_LANGUAGES, 3
+    try:
+        model = language.train(spark.createDataFrame(rows, "text string, lang string"), PATH)
+    finally:
+        language.MAX_LANGUAGES = old
+    assert model.languages == ["de", "en", "l000"]
