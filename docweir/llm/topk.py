@@ -76,12 +76,18 @@ def _product(a: np.ndarray, b: np.ndarray, exact: bool) -> np.ndarray:
     return (a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64) if exact else a @ b.T
 
 
+def _bounds(q: np.ndarray, top: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """The summed term maxima: no row between ``low`` and ``top`` has a higher product with ``q``."""
+    exact = float(np.abs(q).max(initial=0)) * float(max(np.abs(top).max(initial=0), np.abs(low).max(initial=0))) * q.shape[1] < 2**52
+    return _product(np.maximum(q, 0), top, exact) + _product(np.minimum(q, 0), low, exact)
+
+
 def _search(q: np.ndarray, own: np.ndarray, floor: np.ndarray, blocks: list[dict], k: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
     """Each query's best rows of ``blocks``; ``floor`` is a score that its k-th is known to reach."""
     top = np.stack([b["top"] for b in blocks])
     low = np.stack([b["low"] for b in blocks])
     exact = float(np.abs(q).max(initial=0)) * float(max(np.abs(top).max(initial=0), np.abs(low).max(initial=0))) * q.shape[1] < 2**52
-    bound = _product(np.maximum(q, 0), top, exact) + _product(np.minimum(q, 0), low, exact)
+    bound = _bounds(q, top, low)
     out = []
     for i in range(len(q)):
         scores, ids = np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -107,7 +113,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, seed: int = 7) ->
 
     Both tables hold ``(vec_id long, v array<long>)`` with distinct ids, as
     :func:`quantised` makes them. Ties go to the smaller ``vec_id``; a query
-    with fewer other rows has as many ranks as there are. Vectors of other
+    with fewer other rows has as many ranks as there are. A query is sent to those
+    groups of blocks alone whose maxima can reach its floor. Vectors of other
     lengths count as if they ended in zeros; a product must fit a long.
     """
     spark = vectors.sparkSession
@@ -155,10 +162,24 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, seed: int = 7) ->
     def read_block(b: dict) -> dict:
         return {"ids": np.frombuffer(b["ids"], np.int64), "rows": np.frombuffer(b["rows"], np.int64).reshape(-1, dims), "top": np.frombuffer(b["top"], np.int64), "low": np.frombuffer(b["low"], np.int64)}
 
+    # A group's maxima bound the score of all its rows; as a table they are small beside the rows, and broadcast up to a size.
+    bounds = "grp int, top binary, low binary"
+
+    def widest(part: pa.Table) -> pa.Table:
+        read = lambda c: np.stack([np.frombuffer(x.as_py(), np.int64) for x in part.column(c)])
+        return pa.table({"grp": pa.array(part.column("grp").to_numpy()[:1], pa.int32()), "top": pa.array([read("top").max(axis=0).tobytes()]), "low": pa.array([read("low").min(axis=0).tobytes()])})
+
+    known = None
+    if groups * dims * 16 <= BOUNDS_BYTES:
+        got = blocks.select("grp", "top", "low").groupBy("grp").applyInArrow(widest, bounds).toArrow().to_pylist()
+        known = spark.sparkContext.broadcast((np.array([x["grp"] for x in got]), *(np.stack([np.frombuffer(x[c], np.int64) for x in got]) for c in ("top", "low"))))
+
     # Queries travel in chunks: ids, vectors and a score that each k-th is known to reach, from a bounded seed of blocks.
-    chunk = "ids binary, rows binary, floor binary"
+    # A chunk goes to the groups whose bound some of its queries can reach, with those queries alone.
+    chunk = "grp int, part int, ids binary, rows binary, floor binary"
     chunk_out = arrow_schema(T._parse_datatype_string(chunk))
     seeds = [read_block(b.asDict()) for b in blocks.orderBy(F.xxhash64("ids")).limit(SEED_BLOCKS).collect()]
+    parts = max(1, -(-queries.count() // PART_QUERIES))
 
     def pack_queries(batches):
         for b in batches:
@@ -169,10 +190,19 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, seed: int = 7) ->
                 for j, scores, _ in _search(q, own, floor, seeds, k):
                     if len(scores) == k:
                         floor[j] = scores[-1]
-                yield batch(chunk_out, [own.tobytes()], [q.tobytes()], [floor.tobytes()])
-
-    chunks = durable(queries.select("vec_id", "v").mapInArrow(pack_queries, chunk))
-    dealt = chunks.withColumn("grp", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+                to = int(own[0]) % parts
+                if known is None:
+                    for g in range(groups):
+                        yield batch(chunk_out, [g], [to], [own.tobytes()], [q.tobytes()], [floor.tobytes()])
+                    continue
+                names, top, low = known.value
+                reach = _bounds(q, top, low) >= floor[:, None]
+                for g in np.flatnonzero(reach.any(axis=0)).tolist():
+                    at = reach[:, g]
+                    yield batch(chunk_out, [int(names[g])], [to], [own[at].tobytes()], [q[at].tobytes()], [floor[at].tobytes()])
+
+    dealt = durable(queries.select("vec_id", "v").mapInArrow(pack_queries, chunk))
+    spread = blocks.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
     found = "query_id long, vec_id long, score long"
 
     def search(qs: pa.Table, bs: pa.Table) -> pa.Table:
@@ -188,10 +218,12 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, seed: int = 7) ->
         cat = lambda x: pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64())
         return pa.table({"query_id": cat(out[0]), "vec_id": cat(out[1]), "score": cat(out[2])})
 
-    hits = dealt.groupBy("grp").cogroup(blocks.groupBy("grp")).applyInArrow(search, found)
+    hits = dealt.groupBy("grp", "part").cogroup(spread.groupBy("grp", "part")).applyInArrow(search, found)
     best = hits.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))), 1, k).alias("best"))
     return best.select("query_id", F.posexplode("best").alias("pos", "hit")).select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("hit.vec_id").alias("vec_id"), (-F.col("hit.s")).alias("score"))
 
 
 #: So many blocks give every query its first floor.
 SEED_BLOCKS = 16
+#: Group maxima of more bytes are not broadcast; queries then go to all groups. One task searches for so many queries at most.
+BOUNDS_BYTES, PART_QUERIES = 32_000_000, 65_536

@@ -57,3 +57,24 @@ def test_bounds_skip_blocks():
     blocks = [Counted(ids=np.arange(4) + 10 * i, rows=np.full((4, 2), 100 - i), top=np.full(2, 100 - i), low=np.full(2, 100 - i)) for i in range(20)]
     got = topk._search(np.array([[1, 1]]), np.array([-1]), np.array([-(10**9)]), blocks, 4)
     assert got[0][1].tolist() == [200] * 4 and Counted.seen == 1
+
+
+def test_without_group_bounds_and_with_many_parts(spark, monkeypatch):
+    rng = random.Random(4)
+    centres = [[rng.gauss(0, 3) for _ in range(6)] for _ in range(5)]
+    rows = [(i, [x + rng.gauss(0, 0.1) for x in centres[i % 5]]) for i in range(600)]
+    want = brute(rows, 5, 5)
+    monkeypatch.setattr(topk, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(topk, "PART_QUERIES", 25)
+    assert run(spark, rows) == want
+    monkeypatch.setattr(topk, "BOUNDS_BYTES", 0)
+    assert run(spark, rows) == want
+
+
+def test_bounds_hold():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    rows, q = rng.integers(-9, 9, (50, 4)), rng.integers(-9, 9, (20, 4))
+    bound = topk._bounds(q, rows.max(axis=0)[None], rows.min(axis=0)[None])
+    assert (bound[:, 0] >= (q @ rows.T).max(axis=1)).all()
