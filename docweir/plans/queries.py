@@ -659,3 +659,6 @@ def endpoint_listing(spark, sf):
     payload = F.when(F.col("page_id") % 2 == 0, '{"total": 2, "posts": [{"title": "a", "link": "b", "n": 1}, {}]}').otherwise('{"posts": 3}')
     store = pages(spark, sf).select(F.concat(site, F.lit("/wp-json/wp/v2/posts?per_page=5&page=1")).alias("url"), payload.alias("payload"))
     return probe.endpoint_items(asked, store).select("url_template", "items_path", "item_count", F.array_join("available_fields", ",").alias("available_fields"))
+
+
+from . import fixtures  # noqa: E402, F401  registers its queries
