@@ -16,12 +16,10 @@ from docweir.sources.durable import shared_folder
 from . import pipeline
 from .queries import documents, pages, query
 
-ID = F.col("page_id").cast("string")
-
 
 def numbered(template: str) -> Column:
     """A text with each row's number in place of ``#``."""
-    return F.replace(F.lit(template), F.lit("#"), ID)
+    return F.replace(F.lit(template), F.lit("#"), F.col("page_id").cast("string"))
 
 
 def chosen(*templates: str) -> Column:
