@@ -4,8 +4,7 @@ from __future__ import annotations
 
 import json
 import math
-from functools import reduce
-from operator import or_
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -50,14 +49,23 @@ def _pairs(words: Column) -> Column:
     return F.zip_with(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
 
 
-def signs(grams: list[str], least: int) -> list[str]:
-    """Words of ``grams``, the longest first, so many that fewer than ``least`` grams hold none of them."""
-    left, chosen = set(grams), []
-    for w in sorted({w for g in grams for w in g.split(" ")}, key=lambda w: (-len(w), w)):
-        if len(left) >= least and any(w in g.split(" ") for g in left):
-            chosen.append(w)
-            left = {g for g in left if w not in g.split(" ")}
-    return chosen
+def demands(grams: list[str], least: int) -> list[tuple[list[str], int]]:
+    """``(words, n)``: a text that holds ``least`` of ``grams`` holds ``n`` of ``words`` at least.
+
+    No gram holds two of ``words``, so that each missing word costs all of its grams, and no two words the same one.
+    """
+    near = {w: {x for g in grams if w in g.split(" ") for x in g.split(" ")} for w in {w for g in grams for w in g.split(" ")}}
+    cost = {w: sum(w in g.split(" ") for g in grams) for w in near}
+    left, out = sorted(near, key=lambda w: (-len(w), w)), []
+    while left:
+        words: list[str] = []
+        for w in left:
+            if not near[w].intersection(words):
+                words.append(w)
+        spared = sum(c <= len(grams) - least for c in accumulate(sorted(cost[w] for w in words)))
+        out.append((words, len(words) - spared))
+        left = [w for w in left if w not in words]
+    return [(words, n) for words, n in out if n > 0]
 
 
 def _templates(spark, templates: list[tuple[str, str]], threshold: float) -> list[dict]:
@@ -68,6 +76,7 @@ def _templates(spark, templates: list[tuple[str, str]], threshold: float) -> lis
         if n := len(grams):
             # Dice >= t needs a shared part that neither side can hold if it is much smaller than the other
             out.append({"id": r.id, "n": n, "wide": len(r.pairs), "least": max(1, math.ceil(n * threshold / (2 - threshold) - 1e-9)), "most": math.floor(n * (2 - threshold) / threshold + 1e-9), "grams": grams})
+            out[-1]["demands"] = [{"words": words, "n": k} for words, k in demands(grams, out[-1]["least"])]
     return out
 
 
@@ -89,23 +98,25 @@ def license_scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES,
     Repeated rows stay; other columns are not used and not returned.
 
     Two exact bounds spare work: a passage at the threshold shares so many
-    bigrams with the template that some of ``signs`` is in it, which a search
-    for a few strings tells; and a window must hold the least number of hits.
+    bigrams with the template that the text must meet its ``demands`` on words;
+    and a window must hold the least number of hits.
     """
     known = _templates(docs.sparkSession, templates, threshold)
     none = F.array().cast("array<struct<dice: double, license: string, passage: int, word: int>>")
     if not known:
         return docs.select("doc_id", none.alias("matches"))
     least, most = min(t["least"] for t in known), max(t["most"] for t in known)
-    words = {w for t in known for w in signs(t["grams"], t["least"])}
-    words = sorted(w for w in words if not any(o != w and o in w for o in words))
-    signed = lambda x: F.exists(F.array(F.lower(x)), lambda low: reduce(or_, [F.contains(low, F.lit(w)) for w in words]))
-    table = F.from_json(F.lit(json.dumps(known)), "array<struct<id: string, n: int, least: int, most: int, grams: array<string>>>")
-
-    rows = docs.select("doc_id", F.when(signed(F.col("text")), F.col("text")).otherwise(F.lit("")).alias("text"))
+    table = F.from_json(F.lit(json.dumps(known)), "array<struct<id: string, n: int, least: int, most: int, grams: array<string>, demands: array<struct<words: array<string>, n: int>>>>")
+    named = list(dict.fromkeys(w for t in known for g in t["grams"] for w in g.split(" ")))
+
+    rows = docs.select("doc_id", "text", _words(F.col("text")).alias("words"))
+    rows = rows.select("doc_id", "text", "words", F.array_intersect("words", F.array(*map(F.lit, named))).alias("present"))
+    met = F.exists(table, lambda t: F.forall(t["demands"], lambda d: F.size(F.array_intersect(F.col("present"), d["words"])) >= d["n"]))
+    rows = rows.select("doc_id", "text", "words", ((F.size("present") > 1) & met).alias("met"))
+    rows = rows.select("doc_id", F.when(F.col("met"), F.col("text")).otherwise("").alias("text"), F.when(F.col("met"), F.col("words")).otherwise(F.array()).alias("words"))
     passages = F.concat(F.split("text", "\n"), F.filter(F.split("text", r"\n[ \t\r]*\n"), lambda p: F.contains(p, F.lit("\n"))))
-    rows = rows.select("doc_id", F.filter(F.transform(passages, lambda p, i: F.struct(i.alias("passage"), p.alias("text"))), lambda u: signed(u["text"])).alias("units"), _words(F.col("text")).alias("words"))
-    rows = rows.select("doc_id", F.transform("units", lambda u: F.struct(u["passage"].alias("passage"), _words(u["text"]).alias("words"))).alias("units"), _pairs(F.col("words")).alias("pairs"))
+    rows = rows.select("doc_id", F.transform(passages, lambda p, i: F.struct(i.alias("passage"), _words(p).alias("words"))).alias("units"), _pairs(F.col("words")).alias("pairs"))
+    rows = rows.select("doc_id", F.filter("units", lambda u: F.size(u["words"]) > least).alias("units"), "pairs")
     rows = rows.select("doc_id", F.transform("units", lambda u: F.struct(u["passage"].alias("passage"), F.array_distinct(_pairs(u["words"])).alias("grams"))).alias("units"), "pairs", F.transform("pairs", lambda g, i: F.struct(i.alias("word"), g.alias("gram"))).alias("hits"))
     every = list(dict.fromkeys(g for t in known for g in t["grams"]))
     rows = rows.select("doc_id", F.filter("units", lambda u: F.size(u["grams"]).between(least, most)).alias("units"), "pairs", F.filter("hits", lambda h: h["gram"].isin(every)).alias("hits"))

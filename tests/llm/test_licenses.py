@@ -1,3 +1,4 @@
+import itertools
 import random
 import re
 
@@ -59,9 +60,15 @@ def test_random_edits_against_brute_force(spark):
     assert sum(bool(m) for _, m in matches(df)) > 30
 
 
-def test_signs_leave_too_few_bigrams():
-    assert licenses.signs(["a bb", "bb ccc", "ccc d"], 2) == ["ccc"]
-    assert licenses.signs(["a b"], 1) == ["a"] and licenses.signs(["a b", "c d"], 3) == []
+def test_demands_are_met_by_every_text_with_enough_bigrams():
+    rng = random.Random(3)
+    assert licenses.demands(["a bb", "bb ccc", "ccc d"], 3) == [(["ccc", "a"], 2), (["bb", "d"], 2)]
+    for _ in range(200):
+        grams = list({f"{rng.choice('abcde')} {rng.choice('abcdef')}" for _ in range(rng.randrange(1, 9))})
+        least = rng.randrange(1, len(grams) + 1)
+        for held in itertools.combinations(grams, least):
+            present = {w for g in held for w in g.split()}
+            assert all(len(present.intersection(words)) >= n for words, n in licenses.demands(grams, least))
 
 
 def test_no_templates(spark):
