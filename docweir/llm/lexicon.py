@@ -21,10 +21,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_schema, durable, pack_ints, pack_strings, shuffle_width, unpack_ints, unpack_strings
+from .common import arrow_schema, batch, durable, pack_ints, pack_strings, shuffle_width, unpack_ints, unpack_strings
 
 #: A chunk ends with the document that reaches one of these; a row holds documents until one reaches the third.
 CHUNK_WORDS, CHUNK_DISTINCT, ROW_WORDS = 4_000_000, 400_000, 100_000
+#: So many distinct words and their answers does a task hold while it resolves.
+MEMO = 1_000_000
 
 #: bucket: -1 for documents, -2 for a chunk's order, else the bucket of a part of the lexicon.
 SCHEMA = "chunk long, bucket int, doc_ids array<long>, n_bytes array<long>, lengths binary, words binary, counts binary"
@@ -111,18 +113,27 @@ def resolve(lexicons: DataFrame, resolver: Callable[[], Callable[[list[str]], li
     """``(chunk, bucket, answers)``, with each distinct word of all chunks resolved once.
 
     ``resolver()`` gives the function from distinct words to answers, ``pack``
-    turns the answers for one chunk's part into bytes.
+    turns the answers for one chunk's part into bytes. The parts of a bucket
+    pass through one by one; what stays is the distinct words of a task's
+    buckets and their answers. Beyond ``MEMO`` words these are let go, and a
+    word that comes again is resolved again.
     """
+    limit, schema = MEMO, "chunk long, bucket int, answers binary"
+    out = arrow_schema(T._parse_datatype_string(schema))
 
-    def each(part: pa.Table) -> pa.Table:
-        solve = resolver()
-        distinct: dict = defaultdict()
-        distinct.default_factory = distinct.__len__
-        places = [np.fromiter(map(distinct.__getitem__, unpack_strings(x.as_py())), np.int64) for x in part.column("words")]
-        answers = solve(list(distinct))
-        return pa.table({"chunk": part.column("chunk"), "bucket": part.column("bucket"), "answers": pa.array([pack([answers[i] for i in p.tolist()]) for p in places], pa.binary())})
-
-    return lexicons.groupBy("bucket").applyInArrow(each, "chunk long, bucket int, answers binary")
+    def each(batches):
+        solve, known = resolver(), {}
+        for b in batches:
+            for chunk, bucket, part in zip(b.column(0), b.column(1), b.column(2)):
+                words = unpack_strings(part.as_py())
+                new = [w for w in words if w not in known]
+                if len(known) + len(new) > limit:
+                    known, new = {}, words
+                if new:
+                    known.update(zip(new, solve(new)))
+                yield batch(out, [chunk.as_py()], [bucket.as_py()], [pack([known[w] for w in words])])
+
+    return lexicons.select("chunk", "bucket", "words").repartition("bucket").mapInArrow(each, schema)
 
 
 def rejoin(documents: DataFrame, answers: DataFrame, finish: Callable[[np.ndarray, list[bytes]], Callable], out: str) -> DataFrame:

@@ -50,6 +50,28 @@ def test_many_chunks(spark, docs, monkeypatch):
     monkeypatch.setattr("docweir.llm.lexicon.CHUNK_WORDS", 3)
     monkeypatch.setattr("docweir.llm.lexicon.ROW_WORDS", 2)
     assert sorted(bpe.round_trip(docs.where("doc_id is not null"), path).collect()) == want
+    monkeypatch.setattr("docweir.llm.lexicon.MEMO", 2)
+    assert sorted(bpe.round_trip(docs.where("doc_id is not null"), path).collect()) == want
+
+
+def test_each_distinct_word_is_resolved_once(spark):
+    """One call for each distinct word of a task, whatever the number of chunks that hold it."""
+    from docweir.llm import lexicon
+    from docweir.llm.common import pack_ints, pack_strings, unpack_ints
+
+    parts = [(chunk, 0, pack_strings(words)) for chunk, words in enumerate([["a", "b"], ["b", "c"], ["a", "c", "d"], ["d"]])]
+    df = spark.createDataFrame(parts, "chunk long, bucket int, words binary").coalesce(1)
+
+    def resolver():
+        calls = iter(range(100))
+        return lambda words: [next(calls) for _ in words]
+
+    got = {r.chunk: unpack_ints(r.answers).tolist() for r in lexicon.resolve(df, resolver, lambda x: pack_ints(np.array(x, np.uint32))).collect()}
+    seen = {}
+    for chunk, _, _ in parts:
+        for w, n in zip([["a", "b"], ["b", "c"], ["a", "c", "d"], ["d"]][chunk], got[chunk]):
+            assert seen.setdefault(w, n) == n
+    assert sorted(seen.values()) == [0, 1, 2, 3]
 
 
 def test_counts(spark, docs):
