@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses
+from . import clusters, hard_negatives, licenses
 from .common import table
 from .tokenizer import public_path
 
@@ -95,6 +95,28 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_bpe, op3_token_counts, op4_language, op5_topk, op6_sharding, op7_licenses, op8_quality, op9_pii, op10_decontaminate)}
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .hard_negatives import hard_negatives, quantised
 
-ORACLE_SQL: dict[str, str] = {"op5_topk": OP5_SQL, "op7_licenses": licenses.oracle_sql()}
+    vectors = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = quantised(vectors.select("vec_id", "embedding", label.alias("label")))
+    return hard_negatives(rows, rows.where(F.col("vec_id") % 100 == 0), positives=5, negatives=10, least=30, most=90)
+
+
+def op12_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .clusters import lloyd
+
+    return lloyd(table(spark, sf_dir, "embeddings"), k=16, rounds=3, dims=64, scale=64, seed=1)
+
+
+def op13_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secret_scan import count_of, find_secrets, joined
+
+    counts = [count_of(k, "base").alias(f"n_{k}") for k in ("assign", "access", "hex")]
+    return find_secrets(table(spark, sf_dir, "documents")).select("doc_id", *counts, F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_bpe, op3_token_counts, op4_language, op5_topk, op6_sharding, op7_licenses, op8_quality, op9_pii, op10_decontaminate, op11_hard_negatives, op12_clusters, op13_secrets)}
+
+ORACLE_SQL: dict[str, str] = {"op5_topk": OP5_SQL, "op7_licenses": licenses.oracle_sql(), "op11_hard_negatives": hard_negatives.oracle_sql(), "op12_clusters": clusters.oracle_sql()}
