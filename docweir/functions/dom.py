@@ -7,6 +7,7 @@ text after it. Unclosed elements end where their parent does.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from html import escape
@@ -113,30 +114,35 @@ class _Builder(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = Node("!document")
         self.open = [self.root]
+        self.tags: Counter[str] = Counter()  # of open elements, so that no search is for what is not there
+
+    def close_from(self, i: int) -> None:
+        self.tags.subtract(n.tag for n in self.open[i:])
+        del self.open[i:]
 
     def handle_starttag(self, tag, attrs):
         closes = CLOSES.get(tag, frozenset(["p"]) if tag in BLOCKS else frozenset())
-        for i in range(len(self.open) - 1, 0, -1):
-            t = self.open[i].tag
-            if t in closes:
-                del self.open[i:]
-            elif t in BLOCKS or t in ("table", "ul", "ol", "dl"):
-                break
+        if any(self.tags[t] > 0 for t in closes):
+            for i in range(len(self.open) - 1, 0, -1):
+                t = self.open[i].tag
+                if t in closes:
+                    self.close_from(i)
+                elif t in BLOCKS or t in ("table", "ul", "ol", "dl"):
+                    break
         node = Node(tag, {k: v or "" for k, v in attrs})
         self.open[-1].append(node)
         if tag not in VOID:
             self.open.append(node)
+            self.tags[tag] += 1
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
         if tag not in VOID and self.open[-1].tag == tag:
-            self.open.pop()
+            self.close_from(len(self.open) - 1)
 
     def handle_endtag(self, tag):
-        for i in range(len(self.open) - 1, 0, -1):
-            if self.open[i].tag == tag:
-                del self.open[i:]
-                return
+        if self.tags[tag] > 0:
+            self.close_from(next(i for i in range(len(self.open) - 1, 0, -1) if self.open[i].tag == tag))
 
     def handle_data(self, data):
         self.open[-1].append(data)

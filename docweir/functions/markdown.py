@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,9 +16,8 @@ BLOCK = frozenset("address article aside blockquote body div dd dl dt figcaption
 SILENT = frozenset("script style noscript template head title !comment".split())
 
 
-def _inline(n: Node | str) -> str:
-    if isinstance(n, str):
-        return re.sub(r"\s+", " ", n)
+def _inline(n: Node, done: dict[int, str]) -> str:
+    """An element that holds no block, given its children's text."""
     if n.tag in SILENT:
         return ""
     if n.tag == "br":
@@ -25,7 +25,7 @@ def _inline(n: Node | str) -> str:
     if n.tag == "img":
         src = n.attrs.get("src", "")
         return f"![{n.attrs.get('alt', '')}]({src})" if src and not src.startswith("data:") else ""
-    text = "".join(map(_inline, n.children))
+    text = "".join(re.sub(r"\s+", " ", c) if isinstance(c, str) else done.pop(id(c)) for c in n.children)
     core = text.strip()
     if not core:
         return " " if text else ""
@@ -39,7 +39,8 @@ def _inline(n: Node | str) -> str:
     return text
 
 
-def _blocks(n: Node) -> list[str]:
+def _blocks(n: Node, inline: dict[int, str], blocks: dict[int, list[str]]) -> list[str]:
+    """The blocks of an element, given those of its children and the text of children that hold none."""
     out, run = [], []
 
     def flush() -> None:
@@ -49,42 +50,66 @@ def _blocks(n: Node) -> list[str]:
             out.append(text)
 
     for c in n.children:
-        if isinstance(c, str) or c.tag not in BLOCK and not any(x.tag in BLOCK for x in c.walk()):
-            run.append(_inline(c))
+        if isinstance(c, str):
+            run.append(re.sub(r"\s+", " ", c))
+            continue
+        if id(c) in inline:
+            run.append(inline.pop(id(c)))
             continue
         flush()
+        within = blocks[id(c)]
         if c.tag == "hr":
             out.append("---")
         elif c.tag == "pre":
             out.append("```\n" + c.text().strip("\n") + "\n```")
         elif c.tag in ("ul", "ol"):
-            items = [i for i in c.children if isinstance(i, Node) and i.tag == "li"]
-            lines = []
-            for k, i in enumerate(items, 1):
-                body = "\n".join(_blocks(i)).split("\n")
-                lines.append((f"{k}. " if c.tag == "ol" else "- ") + ("\n    ".join(body)))
+            items = [blocks[id(i)] for i in c.children if isinstance(i, Node) and i.tag == "li"]
+            lines = [(f"{k}. " if c.tag == "ol" else "- ") + "\n".join(i).replace("\n", "\n    ") for k, i in enumerate(items, 1)]
             out += ["\n".join(lines)] if lines else []
         elif c.tag == "blockquote":
-            inner = "\n\n".join(_blocks(c))
+            inner = "\n\n".join(within)
             out += ["\n".join(("> " + line).rstrip() for line in inner.split("\n"))] if inner else []
         elif c.tag == "tr":
-            cells = [" ".join(" ".join(_blocks(x)).split()) for x in c.children if isinstance(x, Node) and x.tag in ("td", "th")]
+            cells = [" ".join(" ".join(blocks[id(x)]).split()) for x in c.children if isinstance(x, Node) and x.tag in ("td", "th")]
             out += ["| " + " | ".join(cells) + " |"] if any(cells) else []
         elif re.fullmatch("h[1-6]", c.tag):
-            text = " ".join(" ".join(_blocks(c)).split())
+            text = " ".join(" ".join(within).split())
             out += ["#" * int(c.tag[1]) + " " + text] if text else []
         elif c.tag not in SILENT:
-            out += _blocks(c)
+            out += within
     flush()
     return out
 
 
 def to_markdown(markup: str) -> str:
-    """Paragraphs, headings, lists, quotes, tables and code, parted by blank lines."""
-    return "\n\n".join(_blocks(parse(markup)))
+    """Paragraphs, headings, lists, quotes, tables and code, parted by blank lines.
+
+    Elements are put together from the innermost outwards, so markup may be nested to any depth.
+    """
+    root = parse(markup)
+    inline: dict[int, str] = {}
+    blocks: dict[int, list[str]] = {}
+    for n in reversed([root, *root.walk()]):
+        if n is root or n.tag in BLOCK or any(isinstance(c, Node) and id(c) in blocks for c in n.children):
+            blocks[id(n)] = _blocks(n, inline, blocks)
+        else:
+            inline[id(n)] = _inline(n, inline)
+    return "\n\n".join(blocks[id(root)])
+
+
+def _converted(markup: str | None) -> tuple[str | None, str]:
+    try:
+        return (None if markup is None else to_markdown(markup)), ""
+    except Exception as e:  # a fault of one document is that document's alone
+        return None, f"{type(e).__name__}: {e}"
+
+
+@F.pandas_udf(T.StructType([T.StructField("body", T.StringType()), T.StructField("error", T.StringType())]))
+def converted(html: pd.Series) -> pd.DataFrame:
+    """Vectorised: :func:`to_markdown`, or why there is none; null stays null."""
+    return pd.DataFrame([_converted(h) for h in html], columns=["body", "error"], dtype=object)
 
 
-@F.pandas_udf(T.StringType())
-def markdown(html: pd.Series) -> pd.Series:
-    """Vectorised: :func:`to_markdown`; null stays null."""
-    return html.map(lambda h: None if h is None else to_markdown(h))
+def markdown(html: Column | str) -> Column:
+    """The Markdown alone, null where there is none."""
+    return converted(html)["body"]

@@ -79,10 +79,20 @@ def stripped(content: dom.Node, selectors: tuple[str, ...]) -> None:
 
 
 def without_empty(content: dom.Node) -> None:
-    """Takes containers away that hold neither text nor anything that is seen, from the inside out."""
+    """Takes containers away that hold neither text nor anything that is seen: one pass that carries upwards what each element holds."""
+    holds: set[int] = set()
+    gone: dict[int, dom.Node] = {}
     for n in reversed(list(content.walk())):
-        if n.tag in PRUNABLE and not n.text().strip() and not any(c.tag in MEANINGFUL for c in n.walk()):
-            n.remove()
+        if n.tag == "!comment":
+            continue
+        if any(c.strip() if isinstance(c, str) else c.tag in MEANINGFUL or id(c) in holds for c in n.children):
+            holds.add(id(n))
+        elif n.tag in PRUNABLE:
+            gone[id(n)] = n
+    for parent in {id(n.parent): n.parent for n in gone.values()}.values():
+        parent.children = [c for c in parent.children if id(c) not in gone]
+    for n in gone.values():
+        n.parent = None
 
 
 def page_content(tree: dom.Node, config: ArticleConfig) -> tuple[str, bool]:

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docweir.functions import dom, embeds
+from docweir.functions.markdown import converted, to_markdown
 from docweir.operators import articles, probe
 from docweir.operators.articles import ArticleConfig
 
@@ -105,3 +106,38 @@ def test_probe(spark):
     a, b = spark.createDataFrame([("u",), ("v",)], "href string"), spark.createDataFrame([("v",), ("w",)], "href string")
     assert probe.paginates(a, b).first().asDict() == {"page_1_count": 2, "page_2_count": 2, "new_on_page_2": 1, "paginates": True}
     assert not probe.paginates(a, a).first().paginates
+
+
+def test_embeds_without_what_they_need():
+    for markup in (
+        card("EmbeddedPostToDOM", {"url": "https://a.b/p", "title": " "}), card("EmbeddedPostToDOM", {"title": "T"}), card("EmbeddedPostToDOM", {"url": 3, "title": ["T"]}), card("DigestPostEmbed", None, "<a href='https://a.b/x'></a>"), card("DigestPostEmbed", None, "<h4>T</h4>"),
+        card("EmbeddedPublicationToDOMWithSubscribe", {"name": "N"}), card("Youtube2ToDOM", {"videoId": "a b"}), card("Youtube2ToDOM", {"videoId": 7}), card("Youtube2ToDOM"), '<iframe src="data:text/html,none"></iframe>', card("instagram", {"url": "https://a.b/p", "title": "T"}),
+    ):
+        tree = dom.parse(f"<div>{markup}</div>").first("div")
+        before = tree.html()
+        assert embeds.rewrite(tree) == 0 and tree.html() == before
+    odd = dom.parse(card("EmbeddedPostToDOM", {"url": "https://a.b/p", "title": "T", "bylines": [3, {"name": None}, {"name": "A"}, {}]}) + card("Youtube2ToDOM", {"videoId": "abcDEF123", "startTime": None}))
+    assert embeds.rewrite(odd) == 2 and "T</a> — A</p>" in odd.html() and "v=abcDEF123\"" in odd.html()
+
+
+def test_any_depth_and_empty_containers(spark):
+    """Ten thousand nested elements take as long as ten thousand beside each other."""
+    for tag in ("div", "b", "blockquote", "span"):
+        page = f"<{tag}>" * 10_000 + "text" + f"</{tag}>" * 10_000 + "<div><span> </span><!-- c --></div>" * 3000
+        tree = dom.parse(f"<body>{page}</body>")
+        articles.without_empty(tree)
+        assert "c --" not in tree.html() and tree.line() == "text"
+        assert "text" in to_markdown(tree.html())
+    kept = dom.parse("<div><div><p> </p></div><span><img></span><section><!-- c --></section><figure>x</figure></div>")
+    articles.without_empty(kept)
+    assert kept.html().replace("</!document>", "").replace("<!document>", "") == "<div><div><p> </p></div><span><img></span><figure>x</figure></div>".replace("<div><p> </p></div>", "")
+
+
+def test_a_fault_of_one_document_is_its_own(spark, monkeypatch):
+    df = spark.createDataFrame([(0, "<p>a</p>"), (1, None), (2, "<b>" * 5000 + "x")], "k int, html string")
+    got = {r.k: r.c for r in df.select("k", converted("html").alias("c")).collect()}
+    assert got[0].body == "a" and got[0].error == "" and got[1].body is None and got[1].error == "" and got[2].body.startswith("**")
+    from docweir.functions import markdown as m
+
+    monkeypatch.setattr(m, "to_markdown", lambda h: 1 / 0)
+    assert m._converted("<p>") == (None, "ZeroDivisionError: division by zero")
