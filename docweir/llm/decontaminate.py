@@ -40,6 +40,8 @@ SHORT = 6
 BLOCK_BYTES = 8_000_000
 #: Texts of about so many characters are searched at once.
 AT_ONCE = 2_000_000
+#: So many places where a pair of an item meets one of a text are held at once.
+POSTINGS = 1_000_000
 
 WORD = re.compile(r"\w+")
 
@@ -53,6 +55,19 @@ def _ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts - starts, counts)
 
 
+def _cuts(sizes: np.ndarray, keys: np.ndarray, most: int):
+    """Ranges of rows whose sizes sum up to ``most`` or less, cut between different keys; more only where one key has more."""
+    if not len(sizes):
+        return
+    head = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+    upto = np.r_[0, np.cumsum(sizes)][np.r_[head, len(sizes)]]
+    k = 0
+    while k < len(head):
+        n = max(k + 1, int(np.searchsorted(upto, upto[k] + most, side="right")) - 1)
+        yield head[k], head[n] if n < len(head) else len(sizes)
+        k = n
+
+
 def alignment_score(item: np.ndarray, text: np.ndarray) -> int:
     """Smith-Waterman: the best local alignment of two sequences of word numbers; 0 in ``text`` matches nothing."""
     n = len(text)
@@ -101,8 +116,11 @@ class Items:
         self.pairs, which = np.unique(code, return_inverse=True)
         order = np.argsort(which, kind="stable")
         self.which, self.place, self.distance = which[order], place[order], distance[order]
-        self.count = np.bincount(self.which, minlength=len(self.pairs))
-        self.at = np.cumsum(self.count) - self.count
+        #: of each item its distinct pairs, and whether one of them stands on neighbouring words
+        code, back = np.unique(self.owner[place] * max(1, len(self.pairs)) + which, return_inverse=True)
+        self.own_pair, self.own_near = code % max(1, len(self.pairs)), np.bincount(back, weights=distance == 1, minlength=len(code)) > 0
+        self.own = np.bincount(code // max(1, len(self.pairs)), minlength=len(sequences))
+        self.own_at = np.cumsum(self.own) - self.own
 
     def numbers(self, text: str | None) -> np.ndarray:
         words = words_of(text)
@@ -119,8 +137,8 @@ class Items:
         rank[order] = np.arange(len(order)) - self.first[self.owner[order]]
         return rank >= np.maximum(0, (self.need - 3) // 2)[self.owner]
 
-    def _stretches(self, words: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Document, item, first word and end of each stretch of ``words`` that passes both bounds; they may overlap."""
+    def _pairs_in(self, words: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Where the items' pairs stand in a run of texts: document, pair, first word and distance, in this order."""
         p, pair, apart = [], [], []
         for distance in (1, 2):
             a, b = words[:-distance], words[distance:]
@@ -130,29 +148,69 @@ class Items:
             ok = self.pairs[k] == code
             p.append(at[ok])
             pair.append(k[ok])
-            apart.append(np.full(int(ok.sum()), distance))
+            apart.append(np.full(int(ok.sum()), distance, np.int8))
         p, pair, apart = (np.concatenate(x) for x in (p, pair, apart))
-        n = self.count[pair]
-        posting = _ranges(self.at[pair], n)
-        p, apart = np.repeat(p, n), np.repeat(apart, n)
-        item = self.owner[self.place[posting]]
-        met = doc[p] * len(self.ids) + item
-        proposed = np.unique(met[self.rare(np.bincount(pair, minlength=len(self.pairs)))[self.place[posting]]])
-        if not len(proposed):
-            return (np.zeros(0, np.int64),) * 4
-        ok = proposed[np.minimum(np.searchsorted(proposed, met), len(proposed) - 1)] == met
-        met, p, item = met[ok], p[ok], item[ok]
-        weight = np.where((apart[ok] == 1) & (self.distance[posting[ok]] == 1), 2, 1)
+        order = np.lexsort((p, pair, doc[p]))
+        return doc[p[order]], pair[order], p[order], apart[order]
+
+    def _proposed(self, doc: np.ndarray, pair: np.ndarray, frequency: np.ndarray):
+        """Documents and items that share a rare seed, some documents at a time: from each document and pair in it, once, to the items where it is rare."""
+        seed = self.rare(frequency)[self.place]
+        which, owner = self.which[seed], self.owner[self.place[seed]]
+        count = np.bincount(which, minlength=len(self.pairs))
+        first = np.cumsum(count) - count
+        for low, high in _cuts(count[pair], doc, POSTINGS):
+            met = np.zeros(0, np.int64)
+            for i, j in _cuts(count[pair[low:high]], np.arange(high - low), POSTINGS):
+                k = pair[low + i : low + j]
+                there = np.repeat(doc[low + i : low + j], count[k]) * len(self.ids) + owner[_ranges(first[k], count[k])]
+                met = np.union1d(met, there)
+            if len(met):
+                yield met
+
+    def _stretches(self, words: np.ndarray, doc: np.ndarray):
+        """Document, item, first word and end of the stretches of ``words`` that pass both bounds; those of a document and item do not overlap.
+
+        Postings are gathered for proposed documents and items alone, and at most
+        ``POSTINGS`` at a time, or those of one document and item.
+        """
+        d, pair, p, apart = self._pairs_in(words, doc)
+        if not len(p):
+            return
+        key = d * len(self.pairs) + pair
+        head = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        size, key = np.diff(np.r_[head, len(p)]), key[head]
+        for met in self._proposed(d[head], pair[head], np.bincount(pair, minlength=len(self.pairs))):
+            item = met % len(self.ids)
+            for low, high in _cuts(self.own[item], met, POSTINGS):
+                n = self.own[item[low:high]]
+                who, own = np.repeat(met[low:high], n), _ranges(self.own_at[item[low:high]], n)
+                want = who // len(self.ids) * len(self.pairs) + self.own_pair[own]
+                at = np.minimum(np.searchsorted(key, want), len(key) - 1)
+                ok = key[at] == want
+                who, own, at = who[ok], own[ok], at[ok]
+                for i, j in _cuts(size[at], who, POSTINGS):
+                    yield from self._heavy(who[i:j], self.own_near[own[i:j]], head[at[i:j]], size[at[i:j]], p, apart, len(words))
+
+    def _heavy(self, who: np.ndarray, near: np.ndarray, head: np.ndarray, size: np.ndarray, p: np.ndarray, apart: np.ndarray, end: int):
+        """The count filter: stretches where an item's pairs weigh enough, joined where they overlap."""
+        at = _ranges(head, size)
+        who, near, p, apart = np.repeat(who, size), np.repeat(near, size), p[at], apart[at]
+        weight = np.where((apart == 1) & near, 2, 1)
         # an alignment begins one pair at a word at most, so the heaviest counts
-        order = np.lexsort((-weight, p, met))
-        met, p, item, weight = met[order], p[order], item[order], weight[order]
-        once = np.flatnonzero(np.r_[True, (met[1:] != met[:-1]) | (p[1:] != p[:-1])])
-        met, p, item, weight = met[once], p[once], item[once], weight[once]
-        upto = np.r_[0, np.cumsum(weight)]
-        key = met * (len(words) + 1) + p
-        end = np.searchsorted(key, met * (len(words) + 1) + np.minimum(p + self.span[item], len(words)))
-        heavy = np.flatnonzero(upto[end] - upto[np.arange(len(p))] >= self.need[item] - MATCH)
-        return met[heavy] // len(self.ids), item[heavy], p[heavy] - self.span[item[heavy]], p[heavy] + self.span[item[heavy]]
+        order = np.lexsort((-weight, p, who))
+        who, p, weight = who[order], p[order], weight[order]
+        once = np.flatnonzero(np.r_[True, (who[1:] != who[:-1]) | (p[1:] != p[:-1])])
+        who, p, weight = who[once], p[once], weight[once]
+        item = who % len(self.ids)
+        upto, key = np.r_[0, np.cumsum(weight)], who * (end + 1) + p
+        last = np.searchsorted(key, who * (end + 1) + np.minimum(p + self.span[item], end))
+        heavy = np.flatnonzero(upto[last] - upto[np.arange(len(p))] >= self.need[item] - MATCH)
+        if len(heavy):
+            who, p, span = who[heavy], p[heavy], self.span[item[heavy]]
+            new = np.flatnonzero(np.r_[True, (who[1:] != who[:-1]) | (p[1:] - span[1:] > p[:-1] + span[:-1])])
+            low, high = p[new] - span[new], (p + span)[np.r_[new[1:], len(p)] - 1]
+            yield from zip((who[new] // len(self.ids)).tolist(), (who[new] % len(self.ids)).tolist(), low.tolist(), high.tolist())
 
     def find(self, texts: list[str | None]) -> list[list[tuple[int, float]]]:
         """``(item_id, similarity)`` of each item at or over the threshold, for each text."""
@@ -169,25 +227,13 @@ class Items:
         for w, items in self.single.items():
             for d in np.unique(doc[words == w]).tolist():
                 best.update({(d, i): MATCH for i in items})
-        found = self._stretches(words, doc) if len(self.pairs) else ()
-        open_: dict[tuple[int, int], list[int]] = {}
-        whole: list[tuple[tuple[int, int], int, int]] = []
-        for d, i, a, b in zip(*(x.tolist() for x in found)):
-            last = open_.get((d, i))
-            if last and a <= last[1]:
-                last[1] = b
-                continue
-            if last:
-                whole.append(((d, i), *last))
-            open_[d, i] = [a, b]
-        whole += [(k, *v) for k, v in open_.items()]
-        for (d, i), a, b in whole:
+        for d, i, a, b in self._stretches(words, doc) if len(self.pairs) else ():
             low, high = begin[d], begin[d] + lengths[d]
             score = alignment_score(self.words(i), words[max(a, low) : min(b, high)])
-            best[d, i] = max(score, best.get((d, i), 0))
-        for (d, i), score in sorted(best.items()):
             if score >= self.need[i]:
-                out[d].append((self.ids[i], score / (MATCH * int(self.length[i]))))
+                best[d, i] = max(score, best.get((d, i), 0))
+        for (d, i), score in sorted(best.items()):
+            out[d].append((self.ids[i], score / (MATCH * int(self.length[i]))))
         return out
 
 

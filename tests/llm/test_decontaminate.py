@@ -136,3 +136,31 @@ def test_frequent_grams_find_edited_copies(spark):
     df = spark.createDataFrame(docs, "doc_id long, text string")
     got = d.leaks(df, spark.createDataFrame([(7, item)], "item_id long, text string")).collect()
     assert [(1, 7, brute_score(d.words_of(item), d.words_of(copy)) / 30)] == [tuple(r) for r in got if r.doc_id == 1]
+
+
+def test_memory_of_a_frequent_pair(monkeypatch):
+    """Every item has the pair that a text repeats; what is held at once does not grow with their product."""
+    import tracemalloc
+
+    rng = random.Random(5)
+    items = [(i, " ".join([*(f"w{rng.randint(0, 900)}" for _ in range(4)), "a b", *(f"w{rng.randint(0, 900)}" for _ in range(5))])) for i in range(200)]
+    texts = ["a b " * 40_000 + items[7][1], "x y", items[3][1]]
+    block = d.Items(items)
+    monkeypatch.setattr(d, "POSTINGS", 100_000)
+    tracemalloc.start()
+    got = block.find(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (7, 1.0) in got[0] and got[1] == [] and (3, 1.0) in got[2]
+    assert peak < 60_000_000, peak  # 16 million places meet
+
+
+def test_postings_in_any_number_give_the_same(monkeypatch):
+    rng = random.Random(9)
+    vocab = [f"w{i}" for i in range(12)]
+    items = [(i, " ".join(rng.choice(vocab) for _ in range(rng.choice([1, 5, 8, 20])))) for i in range(20)]
+    texts = [" ".join(rng.choice([*vocab, "q"]) for _ in range(rng.randint(0, 60))) for _ in range(30)]
+    want = d.Items(items).find(texts)
+    for most in (1, 7, 100):
+        monkeypatch.setattr(d, "POSTINGS", most)
+        assert d.Items(items).find(texts) == want
