@@ -143,8 +143,18 @@ def articles(refs: DataFrame, pages: DataFrame, config: ArticleConfig = ArticleC
 
     What the listing says of title and date goes before what the page says.
     """
+    return read(with_pages(refs, pages), config)
+
+
+def with_pages(refs: DataFrame, pages: DataFrame) -> DataFrame:
+    """Each ref with its page's ``html``, null where there is none."""
     once = looked_up(pages, refs).withColumnRenamed("url", "_url")
-    found = extracted(refs.join(once, refs["url"] == once["_url"], "left").drop("_url"), config)
+    return refs.join(once, refs["url"] == once["_url"], "left").drop("_url")
+
+
+def read(refs: DataFrame, config: ArticleConfig = ArticleConfig()) -> DataFrame:
+    """``refs(url, title, published_at, html, ...)`` with each one's article or its error."""
+    found = extracted(refs, config)
     title = F.coalesce(F.nullif("title", F.lit("")), "page_title")
     own = F.get(F.filter(F.transform("page_dates", parsed_date), lambda d: d.isNotNull()), 0)
     out = found.withColumn("title", title).withColumn("published_at", F.coalesce("published_at", own))

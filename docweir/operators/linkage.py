@@ -6,7 +6,7 @@ where one is small enough the optimiser sees its size.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docweir.functions.similarity import CUTOFF, lengths_allow, ratios
@@ -63,8 +63,8 @@ def prefix_matches(refs: DataFrame, index: DataFrame) -> DataFrame:
     return found.select("ord", "b.probe", "b.m.key", "b.m.message_id")
 
 
-#: Characters of keys, twelve to a long; how many occurrences of each are told apart; parts of a length's keys.
-ALPHABET, LEVELS, PARTS = "abcdefghijklmnopqrstuvwxyz0123456789-", 5, 16
+#: Characters of keys, twelve to a long; how many occurrences of each are told apart; places that count as one when pieces are joined.
+ALPHABET, LEVELS, NEAR = "abcdefghijklmnopqrstuvwxyz0123456789-", 5, 8
 
 
 def _letters(df: DataFrame, text: str, to: str) -> DataFrame:
@@ -82,23 +82,66 @@ def _letters(df: DataFrame, text: str, to: str) -> DataFrame:
     return out.withColumn(f"{to}_rest", F.length(text) - kept)
 
 
+def _unmatched(lengths: Column, cutoff: float) -> Column:
+    """How many characters of two keys of these lengths together may stay without a partner."""
+    return F.floor(lengths * (1 - cutoff) + 1e-9).cast("int")
+
+
+def _number_of_pieces(n: Column, cutoff: float) -> Column:
+    """One more than the characters that a key of ``n`` and any key near enough may leave unmatched."""
+    return F.floor(n * (2 * (1 - cutoff) / cutoff) + 1e-9).cast("int") + 1
+
+
+def key_pieces(keys: DataFrame, cutoff: float) -> DataFrame:
+    """``keys(key, ...)`` cut into pieces of about equal length: a row ``(..., n, start, piece)`` for each."""
+    n, m = F.length("key"), _number_of_pieces(F.length("key"), cutoff)
+    cut = lambda i: F.floor(n * i / m).cast("int")
+    pieces = F.transform(F.sequence(F.lit(0), m - 1), lambda i: F.struct(cut(i).alias("start"), F.substring("key", cut(i) + 1, cut(i + 1) - cut(i)).alias("piece")))
+    return keys.select("*", n.alias("n"), F.explode(pieces).alias("_p")).select(*keys.columns, "n", "_p.start", "_p.piece")
+
+
+def probe_pieces(probes: DataFrame, cutoff: float) -> DataFrame:
+    """``probes(probe, ...)`` with whatever in them may be a key's piece: ``(..., place, near, piece)``, for each stretch of places where it may stand in the key."""
+    length = F.length("probe")
+    near_enough = F.sequence(F.greatest(F.lit(1), F.ceil(length * cutoff / (2 - cutoff) - 1e-9).cast("int")), F.floor(length * (2 - cutoff) / cutoff + 1e-9).cast("int"))
+    sizes = F.transform(near_enough, lambda n: n / _number_of_pieces(n, cutoff))
+    size = F.explode(F.sequence(F.floor(F.array_min(sizes)).cast("int"), F.least(length, F.ceil(F.array_max(sizes)).cast("int"))))
+    sized = probes.select("*", size.alias("_n")).where("_n > 0")
+    placed = sized.select("*", F.explode(F.sequence(F.lit(0), F.length("probe") - F.col("_n"))).alias("place"))
+    reach = _number_of_pieces(F.length("probe"), cutoff) - 1
+    near = F.sequence(F.floor(F.greatest(F.lit(0), F.col("place") - reach) / NEAR).cast("int"), F.floor((F.col("place") + reach) / NEAR).cast("int"))
+    return placed.select(*probes.columns, "place", F.substring("probe", F.col("place") + 1, F.col("_n")).alias("piece"), F.explode(near).alias("near"))
+
+
+def similar_pairs(probes: DataFrame, keys: DataFrame, cutoff: float) -> DataFrame:
+    """Different pairs of ``probes(probe)`` and ``keys(key, message_id)`` that may reach the cutoff: none that does is lost.
+
+    If two keys of ``a`` and ``b`` characters reach it, at most ``(1 - cutoff) *
+    (a + b)`` characters of the two stay unmatched. Cut into one piece more than
+    that, the key has a piece that no unmatched character touches: it stands in
+    the probe as it is, moved by what is unmatched before it, and what is
+    unmatched after it makes up the rest of the difference in length. So pairs
+    meet in an equi-join on pieces and the stretch of places where they stand.
+    Of those that agree on a place, the ones go on whose letters allow it.
+    """
+    p = probe_pieces(_letters(probes, "probe", "p"), cutoff)
+    k = key_pieces(_letters(keys, "key", "k"), cutoff).withColumn("near", F.floor(F.col("start") / NEAR).cast("int"))
+    common = sum((F.bit_count(F.col(f"p{i}").bitwiseAND(F.col(f"k{i}"))) for i in range(-(-len(ALPHABET) // 12))), F.least("p_rest", "k_rest"))
+    both, moved, longer = F.length("probe") + F.col("n"), F.col("place") - F.col("start"), F.length("probe") - F.col("n")
+    met = p.join(k, ["piece", "near"]).where((F.abs(moved) + F.abs(longer - moved) <= _unmatched(both, cutoff)) & (2.0 * common >= F.lit(cutoff) * both - 1e-9))
+    return met.select("probe", "key", "message_id").dropDuplicates(["probe", "key"])
+
+
 def fuzzy_matches(refs: DataFrame, index: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
     """``(ord, key, message_id, ratio)``: the held key most similar to the ref's, at least ``cutoff``; ties go to the key that is last in order.
 
-    Distinct keys only. A key equal to the probe is the most similar one. For
-    the rest, two exact bounds keep pairs from the costly comparison: lengths
-    must lie in a band, to which the probes are dealt, and the characters that
-    two keys can have in common are at most those that both hold, which a few
-    bit operations tell. The keys of one length are split into parts.
+    Distinct keys only. A key equal to the probe is the most similar one; for
+    the rest the library's ratio decides among :func:`similar_pairs`.
     """
     probes = refs.where("probe_title <> ''").select(F.col("probe_title").alias("probe")).distinct()
     same = probes.join(index, F.col("probe") == F.col("key")).select("probe", F.struct(F.lit(1.0).alias("decided"), "key", "message_id", F.lit(1.0).alias("reported")).alias("b"))
-    rest = _letters(probes.join(index.select(F.col("key").alias("probe")), "probe", "left_anti"), "probe", "p")
-    band = F.sequence(F.ceil(F.length("probe") * cutoff / (2 - cutoff) - 1e-9).cast("int"), F.floor(F.length("probe") * (2 - cutoff) / cutoff + 1e-9).cast("int"))
-    dealt = rest.withColumn("n", F.explode(band)).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
-    keys = _letters(index.select("key", "message_id"), "key", "k").withColumn("n", F.length("key")).withColumn("part", F.pmod(F.xxhash64("key"), F.lit(PARTS)).cast("int"))
-    common = sum((F.bit_count(F.col(f"p{i}").bitwiseAND(F.col(f"k{i}"))) for i in range(-(-len(ALPHABET) // 12))), F.least("p_rest", "k_rest"))
-    pairs = dealt.join(keys, ["n", "part"]).where(lengths_allow(F.col("probe"), F.col("key"), cutoff) & (2.0 * common >= F.lit(cutoff) * (F.length("probe") + F.length("key"))))
+    rest = probes.join(index.select(F.col("key").alias("probe")), "probe", "left_anti")
+    pairs = similar_pairs(rest, index.select("key", "message_id"), cutoff).where(lengths_allow(F.col("probe"), F.col("key"), cutoff))
     scored = pairs.select("probe", "key", "message_id", ratios("key", "probe").alias("r")).where("r.decided is not null")
     best = scored.groupBy("probe").agg(F.max(F.struct("r.decided", "key", "message_id", "r.reported")).alias("b"))
     found = same.unionByName(best)
@@ -139,6 +182,10 @@ def summary(entries: DataFrame) -> DataFrame:
     return entries.agg(F.count(F.lit(1)).alias("listed"), F.count_if(F.col("status") == "have").alias("held"), F.count_if(F.col("status") == "discovered").alias("missing"))
 
 
-def display_order(entries: DataFrame) -> DataFrame:
+def display_keys() -> list[Column]:
     """Missing ones first, then by date with undated ones first, then as listed."""
-    return entries.orderBy(F.col("status") != "discovered", F.coalesce("published_at", F.lit("")), "ord")
+    return [F.col("status") != "discovered", F.coalesce(F.col("published_at").cast("string"), F.lit("")), F.col("ord")]
+
+
+def display_order(entries: DataFrame) -> DataFrame:
+    return entries.orderBy(*display_keys())

@@ -1,15 +1,20 @@
 """State of articles and runs: merges that keep what must be kept.
 
-Each operation is a function from tables to a table. :class:`StateStore` keeps
-them as immutable Parquet snapshots under a shared folder.
+Each operation is a function from tables to a table, and changes no rows but those
+of the ids it is given. So :class:`StateStore` keeps tables in buckets of their
+ids under a shared folder, and a merge rewrites those that it touches.
 """
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docweir.functions.text import ERROR_LENGTH
+from docweir.sources import files
 from docweir.sources.tables import SCHEMAS, empty
 
 STATUSES = ("discovered", "have", "done", "failed")
@@ -84,51 +89,106 @@ def articles_for_label(articles: DataFrame, label_name: str) -> DataFrame:
     return articles.where(F.col("label_name") == label_name).orderBy(F.col("published_at").desc(), "article_id")
 
 
-class StateStore:
-    """Snapshots ``name/v=N`` under a folder; the highest whole one counts. One writer at a time."""
+class Conflict(RuntimeError):
+    """Another writer was there first."""
+
 
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder.rstrip("/")
+class StateStore:
+    """Tables in buckets of their key's hash; a manifest names the version of each bucket that counts.
+
+    ``name/data/v=N/b=K`` holds the rows of bucket ``K`` as version ``N`` left
+    them, ``name/manifest/N`` which version each bucket has. A merge reads and
+    writes the buckets of its keys alone, whatever the table's size. A version
+    counts from when its manifest is there, so one that was cut off never does.
+    One writer at a time: of two that meet one fails. Rows are read lazily, so
+    what is read must be used before ``keep`` further versions are written.
+    """
 
-    def _fs(self, path: str):
-        where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return where, where.getFileSystem(self.spark._jsc.hadoopConfiguration())
+    def __init__(self, spark: SparkSession, folder: str, buckets: int = 64, keep: int = 3):
+        self.spark, self.folder, self.buckets, self.keep = spark, folder.rstrip("/"), buckets, keep
 
     def versions(self, name: str) -> list[int]:
-        where, fs = self._fs(f"{self.folder}/{name}")
-        if not fs.exists(where):
-            return []
-        found = [s.getPath() for s in fs.listStatus(where)]
-        whole = [p for p in found if p.getName().startswith("v=") and self._fs(f"{p}/_SUCCESS")[1].exists(self._fs(f"{p}/_SUCCESS")[0])]
-        return sorted(int(p.getName()[2:]) for p in whole)
+        return sorted(int(x) for x in files.names_in(self.spark, f"{self.folder}/{name}/manifest") if x.isdigit())
 
-    def read(self, name: str) -> DataFrame:
+    def manifest(self, name: str, version: int | None = None) -> dict:
+        """``{"buckets": number, "at": {bucket: version}}``; the number of a table that is there already stays."""
         v = self.versions(name)
-        return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.folder}/{name}/v={v[-1]}") if v else empty(self.spark, name)
+        if not v:
+            return {"buckets": self.buckets, "at": {}}
+        found = json.loads(files.read_text(self.spark, f"{self.folder}/{name}/manifest/{v[-1] if version is None else version}"))
+        return {"buckets": found["buckets"], "at": {int(k): x for k, x in found["at"].items()}}
 
-    def write(self, name: str, df: DataFrame, keep: int = 3) -> int:
-        """Writes the next snapshot whole, then deletes the oldest ones."""
+    @staticmethod
+    def key(name: str) -> str:
+        return SCHEMAS[name].split()[0]
+
+    def bucket(self, name: str, buckets: int) -> Column:
+        return F.pmod(F.xxhash64(self.key(name)), F.lit(buckets)).cast("int")
+
+    def _read(self, name: str, at: dict[int, int]) -> DataFrame:
+        paths = [f"{self.folder}/{name}/data/v={v}/b={k}" for k, v in sorted(at.items())]
+        return self.spark.read.schema(SCHEMAS[name]).parquet(*paths) if paths else empty(self.spark, name)
+
+    def read(self, name: str) -> DataFrame:
+        return self._read(name, self.manifest(name)["at"])
+
+    def merge(self, name: str, keys: DataFrame, change: Callable[[DataFrame], DataFrame]) -> list[int]:
+        """Replaces the buckets of ``keys`` by what ``change`` makes of their rows; the buckets that were written.
+
+        ``change`` gets the rows of these buckets and must give rows whose keys
+        are in them.
+        """
+        m = self.manifest(name)
+        touched = sorted(r.b for r in keys.select(self.bucket(name, m["buckets"]).alias("b")).distinct().collect())
+        if touched:
+            self._publish(name, m, change(self._read(name, {k: m["at"][k] for k in touched if k in m["at"]})), touched)
+        return touched
+
+    def write(self, name: str, df: DataFrame) -> None:
+        """Replaces all rows."""
+        m = self.manifest(name)
+        self._publish(name, m, df, list(range(m["buckets"])))
+
+    def _publish(self, name: str, m: dict, rows: DataFrame, touched: list[int]) -> None:
         v = self.versions(name)
-        new = v[-1] + 1 if v else 0
-        df.write.mode("overwrite").parquet(f"{self.folder}/{name}/v={new}")
-        for old in v[: max(0, len(v) + 1 - keep)]:
-            where, fs = self._fs(f"{self.folder}/{name}/v={old}")
-            fs.delete(where, True)
-        return new
+        new, base = (v[-1] + 1 if v else 0), f"{self.folder}/{name}"
+        b = F.col("_bucket")
+        dealt = rows.withColumn("_bucket", self.bucket(name, m["buckets"]))
+        dealt = dealt.withColumn("b", F.when(b.isin(touched), b).otherwise(F.raise_error(F.lit("a row outside the buckets of the keys")).cast("int"))).drop("_bucket")
+        dealt.repartition(min(len(touched), 200), "b").write.mode("overwrite").partitionBy("b").parquet(f"{base}/data/v={new}")
+        written = {int(x[2:]): new for x in files.names_in(self.spark, f"{base}/data/v={new}") if x.startswith("b=")}
+        at = {k: x for k, x in m["at"].items() if k not in touched} | written
+        if not files.write_text(self.spark, f"{base}/manifest/{new}", json.dumps({"buckets": m["buckets"], "at": at})):
+            raise Conflict(f"version {new} of {name} is there already")
+        self._clean(name, [*v, new])
+
+    def _clean(self, name: str, versions: list[int]) -> None:
+        """Lets go of manifests but the last ones, and of buckets that none of these names."""
+        base, kept = f"{self.folder}/{name}", versions[-self.keep :]
+        used = {(x, k) for n in kept for k, x in self.manifest(name, n)["at"].items()}
+        for n in versions[: -self.keep]:
+            files.delete(self.spark, f"{base}/manifest/{n}")
+        for v in files.names_in(self.spark, f"{base}/data"):
+            n = int(v[2:])
+            there = [x for x in files.names_in(self.spark, f"{base}/data/{v}") if x.startswith("b=")]
+            left = [x for x in there if (n, int(x[2:])) in used]
+            for x in [] if n in kept else set(there) - set(left):
+                files.delete(self.spark, f"{base}/data/{v}/{x}")
+            if not left and n < kept[0]:
+                files.delete(self.spark, f"{base}/data/{v}")
 
     def start_run(self, label_name: str, started_at: str, dry_run: bool = False) -> int:
         """Appends a run that is under way, with the next number."""
-        runs = self.read("runs")
-        run_id = (runs.agg(F.max("run_id").alias("m")).first().m or 0) + 1
+        run_id = (self.read("runs").agg(F.max("run_id").alias("m")).first().m or 0) + 1
         row = self.spark.createDataFrame([(run_id, label_name, started_at, None, 0, 0, 0, 0, dry_run)], SCHEMAS["runs"])
-        self.write("runs", runs.unionByName(row))
+        self.merge("runs", row, lambda runs: runs.unionByName(row))
         return run_id
 
     def complete_run(self, run_id: int, completed_at: str, listed: int, held: int, written: int, failed: int) -> None:
         hit = F.col("run_id") == run_id
         values = {"completed_at": F.lit(completed_at), "articles_listed": F.lit(listed), "articles_held": F.lit(held), "articles_written": F.lit(written), "articles_failed": F.lit(failed)}
-        runs = self.read("runs")
-        self.write("runs", runs.withColumns({c: F.when(hit, v).otherwise(F.col(c)).cast(dict(runs.dtypes)[c]) for c, v in values.items()}))
+        closed = lambda runs: runs.withColumns({c: F.when(hit, v).otherwise(F.col(c)).cast(dict(runs.dtypes)[c]) for c, v in values.items()})
+        self.merge("runs", self.spark.createDataFrame([(run_id,)], "run_id long"), closed)
 
     def last_run(self, label_name: str | None = None) -> DataFrame:
         runs = self.read("runs")

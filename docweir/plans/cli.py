@@ -8,13 +8,13 @@ import sys
 
 from pyspark.sql import functions as F
 
-from docweir.operators import probe, render, state, status
+from docweir.operators import linkage, probe, render, state, status
 from docweir.session import session
 from docweir.sources.config import ConfigError, Mappings
 from docweir.sources.tables import store_table
 
 from . import pipeline
-from .control import Control
+from .control import Control, Stopped
 
 #: Options by name, as ``add_argument`` takes them.
 OPTIONS: dict[str, dict] = {
@@ -83,7 +83,7 @@ def main(argv: list[str] | None = None) -> int:
     except pipeline.ListingError as e:
         print(e, file=sys.stderr)
         return 1
-    except KeyboardInterrupt:
+    except (KeyboardInterrupt, Stopped):
         return 130
 
 
@@ -118,7 +118,7 @@ def _run(args: argparse.Namespace) -> int:
     index = pipeline.corpus(pipeline.held_messages(messages, bridge, m.label_id), render.read_markdown(spark, folders.markdown), m.label_name)
     if args.command == "scan":
         entries = pipeline.scan(pipeline.read_listing(spark, m, pages, args.limit), index, store.read("articles"), m.label_name)
-        shown, more = status.preview(entries, [F.col("status") != "discovered", F.col("published_at").desc_nulls_last(), F.col("ord")])
+        shown, more = status.preview(entries, linkage.display_keys())
         shown.select("status", F.date_format("published_at", "yyyy-MM-dd").alias("date"), "title", "match_reason").show(40, 88)
         if more:
             print(f"... and {more} more")

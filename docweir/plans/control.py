@@ -16,6 +16,10 @@ class Busy(RuntimeError):
     """Another operation is under way."""
 
 
+class Stopped(RuntimeError):
+    """An operation was cancelled before it had anything to show."""
+
+
 @dataclass
 class Progress:
     """What an operation has done so far."""
@@ -37,7 +41,7 @@ class Control:
 
     @property
     def stopped(self) -> bool:
-        """Operations over many labels ask this between two of them."""
+        """Operations ask this between two labels, and between two batches of articles."""
         return self._stop.is_set()
 
     def run(self, name: str, operation: Callable[[Control], R]) -> R:
@@ -49,6 +53,10 @@ class Control:
             self.spark.sparkContext.setJobGroup(self._group, name, interruptOnCancel=True)
             self.report("started")
             return operation(self)
+        except Exception as e:
+            if self.stopped:
+                raise Stopped(name) from e
+            raise
         finally:
             self.spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
             self._lock.release()
@@ -64,6 +72,11 @@ class Control:
             self.report(label, done=k + 1, total=len(labels))
         return out
 
+    def stop(self) -> None:
+        """Ends the operation after what it has at hand."""
+        self._stop.set()
+
     def cancel(self) -> None:
+        """Ends the operation now: jobs that run are killed, and the operation drops what they have not ended."""
         self._stop.set()
         self.spark.sparkContext.cancelJobGroup(self._group)

@@ -9,16 +9,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docweir.functions.dates import parsed_date
-from docweir.functions.markdown import markdown
+from docweir.functions.markdown import converted
 from docweir.functions.text import canonical_url
 from docweir.operators import articles, linkage, listing, prune, render, state, status
-from docweir.sources import sinks
+from docweir.sources import files, sinks
 from docweir.sources.config import Mapping
-from docweir.sources.durable import durable
+from docweir.sources.durable import durable, scratch
 
 from .control import Control
 
 
+#: A task reads about so many articles.
+ARTICLES_A_TASK = 32
+
+
 class ListingError(RuntimeError):
     """No archive of a label could be listed."""
 
@@ -109,53 +113,95 @@ def scan(refs: DataFrame, index: DataFrame, articles_state: DataFrame, label: st
     return entries.join(refs.select("ord", "source_index", "published_at"), "ord")
 
 
-def run(spark: SparkSession, m: Mapping, pages: DataFrame, index: DataFrame, store: state.StateStore, folders: Folders, limit: int | None = None, dry_run: bool = False, control: Control | None = None) -> Result:
-    """Writes what is missing; ``limit`` takes the first ones as listed. A dry run only counts.
+def settle(spark: SparkSession, store: state.StateStore, folders: Folders) -> tuple[int, int]:
+    """Finishes the batches that are staged: files go to their places, rows to the state; how many were written and failed.
 
-    ``control`` hears of each step. When it is stopped, the articles of the
-    sources that are not done stay ``discovered`` and the run is closed with
-    what it has written.
+    After each batch, and before a run for what one that was killed has left.
+    What has no journal was cut off before its end and goes without a trace.
+    """
+    written = failed = 0
+    for folder in sinks.staged(spark, folders.markdown):
+        out = sinks.settle(spark, folder, folders.raw, folders.markdown)
+        if out:
+            rows = spark.createDataFrame(out, "article_id string, raw_html_path string, markdown_path string, error string")
+            good, bad = rows.where("error = ''"), rows.where("error <> ''").select("article_id", F.col("error").alias("error_message"))
+            stamp = F.lit(now())
+            store.merge("articles", rows, lambda old: state.marked_failed(state.marked_done(old, good, stamp), bad, stamp))  # noqa: B023
+        sinks.let_go(spark, folder)
+        bad_ones = sum(e != "" for *_, e in out)
+        written, failed = written + len(out) - bad_ones, failed + bad_ones
+    return written, failed
+
+
+def ready(part: DataFrame, m: Mapping, source) -> DataFrame:
+    """``part(article_id, url, title, published_at, html)`` as ``(article_id, file_name, html, markdown, error)``, each article by itself."""
+    got = articles.read(part, source.article).withColumn("_m", converted(F.col("content")))
+    html = articles.wrapped(F.col("content"), F.col("url"), F.col("title"), F.col("preview"))
+    head = render.front_matter(F.col("article_id"), F.col("title"), F.lit(source.sender), F.col("published_at"), F.lit(m.label_name), F.lit(m.label_id))
+    whole = render.with_keys(F.concat(head, F.lit("\n"), F.col("_m.body"), F.lit("\n")), {"source_url": F.col("url"), "origin": F.lit(render.ORIGIN)})
+    error = F.when(F.col("error") != "", F.col("error")).otherwise(F.col("_m.error"))
+    return got.select("article_id", render.file_name(F.col("title"), F.col("article_id")).alias("file_name"), html.alias("html"), F.when((error == "") & (F.col("_m.body") != ""), whole).alias("markdown"), error.alias("error"))
+
+
+def run(spark: SparkSession, m: Mapping, pages: DataFrame, index: DataFrame, store: state.StateStore, folders: Folders, limit: int | None = None, dry_run: bool = False, control: Control | None = None, batch: int = 1000) -> Result:
+    """Writes what is missing; ``limit`` takes the first ones as listed. A dry run only counts.
 
-    Held entries are recorded, then the selected ones, then each is fetched,
-    extracted and written by itself; one that fails is recorded as failed.
-    Running again writes nothing new.
+    Held entries are recorded, then the selected ones as ``discovered``; these
+    are read and written in batches of about ``batch`` articles, and the state
+    knows each batch's outcome before the next begins. An article that fails is
+    recorded as failed and stops no other. ``control`` hears of each batch. A
+    stop lets the batch at hand end; a cancellation, an interruption or a fault
+    drops it whole, so that files, state and audit agree whenever the run ends:
+    it is closed with what it has written, and the others stay ``discovered``. A
+    run whose driver was killed is finished by the next one. Running again
+    writes nothing new.
     """
-    old = store.read("articles")
+    if not dry_run:
+        settle(spark, store, folders)
     refs = read_listing(spark, m, pages)
-    entries = durable(scan(refs, index, old, m.label_name))
+    entries = durable(scan(refs, index, store.read("articles"), m.label_name))
     total = linkage.summary(entries).first()
     missing = entries.where("status = 'discovered'").orderBy("ord")
     chosen = durable(missing.limit(limit) if limit is not None else missing)
-    n = chosen.count()
+    n = {r.source_index: r.n for r in chosen.groupBy("source_index").agg(F.count(F.lit(1)).alias("n")).collect()}
+    selected = sum(n.values())
     if dry_run:
-        return Result(m.label_name, total.listed, total.held, total.missing, selected=n, dry_run=True)
-    started = store.start_run(m.label_name, now())
-    stamp = F.lit(now())
-    row = lambda df: df.select("article_id", F.lit(m.label_name).alias("label_name"), F.lit(m.label_id).alias("label_id"), "url", "title", F.coalesce(F.date_format("published_at", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("")).alias("published_at"), "status", "match_reason")
-    store.write("articles", state.upserted(old, row(entries.where("status = 'have'").unionByName(chosen)), stamp))
-    done = spark.createDataFrame([], "article_id string, raw_html_path string, markdown_path string, error string")
+        return Result(m.label_name, total.listed, total.held, total.missing, selected=selected, dry_run=True)
     report = control.report if control else lambda stage, **counts: None
-    report("listed", listed=total.listed, held=total.held, selected=n)
-    for i, source in enumerate(m.sources):
-        if control and control.stopped:
-            break
-        part = chosen.where(F.col("source_index") == i).select("article_id", "url", "title", "published_at")
-        got = articles.articles(part, pages, source.article)
-        html = articles.wrapped(F.col("content"), F.col("url"), F.col("title"), F.col("preview"))
-        head = render.front_matter(F.col("article_id"), F.col("title"), F.lit(source.sender), F.col("published_at"), F.lit(m.label_name), F.lit(m.label_id))
-        body = markdown(F.col("content"))
-        whole = render.with_keys(F.concat(head, F.lit("\n"), F.col("body"), F.lit("\n")), {"source_url": F.col("url"), "origin": F.lit(render.ORIGIN)})
-        ready = durable(got.withColumn("body", body).select("article_id", render.file_name(F.col("title"), F.col("article_id")).alias("file_name"), html.alias("html"), F.when((F.col("error") == "") & (F.col("body") != ""), whole).alias("markdown"), "error"))
-        wrote = sinks.write_pairs(ready.where("error = ''"), folders.raw, folders.markdown)
-        bad = ready.where("error <> ''").select("article_id", F.lit("").alias("raw_html_path"), F.lit("").alias("markdown_path"), "error")
-        done = durable(done.unionByName(wrote).unionByName(bad))
-        report("written", sources=i + 1, written=done.where("error = ''").count(), failed=done.where("error <> ''").count())
-    merged = state.marked_done(store.read("articles"), done.where("error = ''"), stamp)
-    merged = state.marked_failed(merged, done.where("error <> ''").select("article_id", F.col("error").alias("error_message")), stamp)
-    store.write("articles", merged)
-    written, failed = done.where("error = ''").count(), done.where("error <> ''").count()
-    store.complete_run(started, now(), total.listed, total.held, written, failed)
-    return Result(m.label_name, total.listed, total.held, total.missing, n, written, failed)
+    run_id = store.start_run(m.label_name, now())
+    work, written, failed = scratch(spark, "run"), 0, 0
+    try:
+        stamp = F.lit(now())
+        row = lambda df: df.select("article_id", F.lit(m.label_name).alias("label_name"), F.lit(m.label_id).alias("label_id"), "url", "title", F.coalesce(F.date_format("published_at", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("")).alias("published_at"), "status", "match_reason")
+        fresh = row(entries.where("status = 'have'").unionByName(chosen))
+        store.merge("articles", fresh, lambda old: state.upserted(old, fresh, stamp))
+        report("listed", listed=total.listed, held=total.held, selected=selected)
+        # the pages are looked up once for all batches, each of which reads its own folder
+        batches = {i: -(-k // batch) for i, k in n.items()}
+        of = F.create_map(*[F.lit(x) for kv in batches.items() for x in kv]) if batches else F.create_map().cast("map<int,int>")
+        number = F.pmod(F.xxhash64("article_id"), F.try_element_at(of, F.col("source_index"))).alias("batch")
+        found = articles.with_pages(chosen.select("article_id", "url", "title", "published_at", "source_index", number), pages)
+        if batches and not (control and control.stopped):
+            found.write.partitionBy("source_index", "batch").parquet(work)
+        for i, k in [(i, k) for i, source in enumerate(m.sources) for k in range(batches.get(i, 0))]:
+            if control and control.stopped:
+                break
+            where = f"{work}/source_index={i}/batch={k}"
+            if files.names_in(spark, where):
+                part = spark.read.parquet(where).repartition(-(-n[i] // (batches[i] * ARTICLES_A_TASK)))
+                sinks.stage(ready(part, m, m.sources[i]), folders.markdown)
+            w, f = settle(spark, store, folders)
+            written, failed = written + w, failed + f
+            report("written", sources=i + 1, written=written, failed=failed)
+    except Exception:
+        if not (control and control.stopped):
+            raise
+    finally:
+        w, f = settle(spark, store, folders)  # a batch that was cut off: whole, or not at all
+        written, failed = written + w, failed + f
+        store.complete_run(run_id, now(), total.listed, total.held, written, failed)
+        files.delete(spark, work)
+    return Result(m.label_name, total.listed, total.held, total.missing, selected, written, failed)
 
 
 def prune_label(spark: SparkSession, label: str, store: state.StateStore, folders: Folders, dry_run: bool = True) -> dict:
@@ -170,7 +216,7 @@ def prune_label(spark: SparkSession, label: str, store: state.StateStore, folder
     folders_gone, e2 = sinks.delete_paths(spark, [p for r in found for p in r.directories])
     ids = spark.createDataFrame([(r.article_id,) for r in found], "article_id string")
     gone = state.number_of_ids(rows, ids)
-    store.write("articles", state.without_ids(rows, ids))
+    store.merge("articles", ids, lambda old: state.without_ids(old, ids))
     return {"files_removed": files, "directories_removed": folders_gone, "rows_removed": gone, "dry_run": False, "errors": e1 + e2}
 
 

@@ -1,45 +1,128 @@
-"""Files out of rows: raw pages first, then Markdown, each whole or not there."""
+"""Files out of rows: pairs of a raw page and its Markdown, put in place together, batch by batch.
+
+Tasks write pairs into a folder of their batch, and a journal names those of the
+tasks that were committed. Only then are files moved to their places and the
+state told. Whatever a job or a driver left at any point is either without a
+journal, and goes, or with one, and is finished.
+"""
 
 from __future__ import annotations
 
-import os
-from pathlib import Path
+import json
+import uuid
+from collections.abc import Iterator
+from dataclasses import dataclass
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyarrow import fs as arrow_fs
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
+
+from . import files
+
+#: Folders of batches begin so; the journal's name.
+STAGING, JOURNAL = ".batch-", "journal.json"
+PAIRS = "article_id string, file_name string, html string, markdown string, error string"
+
+
+@dataclass
+class Written(WriterCommitMessage):
+    """What one task has written: ``(article_id, staged raw, staged Markdown, file name)``, and ``(article_id, error)`` of the others."""
+
+    pairs: list[tuple[str, str, str, str]]
+    errors: list[tuple[str, str]]
+
+
+class PairWriter(DataSourceWriter):
+    """Writes rows of ``PAIRS`` below a batch's folder; the journal is all that the commit adds."""
+
+    def __init__(self, folder: str):
+        self.folder = folder
+
+    def _put(self, system: arrow_fs.FileSystem, path: str, text: str) -> None:
+        with system.open_output_stream(path) as out:
+            out.write(text.encode())
+
+    def write(self, iterator: Iterator[Row]) -> Written:
+        system, root = arrow_fs.FileSystem.from_uri(self.folder)
+        own = f"{root}/{uuid.uuid4().hex}"  # a task that runs twice writes twice, and one of the two is committed
+        system.create_dir(own, recursive=True)
+        done = Written([], [])
+        for k, r in enumerate(iterator):
+            if r.error or not (r.markdown or "").strip():
+                done.errors.append((r.article_id, r.error or "no text in the article"))
+                continue
+            raw, md = f"{own}/{k}.html", f"{own}/{k}.md"
+            self._put(system, raw, r.html or "")
+            self._put(system, md, r.markdown)
+            done.pairs.append((r.article_id, raw, md, r.file_name))
+        return done
+
+    def commit(self, messages: list[Written | None]) -> None:
+        system, root = arrow_fs.FileSystem.from_uri(self.folder)
+        said = [m for m in messages if m is not None]
+        self._put(system, f"{root}/.new", json.dumps({"pairs": [p for m in said for p in m.pairs], "errors": [e for m in said for e in m.errors]}))
+        system.move(f"{root}/.new", f"{root}/{JOURNAL}")
+
+    def abort(self, messages: list[Written | None]) -> None:
+        system, root = arrow_fs.FileSystem.from_uri(self.folder)
+        if system.get_file_info(root).type != arrow_fs.FileType.NotFound:
+            system.delete_dir(root)
 
 
-def write_pairs(rows: DataFrame, raw_dir: str, markdown_dir: str) -> DataFrame:
-    """``rows(article_id, file_name, html, markdown)`` as ``{id}.html`` and a Markdown file; ``(article_id, raw_html_path, markdown_path, error)``.
+class PairSink(DataSource):
+    """``df.write.format("article_pairs").option("folder", ...)``."""
 
-    The folders must be shared by all executors. A row without Markdown writes
-    nothing. A file is written under another name and moved, so that a task that
-    runs again writes the same files again.
+    @classmethod
+    def name(cls) -> str:
+        return "article_pairs"
+
+    def writer(self, schema: T.StructType, overwrite: bool) -> PairWriter:
+        return PairWriter(self.options["folder"])
+
+
+def stage(rows: DataFrame, markdown_dir: str) -> None:
+    """Writes a batch of ``rows(article_id, file_name, html, markdown, error)`` beside the Markdown files, ready to be settled; nothing is left of a batch that fails.
+
+    The folders must be shared by all executors and lie on one file system, any
+    that Arrow knows.
     """
+    rows.sparkSession.dataSource.register(PairSink)
+    kinds = [x.split() for x in PAIRS.split(", ")]
+    rows.select(*[F.col(n).cast(kind) for n, kind in kinds]).write.format("article_pairs").mode("append").option("folder", f"{files.arrow_path(rows.sparkSession, markdown_dir)}/{STAGING}{uuid.uuid4().hex}").save()
 
-    def put(path: Path, text: str) -> None:
-        path.parent.mkdir(parents=True, exist_ok=True)
-        new = path.with_name(f".{path.name}.{os.getpid()}")
-        new.write_text(text, encoding="utf-8")
-        new.replace(path)
-
-    def run(batches):
-        for b in batches:
-            out = []
-            for i, name, html, md in zip(b.article_id, b.file_name, b.html, b.markdown):
-                raw, text = Path(raw_dir) / f"{i}.html", Path(markdown_dir) / name
-                try:
-                    if not (md or "").strip():
-                        raise ValueError("no text in the article")
-                    put(raw, html)
-                    put(text, md)
-                    out.append((i, str(raw), str(text), ""))
-                except (OSError, ValueError) as e:
-                    out.append((i, "", "", f"{type(e).__name__}: {e}"))
-            yield pd.DataFrame(out, columns=["article_id", "raw_html_path", "markdown_path", "error"])
-
-    return rows.select("article_id", "file_name", "html", "markdown").mapInPandas(run, "article_id string, raw_html_path string, markdown_path string, error string")
+
+def staged(spark: SparkSession, markdown_dir: str) -> list[str]:
+    """The batches' folders that are there."""
+    return [f"{markdown_dir}/{n}" for n in files.names_in(spark, markdown_dir) if n.startswith(STAGING)]
+
+
+def settle(spark: SparkSession, folder: str, raw_dir: str, markdown_dir: str) -> list[tuple[str, str, str, str]]:
+    """Puts the files of a staged batch in their places: ``(article_id, raw_html_path, markdown_path, error)`` of each, as many as the batch has.
+
+    The raw page goes first, so where there is Markdown its page is there too. A
+    batch that was cut off half-way is finished: what has been moved stays.
+    """
+    if JOURNAL not in files.names_in(spark, folder):
+        return []
+    said = json.loads(files.read_text(spark, f"{folder}/{JOURNAL}"))
+    system, root = arrow_fs.FileSystem.from_uri(files.arrow_path(spark, folder))
+    out = [(i, "", "", e) for i, e in said["errors"]]
+    raw_root, markdown_root = (arrow_fs.FileSystem.from_uri(files.arrow_path(spark, d))[1] for d in (raw_dir, markdown_dir))
+    system.create_dir(raw_root, recursive=True)
+    there = {x.path for x in system.get_file_info(arrow_fs.FileSelector(root, recursive=True))}
+    for i, raw, md, name in said["pairs"]:
+        for source, target in ((raw, f"{raw_root}/{i}.html"), (md, f"{markdown_root}/{name}")):
+            if source in there:
+                system.move(source, target)
+        out.append((i, f"{raw_dir}/{i}.html", f"{markdown_dir}/{name}", ""))
+    return out
+
+
+def let_go(spark: SparkSession, folder: str) -> None:
+    """A batch's folder goes once the state knows its outcome."""
+    files.delete(spark, folder)
 
 
 def files_in(spark, folders: list[str]) -> DataFrame:
@@ -65,8 +148,3 @@ def delete_paths(spark, paths: list[str]) -> tuple[int, list[str]]:
             else:
                 left.append(p)
     return gone, left
-
-
-def report_json(report: DataFrame) -> DataFrame:
-    """Each row as JSON text."""
-    return report.select(F.to_json(F.struct(*report.columns)).alias("json"))

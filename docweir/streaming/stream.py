@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from docweir.functions.text import canonical_url
+from docweir.functions.text import article_id, canonical_url
 from docweir.operators import linkage, listing, state
+from docweir.sources.durable import durable
 
 
 def page_stream(spark: SparkSession, path: str, schema: str, files_per_batch: int = 100) -> DataFrame:
@@ -19,7 +20,9 @@ def page_stream(spark: SparkSession, path: str, schema: str, files_per_batch: in
 def merged(old: DataFrame, refs: DataFrame, index: DataFrame, label: str, now: str) -> DataFrame:
     """The state after a batch of refs: what the label has already is not looked at again unless it failed, the rest is classified and merged.
 
-    A batch that is merged twice leaves what it left the first time.
+    An article's id is its address's, so ``old`` need hold no more than the
+    buckets of the refs' ids. A batch that is merged twice leaves what it left
+    the first time.
     """
     known = old.where((F.col("label_name") == label) & (F.col("status") != "failed")).select(canonical_url("url").alias("canonical"))
     fresh = listing.deduplicated(listing.with_keys(refs).join(known, F.col("url_key") == F.col("canonical"), "left_anti")).drop("url_key", "title_key")
@@ -30,10 +33,11 @@ def merged(old: DataFrame, refs: DataFrame, index: DataFrame, label: str, now: s
 
 
 def run(pages: DataFrame, to_refs: Callable[[DataFrame], DataFrame], index: DataFrame, store: state.StateStore, checkpoint: str, label: str, clock: Callable[[], str], available_now: bool = True) -> StreamingQuery:
-    """Starts the stream. The corpus is the snapshot that ``index`` reads; a later scan corrects what it did not hold yet."""
+    """Starts the stream; a batch reads and writes the buckets of its own articles. The corpus is the snapshot that ``index`` reads; a later scan corrects what it did not hold yet."""
 
     def each(batch: DataFrame, number: int) -> None:
-        store.write("articles", merged(store.read("articles"), to_refs(batch), index, label, clock()))
+        refs = durable(to_refs(batch))
+        store.merge("articles", refs.select(article_id("url").alias("article_id")), lambda old: merged(old, refs, index, label, clock()))
 
     writer = pages.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="5 seconds")).start()

@@ -82,3 +82,35 @@ def test_known_urls_go_first_and_ids_are_stable(spark):
     assert linkage.summary(linkage.classify(refs, idx, known)).first().asDict() == {"listed": 4, "held": 3, "missing": 1}
     assert linkage.classify(refs.limit(0), idx, known).count() == 0
     assert linkage.summary(linkage.classify(refs, idx.limit(0), known.limit(0))).first().missing == 4
+
+
+def edits(rng, key, n):
+    """A key with so many characters changed, left out or put in, wherever they fall."""
+    out = list(key)
+    for _ in range(n):
+        k, how = rng.randrange(len(out) + 1), rng.randint(0, 2)
+        out[k : k + (how != 2)] = [] if how == 0 else [rng.choice("abcdefghij-")]
+    return "".join(out).strip("-")
+
+
+def test_no_similar_pair_is_lost(spark):
+    """All pairs that reach the cutoff are among those that share a piece, for cutoffs of any kind; most others are not."""
+    rng = random.Random(21)
+    keys = sorted({edits(rng, words(rng, rng.randint(1, 8)), 2) for _ in range(60)} | {"".join(rng.choice("abcdefghij-") for _ in range(rng.randint(1, 70))).strip("-") or "a" for _ in range(60)})
+    probes = sorted({edits(rng, rng.choice(keys), rng.randint(0, 8)) for _ in range(200)} - {""})
+    k = spark.createDataFrame([(x, "m") for x in keys], "key string, message_id string")
+    p = spark.createDataFrame([(x,) for x in probes], "probe string")
+    for cutoff in (0.9, 0.8, 0.97):
+        got = {(r.probe, r.key) for r in linkage.similar_pairs(p, k, cutoff).collect()}
+        want = {(a, b) for a in probes for b in keys if difflib.SequenceMatcher(None, b, a).ratio() >= cutoff}
+        assert want <= got and len(want) > 20
+        assert len(got) < 0.1 * len(probes) * len(keys)
+
+
+def test_pieces_are_few_and_cover_the_key(spark):
+    keys = [("x" * n,) for n in range(1, 201)] + [("".join(chr(97 + i % 26) for i in range(60)),)]
+    got = linkage.key_pieces(spark.createDataFrame(keys, "key string"), 0.9).collect()
+    for (key,) in keys:
+        own = sorted((r.start, r.piece) for r in got if r.key == key)
+        assert "".join(piece for _, piece in own) == key and all(key[s : s + len(piece)] == piece and piece for s, piece in own)
+        assert len(own) > 0.1 * (len(key) + len(key) * 1.1 / 0.9) - 1e-6

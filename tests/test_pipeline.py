@@ -1,5 +1,9 @@
 import json
+import re
 import sqlite3
+import threading
+import time
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -169,22 +173,94 @@ def test_held_messages_in_the_command_line(spark, world, tmp_path, capsys):
     assert selected("STALE") == (1, {"Three letters"}) == selected("")
 
 
-def test_stop_leaves_the_other_sources(spark, world, tmp_path):
+def agree(store, folders, label="News"):
+    """Files, rows and the audit say the same; how many were written."""
+    rows = {r.article_id: r for r in store.read("articles").collect()}
+    raw, md = ({p.name for p in Path(d).iterdir()} if Path(d).exists() else set() for d in (folders.raw, folders.markdown))
+    done = [r for r in rows.values() if r.status == "done"]
+    assert raw == {f"{r.article_id}.html" for r in done} and md == {Path(r.markdown_path).name for r in done}
+    return len(done)
+
+
+def test_stop_leaves_the_other_batches(spark, world, tmp_path):
     store, folders = state.StateStore(spark, f"file://{tmp_path}/state"), pipeline.Folders(f"{tmp_path}/raw", f"{tmp_path}/md")
     index, heard = pipeline.corpus(held(spark), None, "News"), []
 
     def listen(p):
         heard.append(p.stage)
         if p.stage == "written":
-            control._stop.set()
+            control.stop()
 
     control = Control(spark, listen)
     got = control.run("run", lambda c: pipeline.run(spark, MAPPING, world, index, store, folders, control=c))
     rows = {r.url: r.status for r in store.read("articles").collect()}
     assert heard == ["started", "listed", "written", "stopped"] and got.written == 2
     assert {s for u, s in rows.items() if "y.test" in u} == {"discovered"} and "done" in rows.values()
-    again = pipeline.run(spark, MAPPING, world, index, store, folders)
+    assert agree(store, folders) == 2 == store.last_run("News").first().articles_written
+    again = pipeline.run(spark, MAPPING, world, index, store, folders, batch=1)
     assert again.written == 1 and {r.status for r in store.read("articles").collect()} == {"have", "done", "failed"}
+    assert agree(store, folders) == 3
+
+
+def many(spark, n=60):
+    """A listing of so many articles on one page."""
+    posts = [{"u": f"https://x.test/p/{k}", "t": f"Article {k}", "d": "2026-05-01T00:00:00Z"} for k in range(n)]
+    pages = [("https://x.test/api?o=0&n=3", json.dumps({"posts": posts}))] + [(p["u"], "<div class='content'><p>Body</p></div>") for p in posts]
+    return config.mapping("News", JSON), spark.createDataFrame(pages, "url string, html string")
+
+
+def test_cancel_inside_a_job_loses_nothing(spark, tmp_path):
+    """Cancelled when the first file is in its place, while a later batch is under way."""
+    m, pages = many(spark)
+    store, folders = state.StateStore(spark, f"{tmp_path}/state", buckets=4), pipeline.Folders(f"{tmp_path}/raw", f"{tmp_path}/md")
+    control, over = Control(spark), threading.Event()
+
+    def watch():
+        while not over.wait(0.01):
+            if Path(folders.raw).exists() and any(Path(folders.raw).iterdir()):
+                time.sleep(0.3)
+                return control.cancel()
+
+    t = threading.Thread(target=watch)
+    t.start()
+    got = control.run("run", lambda c: pipeline.run(spark, m, pages, pipeline.corpus(held(spark), None, "News"), store, folders, control=c, batch=8))
+    over.set()
+    t.join()
+    last = store.last_run("News").first()
+    assert control.stopped and 0 < got.written < 60 and agree(store, folders) == got.written == last.articles_written and last.completed_at
+    assert {r.status: r.n for r in state.counts(store.read("articles"), "News").collect()} == {"done": got.written, "discovered": 60 - got.written}
+    rest = pipeline.run(spark, m, pages, pipeline.corpus(held(spark), None, "News"), store, folders)
+    assert rest.written == 60 - got.written and agree(store, folders) == 60 and sinks.staged(spark, folders.markdown) == []
+
+
+def test_what_a_killed_driver_left_is_finished(spark, tmp_path, monkeypatch):
+    m, pages = many(spark, 6)
+    store, folders = state.StateStore(spark, f"{tmp_path}/state", buckets=4), pipeline.Folders(f"{tmp_path}/raw", f"{tmp_path}/md")
+    index = pipeline.corpus(held(spark), None, "News")
+
+    class Killed(BaseException):
+        pass
+
+    def killed(*a):
+        raise Killed
+
+    for at in ("settle", "let_go"):  # once with the files staged, once with them moved and the state told
+        with monkeypatch.context() as p:
+            p.setattr(sinks, at, killed)
+            with pytest.raises(Killed):
+                pipeline.run(spark, m, pages, index, store, folders, limit=3)
+        assert len(sinks.staged(spark, folders.markdown)) == 1
+    (tmp_path / "md" / ".batch-cut-off" / "x").mkdir(parents=True)  # tasks wrote, and nothing was committed
+    got = pipeline.run(spark, m, pages, index, store, folders)
+    assert got.written == 3 and agree(store, folders) == 6 and sinks.staged(spark, folders.markdown) == []
+
+
+def test_scan_shows_undated_first_and_then_the_oldest(spark, tmp_path, capsys):
+    posts = [{"u": f"https://x.test/p/{k}", "t": f"Title {k}", **({"d": d} if d else {})} for k, d in enumerate(["2026-05-03T00:00:00Z", None, "2026-05-01T00:00:00Z", "2026-05-02T00:00:00Z"])]
+    spark.createDataFrame([("https://x.test/api?o=0&n=3", json.dumps({"posts": posts}))], "url string, html string").write.parquet(f"{tmp_path}/pages")
+    config.Mappings(tmp_path / "m.json").save("News", JSON)
+    assert cli.main(["--mappings", f"{tmp_path}/m.json", "--state", f"{tmp_path}/s", "--messages", f"{tmp_path}/none", "--pages", f"{tmp_path}/pages", "--raw", f"{tmp_path}/raw", "--markdown", f"{tmp_path}/md", "scan", "--label", "News"]) == 0
+    assert re.findall(r"Title \d", capsys.readouterr().out) == ["Title 1", "Title 2", "Title 3", "Title 0"]
 
 
 def test_sqlite(spark, tmp_path):
@@ -216,14 +292,40 @@ def test_fetch(spark):
     assert {r.url: r.error_class for r in fetch.from_store(urls, store).collect()}["https://x.test/gone"] == "FetchError"
 
 
+def pairs(spark, *rows):
+    return spark.createDataFrame(list(rows), sinks.PAIRS)
+
+
 def test_sinks_are_whole_or_absent(spark, tmp_path):
-    rows = spark.createDataFrame([("i1", "a_i1.md", "<p>", "text"), ("i2", "b_i2.md", "<p>", None), ("i3", "c_i3.md", "<p>", " ")], "article_id string, file_name string, html string, markdown string")
-    got = {r.article_id: r.error for r in sinks.write_pairs(rows, f"{tmp_path}/r", f"{tmp_path}/m").collect()}
-    assert got["i1"] == "" and got["i2"] and got["i3"] and [p.name for p in (tmp_path / "r").iterdir()] == ["i1.html"]
+    raw, md = f"{tmp_path}/r", f"{tmp_path}/m"
+    sinks.stage(pairs(spark, ("i1", "a_i1.md", "<p>", "text", ""), ("i2", "b_i2.md", "<p>", None, ""), ("i3", "c_i3.md", "<p>", " ", ""), ("i4", "d_i4.md", None, None, "no page")), md)
+    (folder,) = sinks.staged(spark, md)
+    assert [p.name for p in (tmp_path / "m").iterdir() if not p.name.startswith(".")] == [] and not (tmp_path / "r").exists()
+    got = {i: (a, b, e) for i, a, b, e in sinks.settle(spark, folder, raw, md)}
+    assert got["i1"] == (f"{raw}/i1.html", f"{md}/a_i1.md", "") and got["i2"][2] and got["i3"][2] == "no text in the article" and got["i4"][2] == "no page"
+    assert [p.name for p in (tmp_path / "r").iterdir()] == ["i1.html"] and (tmp_path / "m" / "a_i1.md").read_text() == "text"
+    assert {i: (a, b, e) for i, a, b, e in sinks.settle(spark, folder, raw, md)} == got  # finished already
+    sinks.let_go(spark, folder)
+    assert sinks.staged(spark, md) == [] and sinks.staged(spark, f"{tmp_path}/none") == []
     assert sinks.files_in(spark, [f"{tmp_path}/r", f"{tmp_path}/none"]).count() == 1
     assert sinks.delete_paths(spark, [f"{tmp_path}/r/i1.html", f"{tmp_path}/r/i1.html"]) == (1, [])
 
 
+def test_a_failed_job_leaves_no_file_and_a_task_that_runs_twice_one(spark, tmp_path):
+    md = f"{tmp_path}/m"
+    rows = pairs(spark, *[(f"i{k}", f"f_i{k}.md", "<p>", f"text {k}", "") for k in range(40)]).repartition(4)
+    bad = rows.withColumn("markdown", F.when(F.col("article_id") == "i33", F.raise_error(F.lit("boom"))).otherwise(F.col("markdown")))
+    with pytest.raises(Exception, match="boom"):
+        sinks.stage(bad, md)
+    assert sinks.staged(spark, md) == []
+    writer = sinks.PairWriter(f"{md}/{sinks.STAGING}x")
+    first, again = ([writer.write(iter(rows.collect())) for _ in range(2)])
+    writer.commit([again, None])
+    got = sinks.settle(spark, f"{md}/{sinks.STAGING}x", f"{tmp_path}/r", md)
+    assert len(got) == 40 == len(list((tmp_path / "r").iterdir())) and first.pairs[0][1] != again.pairs[0][1]
+    assert (tmp_path / "m" / "f_i7.md").read_text() == "text 7"
+
+
 def test_stream_batches_are_idempotent(spark):
     from docweir.operators import linkage
 

@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from docweir.operators import prune, state, status
@@ -93,3 +94,47 @@ def test_missing_tables_are_empty(spark, tmp_path):
     assert tables.store_table(spark, f"{tmp_path}/none", "messages").count() == 0
     odd = spark.createDataFrame([("m", 3)], "message_id string, extra int")
     assert tables.conformed(odd, "messages").first().message_id == "m"
+
+
+def test_a_merge_rewrites_the_buckets_that_it_touches(spark, tmp_path):
+    store, ids = state.StateStore(spark, f"{tmp_path}/state", buckets=32), [f"a{k}" for k in range(500)]
+    store.write("articles", df(spark, [article(i, "done" if k % 2 else "failed") for k, i in enumerate(ids)]))
+    before = store.manifest("articles")["at"]
+    assert len(before) == 32
+    new = df(spark, [article(i, "have", title="n", url="https://other") for i in [*ids[:5], "b0", "b1", "b2", "b3", "b4"]]).drop("raw_html_path", "markdown_path", "error_message", "created_at", "updated_at")
+    whole = state.upserted(store.read("articles"), new, now()).collect()
+    touched = store.merge("articles", new, lambda old: state.upserted(old, new, now()))
+    after = store.manifest("articles")["at"]
+    assert 0 < len(touched) <= 10 and {k for k in after if after[k] != before.get(k)} == set(touched)
+    assert sorted(store.read("articles").collect()) == sorted(whole) and len(whole) == 505
+    assert len([p for p in (tmp_path / "state/articles/data/v=1").iterdir() if p.name.startswith("b=")]) == len(touched)
+    # a bucket that is left empty is named no more; one that is never there costs nothing
+    gone = spark.createDataFrame([(i,) for i in ids], "article_id string")
+    store.merge("articles", gone, lambda old: state.without_ids(old, gone))
+    assert {r.article_id for r in store.read("articles").collect()} == {"b0", "b1", "b2", "b3", "b4"}
+    assert store.merge("articles", gone.limit(0), lambda old: old) == [] and len(store.manifest("articles")["at"]) <= 5
+    # the number of buckets is the table's own
+    assert state.StateStore(spark, f"{tmp_path}/state", buckets=7).manifest("articles")["buckets"] == 32
+
+
+def test_old_versions_go_and_unfinished_ones_do_not_count(spark, tmp_path):
+    store = state.StateStore(spark, f"{tmp_path}/state", buckets=8)
+    for k in range(9):
+        row = df(spark, [article(f"x{k}")])
+        store.merge("articles", row, lambda old: old.unionByName(row))  # noqa: B023
+    assert store.read("articles").count() == 9 and len(store.versions("articles")) == 3
+    kept = {v for n in store.versions("articles") for v in store.manifest("articles", n)["at"].items()}
+    there = {(int(b.name[2:]), int(v.name[2:])) for v in (tmp_path / "state/articles/data").iterdir() for b in v.iterdir() if b.name.startswith("b=")}
+    assert kept <= there and len(there) <= len(kept) + 3
+    (tmp_path / "state/articles/data/v=9/b=0").mkdir(parents=True)  # a version that was cut off before its manifest
+    assert store.read("articles").count() == 9
+    row = df(spark, [article("y")])
+    store.merge("articles", row, lambda old: old.unionByName(row))
+    assert store.read("articles").count() == 10
+    with pytest.raises(Exception, match="outside the buckets"):
+        store.merge("articles", row, lambda old: old.unionByName(df(spark, [article(str(k)) for k in range(50)])))
+    assert store.read("articles").count() == 10
+    (tmp_path / f"state/articles/manifest/{store.versions('articles')[-1] + 1}").write_text("{")
+    store.versions = lambda name: [v for v in state.StateStore.versions(store, name)][:-1]  # another writer came between
+    with pytest.raises(state.Conflict):
+        store.merge("articles", row, lambda old: old)
