@@ -7,12 +7,11 @@ a shuffle, so that a title that a third of all items share costs one row a task.
 
 from __future__ import annotations
 
-from functools import reduce
+import re
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docweir.functions.dates import parsed_date
 from docweir.functions.jsonpath import dotted_items, dotted_value, json_path
 from docweir.functions.text import canonical_url, stripped, template_filled, title_key
 from docweir.sources.durable import durable
@@ -112,28 +111,71 @@ def read_listing(sources: list[tuple[DataFrame, DataFrame]], limit: int | None =
     return kept if limit is None else kept.orderBy("ord").limit(limit)
 
 
+def with_source(rows: DataFrame, sources: DataFrame) -> DataFrame:
+    """``rows(source_index, ...)`` with the columns of ``sources(source_index, ...)``; a number that no source has means the first one.
+
+    Sources are those of a label, few enough to be read as one row.
+    """
+    others = [c for c in sources.columns if c != "source_index"]
+    by_number = sources.agg(F.map_from_entries(F.collect_list(F.struct("source_index", F.struct(*others).alias("s")))).alias("_by"))
+    got = rows.join(F.broadcast(by_number)).withColumn("_s", F.coalesce(F.try_element_at("_by", F.col("source_index")), F.try_element_at("_by", F.lit(0))))
+    return got.select(*rows.columns, "_s.*")
+
+
 def contributions(listing: DataFrame) -> DataFrame:
     """Items that each source added."""
     return listing.groupBy("source_index").agg(F.count(F.lit(1)).alias("n"))
 
 
-def dated(items: DataFrame) -> DataFrame:
-    return items.withColumn("published_at", parsed_date("date_raw"))
+def walked(edges: DataFrame, starts: DataFrame, most: int) -> DataFrame:
+    """``(source_index, step, url)``: the first ``most`` pages of each walk from ``starts(source_index, url)`` along ``edges(source_index, url, next_url)``.
+
+    All walks at once, by list ranking: each round doubles how far a jump leads
+    and how many pages are known, so there are no more rounds than ``most`` has
+    binary digits, whatever the pages. A page seen before ends a walk. Of edges
+    from one page the smallest counts. The pages found, ``most`` for each start
+    and no more, pass through the driver; the edges never do.
+    """
+    spark, found = edges.sparkSession, "source_index int, url string, step int"
+    jumps = durable(edges.where("next_url is not null").groupBy("source_index", "url").agg(F.min("next_url").alias("next_url")))
+    known = {(r.source_index, r.url): 0 for r in starts.collect()}
+    for k in range(max(0, most - 1).bit_length()):
+        before = spark.createDataFrame([(*page, step) for page, step in known.items()], found)
+        further = before.join(jumps, ["source_index", "url"]).where(F.col("step") + (1 << k) < most).select("source_index", F.col("next_url").alias("url"), (F.col("step") + (1 << k)).alias("step")).collect()
+        new = {(r.source_index, r.url): r.step for r in sorted(further, key=lambda r: -r.step) if known.get((r.source_index, r.url), most) > r.step}
+        if not new:
+            break
+        known |= new
+        if most > 2 << k:
+            then = jumps.select("source_index", F.col("url").alias("next_url"), F.col("next_url").alias("after"))
+            jumps = durable(jumps.join(then, ["source_index", "next_url"]).select("source_index", "url", F.col("after").alias("next_url")))
+    return spark.createDataFrame([(*page, step) for page, step in known.items() if step < most], found).select("source_index", "step", "url")
 
 
 def next_link_walk(edges: DataFrame, start: str, max_pages: int) -> DataFrame:
-    """``(step, url)``: pages in the order in which next links lead to them, from ``start``; it ends at a page seen before.
+    """``(step, url)``: pages in the order in which next links lead to them, from ``start``."""
+    starts = edges.sparkSession.createDataFrame([(0, start)], "source_index int, url string")
+    return walked(edges.withColumn("source_index", F.lit(0)), starts, max_pages).select("step", "url")
+
+
+def offset_edges(store: DataFrame, source_index: int, template: str, page_size: int, items_path: str) -> DataFrame:
+    """``(source_index, url, next_url)`` of the pages of ``store(url, html)`` that a template can ask for: the next one is asked at the offset after the items that this one has."""
+    parts = template.replace("{limit}", str(page_size)).split("{offset}")
+    pattern = "^" + re.escape(parts[0]) + "([0-9]+)" + r"\1".join(map(re.escape, parts[1:])) + "$"
+    at = F.regexp_extract("url", pattern, 1).cast("long")
+    own = store.where(F.rlike("url", F.lit(pattern))).groupBy("url").agg(F.max("html").alias("html"))
+    n = F.coalesce(F.size(dotted_items("html", items_path)), F.lit(0))
+    following = template_filled(F.lit(template), offset=at + n, limit=F.lit(page_size))
+    return own.select(F.lit(source_index).alias("source_index"), "url", F.when(n > 0, following).alias("next_url"))
 
-    Each round looks one link up; there are at most ``max_pages``, a small number.
-    """
-    spark = edges.sparkSession
-    links = edges.groupBy("url").agg(F.min("next_url").alias("next_url"))
-    walk, url = [], start
-    while url and url not in walk and len(walk) < max_pages:
-        walk.append(url)
-        got = links.where(F.col("url") == url).select("next_url").head()
-        url = got.next_url if got else None
-    return spark.createDataFrame(list(enumerate(walk)), "step int, url string")
+
+def json_problem(payload: Column | str, items_path: str) -> Column:
+    """Why a page is no page of a listing: its text is no JSON, or there is something else than a list at the path. Null if there is a list, nothing, or JSON's null."""
+    parsed = F.try_parse_json(payload)
+    value = F.try_variant_get(parsed, json_path(items_path), "variant")
+    kind = F.schema_of_variant(value)
+    wrong = value.isNotNull() & ~F.is_variant_null(value) & ~F.startswith(kind, F.lit("ARRAY"))
+    return F.when(parsed.isNull(), "no JSON").when(wrong, F.concat(F.lit(f"items path {items_path!r} leads to "), F.lower(kind), F.lit(", not to a list")))
 
 
 def reachable(edges: DataFrame, start: Column | int, max_pages: int) -> DataFrame:
@@ -146,7 +188,3 @@ def reachable(edges: DataFrame, start: Column | int, max_pages: int) -> DataFram
             UNION ALL SELECT step + 1, next_node FROM walk JOIN _next_links USING (node) WHERE step + 1 < {max_pages} AND next_node IS NOT NULL
         ) SELECT step, node FROM walk"""
     )
-
-
-def union_in_order(frames: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, [f.withColumn("source_index", F.lit(i)) for i, f in enumerate(frames)])

@@ -104,7 +104,7 @@ class StateStore:
     what is read must be used before ``keep`` further versions are written.
     """
 
-    def __init__(self, spark: SparkSession, folder: str, buckets: int = 64, keep: int = 3):
+    def __init__(self, spark: SparkSession, folder: str, buckets: int = 16, keep: int = 3):
         self.spark, self.folder, self.buckets, self.keep = spark, folder.rstrip("/"), buckets, keep
 
     def versions(self, name: str) -> list[int]:

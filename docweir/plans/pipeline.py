@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import logging
 from dataclasses import dataclass
 from datetime import UTC, datetime
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,12 +21,14 @@ from docweir.sources.durable import durable, scratch
 from .control import Control
 
 
+LOG = logging.getLogger(__name__)
+
 #: A task reads about so many articles.
 ARTICLES_A_TASK = 32
 
 
 class ListingError(RuntimeError):
-    """No archive of a label could be listed."""
+    """No archive of a label could be listed, or its only one has a page that is no listing."""
 
 
 @dataclass(frozen=True)
@@ -52,43 +56,68 @@ def now() -> str:
     return datetime.now(UTC).isoformat(timespec="seconds")
 
 
-def list_source(spark: SparkSession, m: Mapping, index: int, store: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Pages and items of one source, its pages looked up in ``store(url, html)``; the walk ends before the first page that is missing or empty."""
-    cfg = m.source(index).listing
-    config = spark.createDataFrame([(index, cfg.url_template, cfg.paging.type, cfg.paging.page_size, cfg.paging.start, cfg.paging.max_pages)], "source_index int, url_template string, type string, page_size int, start int, max_pages int")
-    once = lambda wanted: articles.looked_up(store, wanted).withColumnRenamed("html", "payload")
-    if cfg.next_page_selector:
-        first = articles.next_links(store.select("url", "html"), cfg.next_page_selector)
-        pages = listing.next_link_walk(first, cfg.url_template, cfg.paging.max_pages).select(F.lit(index).alias("source_index"), F.col("step").alias("page_no"), "url")
-    elif cfg.mode == "json" and cfg.paging.type == "offset":
-        # a page's offset is what the pages before have brought, so it can be known only one after the other
-        rows, offset = [], cfg.paging.start
-        for n in range(cfg.paging.max_pages):
-            url = cfg.url_template.format(offset=offset, limit=cfg.paging.page_size)
-            got = store.where(F.col("url") == url).agg(F.max("html").alias("payload")).where("payload is not null").select(F.size(listing.dotted_items("payload", cfg.items_path)).alias("n")).head()
-            if got is None or (got.n or 0) <= 0:
-                break
-            rows.append((index, n, url))
-            offset += got.n
-        pages = spark.createDataFrame(rows, "source_index int, page_no int, url string")
-    else:
-        pages = listing.page_urls(config)
-    pages = durable(pages)
-    pages = durable(pages.join(once(pages), "url"))
-    if cfg.mode == "json":
-        items = listing.json_items(pages, cfg.items_path, cfg.fields)
-    else:
-        items = articles.html_items(pages, cfg.item_selector, cfg.fields)
-    filled = items.select("page_no").distinct()
-    last = pages.join(filled, "page_no", "left_anti").agg(F.min("page_no")).first()[0]
-    if last is not None:
-        pages, items = pages.where(F.col("page_no") < last), items.where(F.col("page_no") < last)
-    return pages.select("page_no"), items.drop("source_index")
+def listing_pages(spark: SparkSession, m: Mapping, store: DataFrame) -> DataFrame:
+    """``(source_index, page_no, url, payload)`` of all sources' listing pages that are in ``store(url, html)``.
+
+    Where a page's place follows from the pages before, by its offset or by a
+    link, all such sources are walked together in a fixed number of rounds.
+    """
+    edges, starts, most, fixed = [], [], 1, []
+    for i, source in enumerate(m.sources):
+        cfg = source.listing
+        if cfg.next_page_selector:
+            edges.append(articles.next_links(store.select("url", "html"), cfg.next_page_selector).withColumn("source_index", F.lit(i)))
+            starts.append((i, cfg.url_template, cfg.paging.max_pages))
+        elif cfg.mode == "json" and cfg.paging.type == "offset":
+            edges.append(listing.offset_edges(store, i, cfg.url_template, cfg.paging.page_size, cfg.items_path))
+            starts.append((i, cfg.url_template.format(offset=cfg.paging.start, limit=cfg.paging.page_size), cfg.paging.max_pages))
+        else:
+            fixed.append((i, cfg.url_template, cfg.paging.type, cfg.paging.page_size, cfg.paging.start, cfg.paging.max_pages))
+    wanted = listing.page_urls(spark.createDataFrame(fixed, "source_index int, url_template string, type string, page_size int, start int, max_pages int"))
+    if starts:
+        own, most = spark.createDataFrame(starts, "source_index int, url string, max_pages int"), max(n for *_, n in starts)
+        walks = listing.walked(reduce(DataFrame.unionByName, edges), own, most).join(own.select("source_index", "max_pages"), "source_index").where("step < max_pages")
+        wanted = wanted.unionByName(walks.select("source_index", F.col("step").alias("page_no"), "url"))
+    return durable(wanted.join(articles.looked_up(store, wanted).withColumnRenamed("html", "payload"), "url").select("source_index", "page_no", "url", "payload"))
+
+
+def list_sources(spark: SparkSession, m: Mapping, store: DataFrame) -> tuple[list[tuple[DataFrame, DataFrame]], list[tuple[int, str]]]:
+    """Pages and items of each source, up to its first page that is missing or has no item; and what is wrong with that page where it is no page of a listing."""
+    pages, items, problems = listing_pages(spark, m, store), [], []
+    for i, source in enumerate(m.sources):
+        own, cfg = pages.where(F.col("source_index") == i), source.listing
+        items.append(listing.json_items(own, cfg.items_path, cfg.fields) if cfg.mode == "json" else articles.html_items(own, cfg.item_selector, cfg.fields))
+        if cfg.mode == "json":
+            problems.append(own.select("source_index", "page_no", F.concat_ws(" at ", listing.json_problem("payload", cfg.items_path), "url").alias("problem")).where(listing.json_problem("payload", cfg.items_path).isNotNull()))
+    found = durable(reduce(DataFrame.unionByName, items))
+    # a page that is not there ends its source like one without items; there are as many ends as sources
+    there = found.select("source_index", "page_no").distinct()
+    asked = there.groupBy("source_index").agg(F.max("page_no").alias("m")).select("source_index", F.explode(F.sequence(F.lit(0), F.col("m") + 1)).alias("page_no"))
+    missing = asked.unionByName(pages.select("source_index", "page_no")).join(there, ["source_index", "page_no"], "left_anti")
+    ends = {r.source_index: r.end for r in missing.groupBy("source_index").agg(F.min("page_no").alias("end")).collect()}
+    said, out = [], []
+    for i in range(len(m.sources)):
+        own = F.col("source_index") == i
+        before = own & (F.col("page_no") < ends[i]) if i in ends else own
+        out.append((pages.where(before).select("page_no"), found.where(before).drop("source_index")))
+    if problems and ends:
+        at_end = reduce(DataFrame.unionByName, problems).where(reduce(lambda a, b: a | b, ((F.col("source_index") == i) & (F.col("page_no") == end) for i, end in ends.items())))
+        said = sorted((r.source_index, r.problem) for r in at_end.groupBy("source_index").agg(F.min("problem").alias("problem")).collect())
+    return out, said
 
 
 def read_listing(spark: SparkSession, m: Mapping, store: DataFrame, limit: int | None = None) -> DataFrame:
-    """All sources of a label in order; one that gives nothing does not stop the others."""
-    found = listing.read_listing([list_source(spark, m, i, store) for i in range(len(m.sources))], limit)
+    """All sources of a label in order; one that gives nothing, or whose pages are no listing, does not stop the others."""
+    sources, problems = list_sources(spark, m, store)
+    for i, problem in problems:
+        pages, items = sources[i]
+        # a walk ends before a wrong page if a page before that brought nothing new
+        all_new = listing.pages_read(listing.new_on_page(pages.withColumn("source_index", F.lit(i)), listing.with_keys(items).withColumn("source_index", F.lit(i)).withColumn("ord", F.struct("page_no", "pos")))).count() == pages.count()
+        if all_new and len(m.sources) == 1:
+            raise ListingError(problem)
+        if all_new:
+            LOG.warning("%s of %r ends early: %s", m.sources[i].display_name, m.label_name, problem)
+    found = listing.read_listing(sources, limit)
     if len(m.sources) > 1 and not found.take(1):
         raise ListingError(f"no articles of {m.label_name!r} in any of {len(m.sources)} archives")
     return durable(found.withColumn("published_at", parsed_date("date_raw")))

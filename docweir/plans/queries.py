@@ -257,12 +257,38 @@ def pagination_guard(spark, sf):
     return listing.pages_read(listing.new_on_page(rows, listing.with_keys(rows))).select("page_no", "new_count")
 
 
-@query("WITH c AS (SELECT CAST(i AS INTEGER) AS source_index FROM range(3) t(i)) SELECT source_index, CAST(p AS INTEGER) AS page_no, CASE source_index WHEN 0 THEN 'https://x.test/all' WHEN 1 THEN 'https://x.test/a?o=' || (10 + p * 50) || '&n=50' ELSE 'https://x.test/p/' || (1 + p) END AS url FROM c, range(20) r(p) WHERE source_index > 0 OR p = 0")
+_SITE = "regexp_extract(url, '^https?://[^/?#]+')"
+
+
+@query(f"""SELECT CAST(page_id AS INTEGER) AS source_index, CAST(p AS INTEGER) AS page_no, {_SITE} || CASE page_id % 3 WHEN 0 THEN '/all' WHEN 1 THEN '/a?o=' || (page_id % 7 + p * (page_id % 40 + 10)) || '&n=' || (page_id % 40 + 10) ELSE '/p/' || (page_id % 7 + p) END AS url
+FROM pages, range(20) r(p) WHERE CASE WHEN page_id % 3 = 0 THEN p = 0 ELSE p < page_id % 21 END""")
 def page_urls(spark, sf):
-    config = spark.sql("SELECT * FROM VALUES (0, 'https://x.test/all', 'none', 50, 0, 20), (1, 'https://x.test/a?o={offset}&n={limit}', 'offset', 50, 10, 20), (2, 'https://x.test/p/{page}', 'page', 50, 1, 20) AS t(source_index, url_template, type, page_size, start, max_pages)")
+    """Each page's site as an archive, with paging by offset, by number or none."""
+    site, n = F.regexp_extract("url", "^https?://[^/?#]+", 0), F.col("page_id").cast("int")
+    kind = lambda *of: F.element_at(F.array(*map(F.lit, of)), n % 3 + 1)
+    config = pages(spark, sf).select(n.alias("source_index"), F.concat(site, kind("/all", "/a?o={offset}&n={limit}", "/p/{page}")).alias("url_template"), kind("none", "offset", "page").alias("type"), (n % 40 + 10).alias("page_size"), (n % 7).alias("start"), (n % 21).alias("max_pages"))
     return listing.page_urls(config)
 
 
+@query(f"""SELECT page_id AS page_no, pos - 1 AS pos, {_SITE} || regexp_extract(item, 'href="([^"]*)"', 1) AS url, trim(regexp_replace(regexp_extract(item, '>([^<]*)</a>', 1), '\\s+', ' ', 'g')) AS title
+FROM (SELECT page_id, url, unnest(i) AS item, CAST(generate_subscripts(i, 1) AS INTEGER) AS pos FROM (SELECT CAST(page_id AS INTEGER) AS page_id, url, regexp_extract_all(html, '<li>(<a href="[^"]*">[^<]*</a>)</li>', 1) AS i FROM pages))""")
+def navigation_items(spark, sf):
+    """The links in the lists of the given pages, as a listing's items."""
+    rows = pages(spark, sf).select(F.lit(0).alias("source_index"), F.col("page_id").cast("int").alias("page_no"), "url", F.col("html").alias("payload"))
+    return articles.html_items(rows, "nav li", {"url": {"selector": "a", "attr": "href"}, "title": "a"}).select("page_no", "pos", "url", "title")
+
+
+_BARE, _QUERY = "regexp_replace(url, '[?#].*$', '')", "regexp_extract(url, '\\?([^#]*)', 1)"
+_KEPT = f"list_filter(string_split({_QUERY}, '&'), lambda x: NOT starts_with(lower(x), 'utm_'))"
+
+
+@query(f"""SELECT page_id, CASE WHEN regexp_matches({_QUERY}, '(?i)(^|&)utm_') THEN {_BARE} || CASE WHEN len({_KEPT}) > 0 THEN '?' ELSE '' END || array_to_string({_KEPT}, '&') || regexp_extract(url, '#.*$') ELSE url END AS clean,
+{_SITE} || '/archive?sort=new' AS archive, regexp_replace({_BARE}, '[^/]*$', '') || 'next#top' AS beside FROM pages""")
+def page_addresses(spark, sf):
+    """The given addresses without tracking parameters, and references resolved against them."""
+    return pages(spark, sf).select("page_id", text.clean_url("url").alias("clean"), text.joined_url("url", F.lit("/archive?sort=new")).alias("archive"), text.joined_url("url", F.lit("next#top")).alias("beside"))
+
+
 @query(f"WITH {ITEMS}, n AS (SELECT page_no, count(*) AS n_items FROM items GROUP BY 1) SELECT page_no, n_items, CAST(10 + coalesce(sum(n_items) OVER (ORDER BY page_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS \"offset\" FROM n")
 def running_offsets(spark, sf):
     n = items(spark, sf).groupBy("source_index", "page_no").agg(F.count(F.lit(1)).alias("n_items"))
@@ -313,6 +339,15 @@ def next_link_walk(spark, sf):
     return listing.reachable(edges, 0, 40)
 
 
+@query("WITH RECURSIVE edges AS (SELECT p.page_id AS a, (p.page_id + length(p.url) + length(p.html)) % (SELECT count(*) FROM pages) AS b FROM pages p), w(s, step, node, seen) AS (SELECT CAST(i AS INTEGER), 0, CAST(i AS BIGINT), [CAST(i AS BIGINT)] FROM range(3) t(i) UNION ALL SELECT s, step + 1, b, list_append(seen, b) FROM w JOIN edges ON a = node WHERE step + 1 < 100 AND NOT list_contains(seen, b)) SELECT s AS source_index, step, CAST(node AS VARCHAR) AS url FROM w")
+def listing_walks(spark, sf):
+    """Three walks at once, each page leading to another by the lengths of its address and markup, until one comes again."""
+    p = pages(spark, sf).withColumn("n", F.lit(pages(spark, sf).count()))
+    edges = p.select(F.explode(F.array(*map(F.lit, range(3)))).alias("source_index"), F.col("page_id").cast("string").alias("url"), F.pmod(F.col("page_id") + F.length("url") + F.length("html"), "n").cast("string").alias("next_url"))
+    starts = p.where("page_id < 3").select(F.col("page_id").cast("int").alias("source_index"), F.col("page_id").cast("string").alias("url"))
+    return listing.walked(edges, starts, 100)
+
+
 @query(f"SELECT url_key, n FROM (SELECT {canon_sql()} AS url_key, count(*) AS n FROM pages GROUP BY 1) WHERE n > 1")
 def duplicate_urls(spark, sf):
     return pages(spark, sf).groupBy(text.canonical_url("url").alias("url_key")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -380,10 +415,16 @@ def write_limit(spark, sf):
     return missing_anti(spark, sf).orderBy("ord").limit(10)
 
 
-@query(f"WITH {CLASSIFIED} SELECT ord, title, row_number() OVER (ORDER BY match_reason <> '', ord) AS place FROM entries QUALIFY place <= 40")
+_DAY = "CASE WHEN ord % 7 = 0 THEN NULL ELSE DATE '2024-01-01' + CAST(length(url) % 28 AS INTEGER) END"
+
+
+@query(f"WITH {CLASSIFIED} SELECT ord, title, row_number() OVER (ORDER BY match_reason <> '', {_DAY} NULLS FIRST, ord) AS place FROM entries QUALIFY place <= 40")
 def scan_display(spark, sf):
-    first = linkage.display_order(classify_scan(spark, sf).withColumn("published_at", F.lit(""))).limit(40)
-    rows = first.agg(F.array_sort(F.collect_list(F.struct((F.col("status") != "discovered").alias("h"), "ord", "title"))).alias("r"))
+    """Dates by the addresses' lengths, every seventh item undated."""
+    day = F.when(F.col("ord") % 7 != 0, F.date_add(F.to_date(F.lit("2024-01-01")), (F.length("url") % 28).cast("int")).cast("timestamp"))
+    first = linkage.display_order(classify_scan(spark, sf).withColumn("published_at", day)).limit(40)
+    keys = [k.alias(f"k{i}") for i, k in enumerate(linkage.display_keys())]
+    rows = first.agg(F.array_sort(F.collect_list(F.struct(*keys, "ord", "title"))).alias("r"))
     return rows.select(F.posexplode("r").alias("p", "r")).select("r.ord", "r.title", (F.col("p") + 1).cast("bigint").alias("place"))
 
 
@@ -581,16 +622,16 @@ def corpus_index_by_label(spark, sf):
 @query("SELECT p.page_id, p.url, q.html IS NULL AS missing FROM pages p LEFT JOIN (SELECT url, max(html) AS html FROM pages WHERE page_id % 2 = 0 GROUP BY url) q USING (url)")
 def page_store_lookup(spark, sf):
     """Pages looked up by address in a store that has every other one."""
-    store = pages(spark, sf).where("page_id % 2 = 0").groupBy("url").agg(F.max("html").alias("html"))
-    return pages(spark, sf).select("page_id", "url").join(store, "url", "left").select("page_id", "url", F.col("html").isNull().alias("missing"))
+    found = articles.with_pages(pages(spark, sf).select("page_id", "url"), pages(spark, sf).where("page_id % 2 = 0"))
+    return found.select("page_id", "url", F.col("html").isNull().alias("missing"))
 
 
 @query("SELECT page_id, coalesce(s.name, p.name) AS name FROM (SELECT page_id, CAST(page_id % 4 - 1 AS INTEGER) AS i FROM pages) LEFT JOIN (VALUES (0, 'primary'), (1, 'second')) AS s(i, name) USING (i), (SELECT 'primary' AS name) p")
 def source_lookup(spark, sf):
     """A source by its number; numbers out of range mean the first source."""
-    names = F.array(F.lit("primary"), F.lit("second"))
-    i = (F.col("page_id") % 4 - 1).cast("int")
-    return pages(spark, sf).select("page_id", F.coalesce(F.when(i >= 0, F.get(names, i)), names[0]).alias("name"))
+    rows = pages(spark, sf).select("page_id", (F.col("page_id") % 4 - 1).cast("int").alias("source_index"))
+    sources = pages(spark, sf).where("page_id < 2").select(F.col("page_id").cast("int").alias("source_index"), F.when(F.col("page_id") == 0, "primary").otherwise("second").alias("name"))
+    return listing.with_source(rows, sources).select("page_id", "name")
 
 
 @query(f"WITH {REFS}, {PREFIX}, first AS (SELECT r.*, k.title_key FROM refs r JOIN (SELECT ord, title_key FROM (SELECT * FROM keyed QUALIFY row_number() OVER (PARTITION BY url_key ORDER BY ord) = 1)) k USING (ord)), kept AS (SELECT * FROM first WHERE title_key = '' UNION ALL SELECT * FROM (SELECT * FROM first WHERE title_key <> '' QUALIFY row_number() OVER (PARTITION BY title_key ORDER BY ord) = 1)) SELECT 'web-' || left(sha256(canonical), 16) AS article_id, url, CASE WHEN e.key IS NOT NULL OR p.key IS NOT NULL THEN 'held' ELSE 'open' END AS verdict FROM kept r LEFT JOIN idx e ON e.key = r.probe_title LEFT JOIN prefixes p ON p.ord = r.ord")

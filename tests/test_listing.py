@@ -86,7 +86,52 @@ def test_first_occurrences(rows):
     assert len(want) == len({r[0] for r in rows})
 
 
-def test_union(spark):
-    a = spark.range(2)
-    assert [r.source_index for r in listing.union_in_order([a, a]).orderBy("source_index").collect()] == [0, 0, 1, 1]
-    assert listing.contributions(listing.union_in_order([a, a])).agg(F.sum("n")).first()[0] == 4
+def plain_walk(edges, start, most):
+    walk = []
+    while start is not None and start not in walk and len(walk) < most:
+        walk.append(start)
+        start = edges.get(start)
+    return walk
+
+
+def test_many_walks_at_once(spark):
+    rng = random.Random(13)
+    nodes = [f"n{k}" for k in range(60)]
+    graphs = [{n: rng.choice([None, *nodes]) if rng.random() < 0.3 else nodes[(k + 1) % 60] for k, n in enumerate(nodes)} for _ in range(4)]
+    edges = spark.createDataFrame([(i, a, b) for i, g in enumerate(graphs) for a, b in g.items()], "source_index int, url string, next_url string")
+    starts = spark.createDataFrame([(i, rng.choice(nodes)) for i in range(4)] + [(9, "nowhere")], "source_index int, url string")
+    for most in (1, 2, 3, 8, 33, 64, 200):
+        got = {}
+        for r in listing.walked(edges, starts, most).orderBy("step").collect():
+            got.setdefault(r.source_index, []).append(r.url)
+        assert got == {r.source_index: plain_walk(graphs[r.source_index] if r.source_index < 4 else {}, r.url, most) for r in starts.collect()}, most
+
+
+def test_a_walk_takes_few_jobs_whatever_the_pages(spark):
+    def jobs(n):
+        edges = spark.createDataFrame([(0, str(k), str(k + 1)) for k in range(n)], "source_index int, url string, next_url string")
+        spark.sparkContext.setJobGroup(f"walk-{n}", "")
+        listing.walked(edges, spark.createDataFrame([(0, "0")], "source_index int, url string"), 64).count()
+        out = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"walk-{n}"))
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        return out
+
+    assert jobs(3) <= jobs(80) == jobs(300)
+
+
+def test_offset_edges(spark):
+    store = [("https://x.test/a?o=0&l=5&again=0", '{"p": [1, 2, 3]}'), ("https://x.test/a?o=3&l=5&again=3", '{"p": [1]}'), ("https://x.test/a?o=4&l=5&again=4", '{"p": []}'), ("https://x.test/a?o=4&l=6&again=4", '{"p": [1]}'), ("https://x.test/a?o=1&l=5&again=2", '{"p": [1]}'), ("https://xytest/a?o=0&l=5&again=0", '{"p": [1]}'), ("https://x.test/a?o=9&l=5&again=9", None)]
+    got = listing.offset_edges(spark.createDataFrame(store, "url string, html string"), 2, "https://x.test/a?o={offset}&l={limit}&again={offset}", 5, "p")
+    assert {r.url[-1]: r.next_url for r in got.collect()} == {"0": "https://x.test/a?o=3&l=5&again=3", "3": "https://x.test/a?o=4&l=5&again=4", "4": None, "9": None}
+
+
+def test_pages_that_are_no_listing(spark):
+    said = {'{"p": [1]}': None, '{"p": []}': None, '{"p": null}': None, "{}": None, '{"p": 3}': "leads to bigint", '{"p": {"a": 1}}': "leads to object", '{"p": "x"}': "leads to string", "<html>": "no JSON", None: "no JSON"}
+    df = spark.createDataFrame([(x,) for x in said], "payload string")
+    got = {r.payload: r.why for r in df.select("payload", listing.json_problem("payload", "p").alias("why")).collect()}
+    assert all(got[k] is None if want is None else want in got[k] for k, want in said.items()), got
+
+
+def test_contributions(spark):
+    rows = spark.createDataFrame([(0,), (0,), (1,)], "source_index int")
+    assert {r.source_index: r.n for r in listing.contributions(rows).collect()} == {0: 2, 1: 1}
