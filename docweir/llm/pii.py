@@ -173,6 +173,67 @@ ISBN 978-3-16-148410-0 is a book
 the matrix is 4x4 with 16 entries
 rows 10 - 20 - 30 - 40 of the table
 on 2019-03-04 and 04.03.2019 it rained
+wir sind unter [phone:0221-5550-7781] da
+[phone:0331-5550-4410] , bitte nachmittags
+she said [phone:0441-5550-9034] to me
+der Anschluss [phone:069 5550 3321] ist neu
+auf [phone:020 5550 1177] warten
+it rang at [phone:011 5550 6672] today
+composez le [phone:03 44 55 90 17] ce soir
+c' est [phone:02 31 55 46 80] ou rien
+[phone:05 61 55 72 39] à midi
+marque el [phone:93 555 21 46] mañana
+al [phone:95 555 40 71] , por favor
+[phone:96 555 83 02] está libre
+text [phone:718.555.0161] or come
+text [phone:805-555-0143] or come
+line [phone:(409)555-0188] is busy
+so [phone:1-760-555-0126] it is
+try [phone:07700 900 733] again
+extension [phone:(361) 555 0170] works
+mi correo: [email:luis at servidor dot es]
+mon courriel , [email:anne at courrier dot fr] , marche
+an [email:jan (at) postfach.de] senden
+por [email:eva [at] buzon [dot] es] responde
+help: [email:dan at mailhost dot com]
+copy [email:ben at mail.host dot net] too
+meine Mail ist [email:PIA AT POSTFACH DOT DE] danke
+visa [card:4539  1488  0343  6467] here
+card [card:5105  1051  0510  5100] today
+[card:4916  3385  0608  2832] was charged
+Karte [card:4485.0403.7153.6584] gilt
+la tarjeta [card:5425.2334.3010.9903] pasa
+[card:4716.1089.9971.6531] is hers
+number [card:4024/0071/4500/8392] on file
+account [card:5300/0000/0000/0006] closed
+carte [card:4532_7153_3790_1241] refusée
+amex [card:3714/496353/98431] is fine
+with [card:3787_344936_71000] we paid
+carte [card:3714.496353.98431] valide
+the [card:3782/822463/10005] was hers
+[card:3400_000000_00009] expired
+use [card:5454 - 5454 - 5454 - 5454] then
+pay [card:4444 . 3333 . 2222 . 1111] now
+by [card:5111 . 0051 . 1105 . 1128] today
+ping to [ip:172-31-255-9] failed
+[ip:192-168-100-20] is ours
+le poste [ip:10-8-44-201] est là
+der Rechner [ip:81-12-7-160] läuft
+nodo [ip:203-0-113-77] caído
+via [ip:100-64-12-1] , then
+[ip:198 . 51 . 100 . 23] again
+to [ip:203 . 0 . 113 . 5] we sent
+der Rechner [ip:8 . 8 . 4 . 4] schweigt
+por [ip:172 . 20 . 10 . 2] pasa
+le poste [ip:192 . 0 . 2 . 146] tombe
+points 77 105 18 64 for the teams
+grades 90 85 70 66 and 12
+we met at noon dot com was not yet there
+he looked at home dot and dash
+laps 12-14-11-300 and 40
+sets 6-4-7-6 and 3-6-2-6 they played
+sizes 10 . 12 . and 14 . were sold
+dial 9 for 1000 of 2000 lines
 """
 
 CUES = frozenset("call phone tel tel. tel.: telephone mobile fax number reach téléphone teléfono handy card visa credit pay mail email e-mail contact write send ip host server address at dot (at) [at] (dot) [dot] version isbn page chapter token zip room id key order section".split())
@@ -186,8 +247,14 @@ AT_ONCE = 200_000
 PUNCTUATION = "\"'.,;:!?<>*#$%&`"
 
 
+#: Four numbers of up to three digits between equal signs.
+FOUR = re.compile(r"[0-9]{1,3}([.-])[0-9]{1,3}\1[0-9]{1,3}\1[0-9]{1,3}")
+
+
 def shape(word: str) -> str:
-    """Letters as x, digits as d with their number, other characters as they are; long words only by their kinds."""
+    """Letters as x, digits as d with their number, other characters as they are; four short numbers as such, long words only by their kinds."""
+    if four := FOUR.fullmatch(word):
+        return f"four{four[1]}"
     out = re.sub(r"[^\W\d_]+", "x", word)
     out = re.sub(r"[0-9]+", lambda m: f"d{min(len(m[0]), 13)}", out)
     return out if len(out) <= 24 else "".join(sorted(set(out)))[:24]
@@ -253,7 +320,7 @@ class Field:
         sequences, gold = [], []
         for line in LABELLED.strip().split("\n"):
             words, labels, inside = [], [], None
-            for w in line.split(" "):
+            for w in line.split():
                 m = re.match(rf"\[({'|'.join(KINDS)}):(.+)", w)
                 first = m is not None
                 if m:

@@ -223,3 +223,123 @@ def timed(text):
     began = time.perf_counter()
     pii.find_all([text])
     return time.perf_counter() - began
+
+
+#: Sentences in four languages around personal data, and sentences full of numbers without any; none is in the labelled table.
+CARRIERS = {
+    "phone": [
+        "please ring {} after lunch", "his line is {} , as always", "{} is the number of the clinic", "mobile: {}", "you reach the desk under {} today",
+        "Telefon {} oder am Abend", "unter {} erreichen Sie uns", "rufen Sie {} an", "appelez le {} demain", "notre numéro : {}",
+        "tél. {} le matin", "llame al {} hoy", "mi número es {} , gracias", "teléfono {} por la tarde", "fax {}",
+        "office {} , home unknown", "or text {} instead", "we left {} with her", "she dialled {} twice", "hotline {} day and night",
+    ],
+    "email": [
+        "drop a note to {} please", "{} answers all questions", "her mail is {} , she said", "e-mail {}", "you can write {} any time",
+        "schreiben Sie an {} bitte", "meine Adresse ist {} .", "Fragen an {} senden", "écrivez à {} merci", "mon adresse : {}",
+        "escriba a {} por favor", "mi correo es {} , gracias", "reply to {} by noon", "support: {}", "forward it to {} and wait",
+        "just mail {}", "ask for {} there", "from {} on Monday", "cc {} too", "the author , {} , agreed",
+    ],
+    "card": [
+        "my visa is {} , valid", "charge {} please", "card number {}", "pay with {} today", "she gave {} by mistake",
+        "Karte {} bitte belasten", "Kreditkarte {}", "die Nummer {} gilt noch", "carte {} acceptée", "numéro de carte : {}",
+        "tarjeta {} vencida", "cargo a {} hoy", "the card {} was refused", "billing {} again", "account {} on file",
+        "mastercard {}", "refund to {} now", "use {} instead", "old card {} expired", "amex {} only",
+    ],
+    "ip": [
+        "the host {} is down", "ping {} again", "ip {}", "server {} rebooted", "traffic from {} was blocked",
+        "der Server {} antwortet", "von {} kam nichts", "Adresse {} gesperrt", "le serveur {} répond", "depuis {} hier",
+        "el servidor {} cayó", "desde {} llegó", "login from {} failed", "node {} is up", "gateway {} , please",
+        "we saw {} twice", "route {} is gone", "at {} the log ends", "box {} again", "scan {} now",
+    ],
+}
+
+
+def with_check(body):
+    """Digits with the one that passes Luhn's rule."""
+    doubled = [int(c) * (2 if i % 2 == 0 else 1) for i, c in enumerate(reversed(body))]
+    return body + str(-sum(n - 9 if n > 9 else n for n in doubled) % 10)
+
+
+def digits(r, n):
+    return "".join(r.choice("0123456789") for _ in range(n))
+
+
+def phone(r):
+    a, d = r.choice("23456789") + digits(r, 2), lambda n: digits(r, n)
+    american = [f"({a}) 555-{d(4)}", f"{a}-555-{d(4)}", f"{a}.555.{d(4)}", f"({a}) 555 {d(4)}", f"({a})555-{d(4)}", f"1-{a}-555-{d(4)}"]
+    european = [f"0{r.choice('123')}{d(1)} 5550 {d(4)}", f"0{r.choice('12345')} {d(2)} 55 {d(2)} {d(2)}", f"07700 900 {d(3)}", f"0{d(3)}-5550-{d(4)}", f"9{d(1)} 555 {d(2)} {d(2)}"]
+    return r.choice(american + european)
+
+
+def email(r):
+    name = lambda: r.choice("kim lena tomas ruth joao nora petr ines omar yuki carla finn".split())
+    u = r.choice([name(), f"{name()}.{name()}", f"{name()}_{name()}", f"{name()}{r.randint(1, 99)}"])
+    h, t = r.choice(["example", "site", "mailbox", "firma", "correo", "poste"]), r.choice(["com", "org", "net", "de", "fr", "es"])
+    return r.choice([f"{u} (at) {h}.{t}", f"{u} [at] {h}.{t}", f"{u} at {h} dot {t}", f"{u} (at) {h} (dot) {t}", f"{u} [at] {h} [dot] {t}", f"{u} AT {h} DOT {t}".upper(), f"{u} (at) mail.{h}.{t}", f"{u} at mail.{h} dot {t}"])
+
+
+def card(r):
+    if r.random() < 0.2:
+        x, s = with_check("37" + digits(r, 12)), r.choice("./_")
+        return s.join([x[:4], x[4:10], x[10:]])
+    x = with_check(r.choice("45") + digits(r, 14))
+    return r.choice([".", "/", "_", " - ", "  ", " . "]).join(x[i : i + 4] for i in range(0, 16, 4))
+
+
+def ip(r):
+    parts = [r.choice([10, 172, 192, r.randint(1, 223)]), r.randint(0, 255), r.randint(0, 255), r.randint(1, 254)]
+    return r.choice([" . ", "-"]).join(map(str, parts))
+
+
+MAKE = {"phone": phone, "email": email, "card": card, "ip": ip}
+UNTOUCHED = [
+    "it sold {a} copies in {y} and {b} in {y}", "the meeting at {h}:{m} is in room {n}", "{y}-{mo}-{dd} was a Tuesday", "between {y} and {y} , pages {n}-{n}",
+    "a ratio of {n}.{n} to {n}.{n}", "build {n}.{n}.{n} is out", "scores {n} {n} {n} {n} in group {n}", "order no. {a} for {n} units",
+    "die Seiten {n} - {n} und {n}", "am {dd}.{mo}.{y} um {h}:{m}", "le {dd}/{mo}/{y} , {n} pages", "el {dd} de mayo de {y}",
+    "we were at home . dot by dot it grew", "he is at the shop on {n} Main Street", "points {n} . {n} and {n} . {n} too", "chapter {n} . verse {n} . end",
+    "in {y} , {a} people , {n} % of them", "from {n}-{n} to {n}-{n} we won", "section {n}.{n}.{n} and figure {n}-{n}", "she met him at noon dot and left",
+    "rows {n} - {n} - {n} of table {n}", "{a} at {n} dollars each", "tel aviv {y} , room {n}", "card {n} of {n} in the deck",
+    "version {n}-{n}-{n} failed", "ip is short for something , {n} times", "the number {n} bus , line {n}", "call number {n}.{n} on the shelf",
+    "phone {n} sold {a} times in {y}", "mail came at {h} on {dd} May",
+]
+
+
+def clean(r, t):
+    """A sentence with numbers in it, each drawn anew."""
+    made = {"a": lambda: f"{r.randint(1, 99)},{r.randint(100, 999)}", "b": lambda: r.randint(100, 9999), "y": lambda: r.randint(1800, 2030), "h": lambda: r.randint(0, 23), "m": lambda: f"{r.randint(0, 59):02}", "n": lambda: r.randint(1, 120), "mo": lambda: f"{r.randint(1, 12):02}", "dd": lambda: f"{r.randint(1, 28):02}"}
+    return re.sub(r"\{(\w+)\}", lambda m: str(made[m[1]]()), t)
+
+
+def held_out(seed, each=5):
+    """Line, kind and place of what is in it; None where there is nothing, and where a pattern finds it anyway no line."""
+    r = random.Random(seed)
+    for kind, carriers in CARRIERS.items():
+        for c in carriers:
+            for _ in range(each):
+                said = MAKE[kind](r)
+                line = c.format(said)
+                at = line.index(said)
+                if not any(a < at + len(said) and at < b for _, a, b in pii.base_spans(line)):
+                    yield line, (kind, at, at + len(said))
+    for t in UNTOUCHED:
+        for _ in range(each):
+            yield clean(r, t), None
+
+
+def test_held_out_table():
+    """Some hundred lines of a kind in four languages: recall and precision of 0.9 or more; README holds the figures."""
+    right, said, true, touched = Counter(), Counter(), Counter(), 0
+    for seed in (5, 11, 12):
+        for line, gold in held_out(seed):
+            base, spans = pii.find_all([line])[0]
+            got = set(spans) - set(base)
+            said.update(k for k, *_ in got)
+            if gold:
+                true[gold[0]] += 1
+                right[gold[0]] += gold in got
+            else:
+                touched += bool(got)
+    print(dict(right), dict(said), dict(true), touched)
+    for kind in pii.KINDS:
+        assert true[kind] >= 280 and right[kind] >= 0.9 * true[kind] and right[kind] >= 0.9 * said[kind], kind
+    assert touched <= 0.03 * 450
