@@ -12,6 +12,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter, defaultdict
+from collections.abc import Iterable, Iterator
 from functools import cached_property, lru_cache
 from itertools import islice
 
@@ -29,10 +30,8 @@ ROUNDS = 2
 UNKNOWN, SMOOTH = 1e-8, 0.01
 #: Words of more characters than this are summed with scaled numbers, as a double cannot hold their probability.
 PLAIN = 30
-#: The model learns so many languages at most, those with the most distinct texts; this bounds its size.
-MAX_LANGUAGES = 500
-#: A worker keeps the scores of words from one batch to the next, so many numbers at most.
-KEPT = 2_000_000
+#: A worker keeps the scores of words from one text to the next, so many numbers at most; a forward pass holds about so many.
+KEPT, AT_ONCE = 2_000_000, 2_000_000
 
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -190,39 +189,67 @@ class Model:
         self.__dict__.update(state)
         self._forget()
 
-    def score(self, texts: list[str | None]) -> list[tuple[str, float]]:
-        """Language and share of the likelihoods of each text; each distinct word is summed once, and kept for the next texts."""
-        if not self.languages:
-            return [("und", 0.0)] * len(texts)
-        if len(self.lexicon) * len(self.languages) > KEPT:
-            self._forget()
-        places = [np.fromiter(map(self.lexicon.__getitem__, words), np.int64, len(words)) for words in (words_of(t or "") for t in texts)]
-        new, vocab = list(islice(self.lexicon, len(self.logs), None)), vocabulary(self.path)
-        self.logs = logs = np.concatenate([self.logs, *(forward(new[i : i + 10_000], vocab, self.p) for i in range(0, len(new), 10_000))])
-        out = []
-        for at, text in zip(places, texts):
+    def sums(self, words: list[str]) -> Iterator[np.ndarray]:
+        """The words' log-probabilities, so many words at a time as the languages leave room for."""
+        vocab, step = vocabulary(self.path), max(1, AT_ONCE // ((PLAIN + 1) * max(1, len(self.languages))))
+        for i in range(0, len(words), step):
+            yield forward(words[i : i + step], vocab, self.p)
+
+    def _said(self, total: np.ndarray | None) -> tuple[str, float]:
+        if total is None:
+            return "und", 0.0
+        best = int(total.argmax())
+        return self.languages[best], float(1.0 / np.exp(total - total[best]).sum())
+
+    def _totals(self, waiting: list[np.ndarray | None]) -> Iterator[tuple[str, float]]:
+        """The results of texts whose words have their numbers; each new word is summed once."""
+        self.logs = np.concatenate([self.logs, *self.sums(list(islice(self.lexicon, len(self.logs), None)))])
+        for at in waiting:
+            yield self._said(None if at is None else self.logs[at].sum(axis=0))
+
+    def score(self, texts: Iterable[str | None]) -> Iterator[tuple[str, float]]:
+        """Language and share of the likelihoods of each text, in order.
+
+        Texts are taken one by one. Those whose words find room are scored
+        together; what is held depends on ``KEPT`` and a text's own words, not
+        on how many texts or languages there are.
+        """
+        room, waiting = max(1, KEPT // max(1, len(self.languages))), []
+        for text in texts:
+            words = words_of(text or "") if self.languages else []
             # words hold letters and such signs as fractions
-            if not len(at) or not any(map(str.isalpha, text)):
-                out.append(("und", 0.0))
+            if not words or not any(map(str.isalpha, text)):
+                waiting.append(None)
                 continue
-            total = logs[at].sum(axis=0)
-            best = int(total.argmax())
-            out.append((self.languages[best], float(1.0 / np.exp(total - total[best]).sum())))
-        return out
+            count = Counter(words)
+            if len(self.lexicon) + len(count) > room:
+                yield from self._totals(waiting)
+                waiting = []
+                self._forget()
+            if len(count) > room:
+                own, n = list(count), np.array(list(count.values()), np.float64)
+                total, at = np.zeros(len(self.languages)), 0
+                for part in self.sums(own):
+                    total += n[at : at + len(part)] @ part
+                    at += len(part)
+                yield self._said(total)
+                continue
+            waiting.append(np.fromiter(map(self.lexicon.__getitem__, words), np.int64, len(words)))
+        yield from self._totals(waiting)
 
 
-def train(labelled: DataFrame, path: str, train_docs: int = TRAIN_DOCS, rounds: int = ROUNDS, seed: int = 3) -> Model:
+def train(labelled: DataFrame, path: str, train_docs: int = TRAIN_DOCS, rounds: int = ROUNDS, seed: int = 3, max_languages: int | None = None) -> Model:
     """Fits the model on ``labelled(text, lang)``, on about ``train_docs`` documents of each language.
 
     The sample is of a bounded size, and is drawn by hashes of the texts. Words
     are counted in Spark, expected piece counts too; the driver holds a number
     for each piece of the vocabulary and language. Rows with a null text or
-    language take no part; of more than ``MAX_LANGUAGES`` languages those with
-    the most distinct texts are learned, ties by name.
+    language take no part. All languages are learned, or, where a user sets
+    ``max_languages``, the ones with the most distinct texts, ties by name.
     """
     rows = labelled.where("text is not null and lang is not null").select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    sizes = {r.lang: r.n for r in rows.select("lang", F.xxhash64("text").alias("h")).distinct().groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "lang").limit(MAX_LANGUAGES).collect()}
-    languages = sorted(sizes)
+    sizes = {r.lang: r.n for r in rows.select("lang", F.xxhash64("text").alias("h")).distinct().groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    languages = sorted(sorted(sizes, key=lambda lang: (-sizes[lang], lang))[:max_languages])
     vocab = vocabulary(path)
     uniform = np.full((len(vocab) + 1, len(languages)), 1.0 / max(1, len(vocab)))
     uniform[-1] = UNKNOWN
@@ -292,6 +319,6 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
         model = shared.value
         for b in batches:
             if len(b):
-                yield batch(out, b.column(0), *zip(*model.score(b.column(1).to_pylist())))
+                yield batch(out, b.column(0), *zip(*model.score(t.as_py() for t in b.column(1))))
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(scan, schema)

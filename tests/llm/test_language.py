@@ -148,9 +148,28 @@ def test_predict_against_brute_force(spark):
 
 def test_more_languages_than_the_model_takes(spark):
     rows = [(f"the cat {w}", "en") for w in ("sat", "ran", "ate")] + [(f"der Hund {w}", "de") for w in ("ist", "war")] + [(f"noise {i}", f"l{i:03}") for i in range(600)]
-    old, language.MAX_LANGUAGES = language.MAX_LANGUAGES, 3
-    try:
-        model = language.train(spark.createDataFrame(rows, "text string, lang string"), PATH)
-    finally:
-        language.MAX_LANGUAGES = old
-    assert model.languages == ["de", "en", "l000"]
+    df = spark.createDataFrame(rows, "text string, lang string")
+    assert language.train(df, PATH, rounds=1, max_languages=3).languages == ["de", "en", "l000"]
+    assert len(language.train(df, PATH, rounds=1).languages) == 602
+
+
+def test_memory_does_not_grow_with_languages_and_texts(monkeypatch):
+    """Many languages, many words in a batch, and one text with more words than find room."""
+    import tracemalloc
+
+    vocab = language.vocabulary(PATH)
+    p = np.random.default_rng(7).random((len(vocab) + 1, 300)) / 100
+    model = language.Model(PATH, [f"l{k:03}" for k in range(300)], p)
+    rng = __import__("random").Random(7)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    texts = [" ".join(word() for _ in range(n)) for n in [20] * 60 + [3000] + [20] * 60]
+    want = list(model.score(texts))
+    monkeypatch.setattr(language, "KEPT", 300 * 500)
+    monkeypatch.setattr(language, "AT_ONCE", 300 * 31 * 50)
+    model._forget()
+    tracemalloc.start()
+    got = list(model.score(iter(texts)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [a for a, _ in got] == [a for a, _ in want] and np.allclose([b for _, b in got], [b for _, b in want], rtol=1e-6)
+    assert peak < 30_000_000, peak  # 5,400 words of 300 languages alone would be 13 MB, their forward pass 400 MB
