@@ -130,7 +130,7 @@ def _run(args: argparse.Namespace) -> int:
             print(pipeline.prune_label(spark, args.label, store, folders, dry_run=False))
         return 0
     messages, bridge = held_table(spark, args.messages, "messages"), held_table(spark, args.message_labels, "message_labels")
-    index = pipeline.corpus(pipeline.held_messages(messages, bridge, m.label_id), render.read_markdown(spark, folders.markdown), m.label_name)
+    index = pipeline.corpus(pipeline.held_messages(messages, bridge, m.label_id), render.read_headers(spark, folders.markdown), m.label_name)
     if args.command == "scan":
         entries = pipeline.scan(pipeline.read_listing(spark, m, pages, args.limit), index, store.read("articles"), m.label_name)
         shown, more = status.preview(entries, linkage.display_keys())

@@ -23,8 +23,8 @@ from .control import Control
 
 LOG = logging.getLogger(__name__)
 
-#: A task reads about so many articles.
-ARTICLES_A_TASK = 32
+#: A task reads about so many articles; a prune shows so many errors of files, and of folders.
+ARTICLES_A_TASK, SHOWN_ERRORS = 32, 100
 
 
 class ListingError(RuntimeError):
@@ -240,13 +240,15 @@ def prune_label(spark: SparkSession, label: str, store: state.StateStore, folder
     targets = prune.plan(own, sinks.files_in(spark, [folders.raw, folders.markdown, *([f"{folders.published}/{label}"] if folders.published else [])]))
     if dry_run:
         return {**prune.totals(targets).first().asDict(), "dry_run": True, "errors": []}
-    found = targets.select("article_id", "files", "directories").collect()  # a label's own articles
-    files, e1 = sinks.delete_paths(spark, [p for r in found for p in r.files])
-    folders_gone, e2 = sinks.delete_paths(spark, [p for r in found for p in r.directories])
-    ids = spark.createDataFrame([(r.article_id,) for r in found], "article_id string")
-    gone = state.number_of_ids(rows, ids)
+    targets = durable(targets)
+    done = []
+    for kind in ("files", "directories"):  # files first, so that folders are there as the plan saw them
+        gone = durable(sinks.delete_paths(targets.select(F.explode(kind).alias("path"))))
+        done.append((gone.where("gone").count(), [r.error for r in gone.where("error <> ''").orderBy("path").limit(SHOWN_ERRORS).collect()]))
+    ids = targets.select("article_id")
+    number = state.number_of_ids(rows, ids)
     store.merge("articles", ids, lambda old: state.without_ids(old, ids))
-    return {"files_removed": files, "directories_removed": folders_gone, "rows_removed": gone, "dry_run": False, "errors": e1 + e2}
+    return {"files_removed": done[0][0], "directories_removed": done[1][0], "rows_removed": number, "dry_run": False, "errors": done[0][1] + done[1][1]}
 
 
 def validate(mappings: DataFrame, bridge: DataFrame) -> DataFrame:

@@ -1,7 +1,10 @@
-"""Small files and folders on any of Hadoop's file systems, for the driver."""
+"""Small files and folders: on any of Hadoop's file systems for the driver, through Arrow's for tasks."""
 
 from __future__ import annotations
 
+import re
+
+from pyarrow import fs as arrow_fs
 from pyspark.sql import SparkSession
 
 
@@ -18,6 +21,11 @@ def arrow_path(spark: SparkSession, path: str) -> str:
     return uri.getPath() if uri.getScheme() == "file" else uri.toString()
 
 
+def opened(path: str) -> tuple[arrow_fs.FileSystem, str]:
+    """Arrow's file system of a path that Spark names, and the path in it; for tasks."""
+    return arrow_fs.FileSystem.from_uri(re.sub("^file:/+", "/", path))
+
+
 def names_in(spark: SparkSession, folder: str) -> list[str]:
     """Names of what lies in a folder, in order; none if there is no such folder."""
     where, fs = located(spark, folder)

@@ -9,10 +9,12 @@ journal, and goes, or with one, and is finished.
 from __future__ import annotations
 
 import json
+import os
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pandas as pd
 from pyarrow import fs as arrow_fs
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -125,26 +127,43 @@ def let_go(spark: SparkSession, folder: str) -> None:
     files.delete(spark, folder)
 
 
-def files_in(spark, folders: list[str]) -> DataFrame:
-    """``(path, is_dir)`` of what lies in folders, by Hadoop's file systems; missing folders are empty."""
-    rows = []
-    for f in folders:
-        where = spark._jvm.org.apache.hadoop.fs.Path(f)
-        fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
-        if fs.exists(where):
-            rows += [(s.getPath().toString(), s.isDirectory()) for s in fs.listStatus(where)]
-    return spark.createDataFrame(rows, "path string, is_dir boolean")
-
-
-def delete_paths(spark, paths: list[str]) -> tuple[int, list[str]]:
-    """Deletes files and folders; how many went, and what did not. What is not there any more counts as neither."""
-    gone, left = 0, []
-    for p in paths:
-        where = spark._jvm.org.apache.hadoop.fs.Path(p)
-        fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
-        if fs.exists(where):
-            if fs.delete(where, True):
-                gone += 1
-            else:
-                left.append(p)
-    return gone, left
+def files_in(spark: SparkSession, folders: list[str]) -> DataFrame:
+    """``(path, is_dir)`` of what lies in folders, listed by a task for each; missing folders are empty."""
+    named = spark.createDataFrame([(f.rstrip("/"), files.arrow_path(spark, f)) for f in dict.fromkeys(folders)], "folder string, at string").repartition(max(1, len(folders)))
+
+    def listed(batches):
+        for b in batches:
+            for folder, at in zip(b.folder, b["at"]):
+                system, root = files.opened(at)
+                found = system.get_file_info(arrow_fs.FileSelector(root, allow_not_found=True))
+                for i in range(0, len(found), 10_000):
+                    part = found[i : i + 10_000]
+                    yield pd.DataFrame({"path": [f"{folder}/{x.base_name}" for x in part], "is_dir": [x.type == arrow_fs.FileType.Directory for x in part]})
+
+    return named.mapInPandas(listed, "path string, is_dir boolean")
+
+
+def delete_paths(paths: DataFrame) -> DataFrame:
+    """Deletes the files and folders of ``paths(path)`` in tasks: ``(path, gone, error)`` of each.
+
+    What is not there any more is neither gone nor an error, so a task that runs
+    again reports less and deletes no more.
+    """
+
+    def delete(batches):
+        for b in batches:
+            out = []
+            for p in b["path"]:
+                try:
+                    system, at = files.opened(p if ":" in p or p.startswith("/") else os.path.abspath(p))
+                    kind = system.get_file_info(at).type
+                    if kind == arrow_fs.FileType.Directory:
+                        system.delete_dir(at)
+                    elif kind != arrow_fs.FileType.NotFound:
+                        system.delete_file(at)
+                    out.append((p, kind != arrow_fs.FileType.NotFound, ""))
+                except OSError as e:
+                    out.append((p, False, f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(out, columns=["path", "gone", "error"])
+
+    return paths.select("path").mapInPandas(delete, "path string, gone boolean, error string")

@@ -8,7 +8,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from docweir.operators import state
+from docweir.operators import render, state
 from docweir.plans import cli, pipeline, queries
 from docweir.plans.control import Control
 from docweir.sources import config, fetch, sinks, sqlite
@@ -92,11 +92,11 @@ def test_run_again_and_prune(spark, world, tmp_path):
     again = pipeline.run(spark, MAPPING, world, index, store, folders)
     assert (again.held, again.written, again.failed) == (4, 0, 3)
     assert store.last_run("News").first().articles_failed == 3
-    from docweir.operators.render import held_from_markdown, read_markdown
+    from docweir.operators.render import held_from_markdown, read_headers
 
-    back = held_from_markdown(read_markdown(spark, f"{tmp_path}/md"), "News").collect()
+    back = held_from_markdown(read_headers(spark, f"{tmp_path}/md"), "News").collect()
     assert {r.subject for r in back} == {"Cities at night", "Three letters", "Old one"}
-    assert pipeline.corpus(held(spark).limit(0), read_markdown(spark, f"{tmp_path}/md"), "News").count() == 3
+    assert pipeline.corpus(held(spark).limit(0), read_headers(spark, f"{tmp_path}/md"), "News").count() == 3
     plan = pipeline.prune_label(spark, "News", store, folders)
     done = pipeline.prune_label(spark, "News", store, folders, dry_run=False)
     assert {k: plan[k] for k in ("files_removed", "directories_removed", "rows_removed")} == {k: done[k] for k in ("files_removed", "directories_removed", "rows_removed")}
@@ -367,6 +367,21 @@ def test_fetch(spark):
     assert {r.url: r.error_class for r in fetch.from_store(urls, store).collect()}["https://x.test/gone"] == "FetchError"
 
 
+def test_headers_without_bodies(spark, tmp_path):
+    """What headers give is what whole files give; bodies are not read."""
+    head = '---\nid: "%d"\nsubject: "S %d"\nlabels: ["L"]\n---\n'
+    texts = ["", "---", "---\n", "no header\n---\n", " \t---\r\nsubject: \"x\"\nlabels: [\"L\"]\n", head % (1, 1) + "body\n" * 100, "---\n" + "k: v\n" * 38 + 'subject: "in"\nlabels: ["L"]\n', "---\n" + "k: v\n" * 39 + 'subject: "out"\nlabels: ["L"]\n---\n', head % (2, 2) + "x" * 3_000_000, "é---\n", "---\nsubject: \"ü\"\nlabels: [\"L\"]\n---"]
+    for i, t in enumerate(texts):
+        (tmp_path / f"a b_{i}.md").write_bytes(t.encode())
+    (tmp_path / "other.txt").write_text(head)
+    whole = spark.read.option("pathGlobFilter", "*.md").text(str(tmp_path), wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
+    heads = render.read_headers(spark, str(tmp_path))
+    key = lambda df: sorted(map(tuple, render.held_from_markdown(df, "L").collect()))
+    assert key(heads) == key(whole) and len(key(heads)) == 5
+    assert heads.count() == len(texts) - 1 and heads.agg(F.max(F.length("value"))).first()[0] < 10_000
+    assert render.read_headers(spark, f"{tmp_path}/none").count() == 0
+
+
 def pairs(spark, *rows):
     return spark.createDataFrame(list(rows), sinks.PAIRS)
 
@@ -383,7 +398,12 @@ def test_sinks_are_whole_or_absent(spark, tmp_path):
     sinks.let_go(spark, folder)
     assert sinks.staged(spark, md) == [] and sinks.staged(spark, f"{tmp_path}/none") == []
     assert sinks.files_in(spark, [f"{tmp_path}/r", f"{tmp_path}/none"]).count() == 1
-    assert sinks.delete_paths(spark, [f"{tmp_path}/r/i1.html", f"{tmp_path}/r/i1.html"]) == (1, [])
+    (tmp_path / "r" / "folder").mkdir()
+    (tmp_path / "r" / "folder" / "x").write_text("x")
+    assert {r.path: r.is_dir for r in sinks.files_in(spark, [f"{tmp_path}/r/"]).collect()} == {f"{tmp_path}/r/i1.html": False, f"{tmp_path}/r/folder": True}
+    paths = spark.createDataFrame([(f"{tmp_path}/r/{x}",) for x in ("i1.html", "folder", "none")], "path string")
+    assert {(r.path[-4:], r.gone, r.error) for r in sinks.delete_paths(paths).collect()} == {("html", True, ""), ("lder", True, ""), ("none", False, "")}
+    assert {r.gone for r in sinks.delete_paths(paths).collect()} == {False} and sinks.files_in(spark, [f"{tmp_path}/r"]).count() == 0
 
 
 def test_a_failed_job_leaves_no_file_and_a_task_that_runs_twice_one(spark, tmp_path):
