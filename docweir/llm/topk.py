@@ -162,17 +162,17 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, seed: int = 7) ->
     def read_block(b: dict) -> dict:
         return {"ids": np.frombuffer(b["ids"], np.int64), "rows": np.frombuffer(b["rows"], np.int64).reshape(-1, dims), "top": np.frombuffer(b["top"], np.int64), "low": np.frombuffer(b["low"], np.int64)}
 
-    # A group's maxima bound the score of all its rows; as a table they are small beside the rows, and broadcast up to a size.
+    # A group's maxima bound the score of all its rows; those of so many neighbouring groups together as make them fit are broadcast.
+    together = max(1, -(-groups * dims * 16 // BOUNDS_BYTES))
     bounds = "grp int, top binary, low binary"
 
     def widest(part: pa.Table) -> pa.Table:
         read = lambda c: np.stack([np.frombuffer(x.as_py(), np.int64) for x in part.column(c)])
         return pa.table({"grp": pa.array(part.column("grp").to_numpy()[:1], pa.int32()), "top": pa.array([read("top").max(axis=0).tobytes()]), "low": pa.array([read("low").min(axis=0).tobytes()])})
 
-    known = None
-    if groups * dims * 16 <= BOUNDS_BYTES:
-        got = blocks.select("grp", "top", "low").groupBy("grp").applyInArrow(widest, bounds).toArrow().to_pylist()
-        known = spark.sparkContext.broadcast((np.array([x["grp"] for x in got]), *(np.stack([np.frombuffer(x[c], np.int64) for x in got]) for c in ("top", "low"))))
+    by_group = blocks.select("grp", "top", "low").groupBy("grp").applyInArrow(widest, bounds)
+    got = by_group.withColumn("grp", F.floor(F.col("grp") / together).cast("int")).groupBy("grp").applyInArrow(widest, bounds).toArrow().to_pylist()
+    known = spark.sparkContext.broadcast((np.array([x["grp"] for x in got]), *(np.stack([np.frombuffer(x[c], np.int64) for x in got]) for c in ("top", "low"))))
 
     # Queries travel in chunks: ids, vectors and a score that each k-th is known to reach, from a bounded seed of blocks.
     # A chunk goes to the groups whose bound some of its queries can reach, with those queries alone.
@@ -191,18 +191,17 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, seed: int = 7) ->
                     if len(scores) == k:
                         floor[j] = scores[-1]
                 to = int(own[0]) % parts
-                if known is None:
-                    for g in range(groups):
-                        yield batch(chunk_out, [g], [to], [own.tobytes()], [q.tobytes()], [floor.tobytes()])
-                    continue
                 names, top, low = known.value
                 reach = _bounds(q, top, low) >= floor[:, None]
-                for g in np.flatnonzero(reach.any(axis=0)).tolist():
-                    at = reach[:, g]
-                    yield batch(chunk_out, [int(names[g])], [to], [own[at].tobytes()], [q[at].tobytes()], [floor[at].tobytes()])
+                for n in np.flatnonzero(reach.any(axis=0)).tolist():
+                    at = reach[:, n]
+                    for g in range(int(names[n]) * together, min(groups, (int(names[n]) + 1) * together)):
+                        yield batch(chunk_out, [g], [to], [own[at].tobytes()], [q[at].tobytes()], [floor[at].tobytes()])
 
     dealt = durable(queries.select("vec_id", "v").mapInArrow(pack_queries, chunk))
-    spread = blocks.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    # a block goes to those parts of the queries alone of which some ask for its group
+    asked = dealt.select(F.col("grp").alias("asked"), F.col("part").alias("by")).distinct()
+    spread = blocks.join(asked, F.col("grp") == F.col("asked")).select("grp", F.col("by").alias("part"), "ids", "rows", "top", "low")
     found = "query_id long, vec_id long, score long"
 
     def search(qs: pa.Table, bs: pa.Table) -> pa.Table:
@@ -225,5 +224,5 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, seed: int = 7) ->
 
 #: So many blocks give every query its first floor.
 SEED_BLOCKS = 16
-#: Group maxima of more bytes are not broadcast; queries then go to all groups. One task searches for so many queries at most.
+#: So many bytes of maxima are broadcast at most: of groups, or of as many neighbouring ones together as it takes. One task searches for so many queries at most.
 BOUNDS_BYTES, PART_QUERIES = 32_000_000, 65_536

@@ -59,7 +59,7 @@ def test_bounds_skip_blocks():
     assert got[0][1].tolist() == [200] * 4 and Counted.seen == 1
 
 
-def test_without_group_bounds_and_with_many_parts(spark, monkeypatch):
+def test_with_bounds_of_many_groups_together_and_many_parts(spark, monkeypatch):
     rng = random.Random(4)
     centres = [[rng.gauss(0, 3) for _ in range(6)] for _ in range(5)]
     rows = [(i, [x + rng.gauss(0, 0.1) for x in centres[i % 5]]) for i in range(600)]
@@ -67,8 +67,9 @@ def test_without_group_bounds_and_with_many_parts(spark, monkeypatch):
     monkeypatch.setattr(topk, "BLOCK_ROWS", 16)
     monkeypatch.setattr(topk, "PART_QUERIES", 25)
     assert run(spark, rows) == want
-    monkeypatch.setattr(topk, "BOUNDS_BYTES", 0)
-    assert run(spark, rows) == want
+    for room in (1, 200, 400):
+        monkeypatch.setattr(topk, "BOUNDS_BYTES", room)
+        assert run(spark, rows) == want
 
 
 def test_bounds_hold():
