@@ -17,7 +17,7 @@ STRIP = ("script", "style", "noscript", "template", "button", '[role="button"]',
 CONTENT = ("div.available-content", "article", "main", "div.post-content", "div.entry-content", "div.content")
 PAYWALL = ("div.paywall", ".paywall-jump", '[data-component-name*="Paywall"]')
 PRUNABLE = frozenset(["div", "span", "section", "figure"])
-MEANINGFUL = frozenset("img picture source video audio embed object svg canvas iframe hr br input".split())
+MEANINGFUL = frozenset(["img", "picture", "source", "video", "audio", "embed", "object", "svg", "canvas", "iframe", "hr", "br", "input"])
 TITLES = (('meta[property="og:title"]', "content"), ('meta[name="twitter:title"]', "content"), ("h1", ""), ("title", ""))
 DATES = (('meta[property="article:published_time"]', "content"), ('meta[name="publish_date"]', "content"), ('meta[property="og:published_time"]', "content"), ("time[datetime]", "datetime"), ("time", ""))
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +9,7 @@ from docweir.functions import jsonpath, text
 from docweir.functions.dates import iso_date
 from docweir.operators import articles, listing, probe, state, status
 from docweir.operators.articles import ArticleConfig
-from docweir.sources.durable import shared_folder
+from docweir.sources.durable import scratch
 
 from . import pipeline
 from .queries import documents, pages, query
@@ -120,7 +118,7 @@ def address_and_json_scalars(spark, sf):
 @query("SELECT CAST(k + 1 AS BIGINT) AS run_id, 'L' || k AS label_name, '2024-01-01' AS started_at, CASE WHEN k < 2 THEN '2024-01-02' END AS completed_at, CASE WHEN k < 2 THEN count(*) ELSE 0 END AS articles_listed, CASE WHEN k < 2 THEN count(*) FILTER (page_id % 4 = 0) ELSE 0 END AS articles_held, k = 1 AS dry_run FROM pages, (VALUES (0), (1), (2)) AS v(k) GROUP BY k")
 def run_audit(spark, sf):
     """Three runs, of which two are closed with what they counted."""
-    store = state.StateStore(spark, f"{shared_folder(spark)}/audit-{uuid.uuid4().hex}")
+    store = state.StateStore(spark, scratch(spark, "audit"))
     n = pages(spark, sf).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("page_id") % 4 == 0).alias("held")).first()
     for k in range(3):
         run_id = store.start_run(f"L{k}", "2024-01-01", dry_run=k == 1)

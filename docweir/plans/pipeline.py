@@ -211,11 +211,11 @@ def run(spark: SparkSession, m: Mapping, pages: DataFrame, index: DataFrame, sto
         number = F.pmod(F.xxhash64("article_id"), F.try_element_at(of, F.col("source_index"))).alias("batch")
         found = articles.with_pages(chosen.select("article_id", "url", "title", "published_at", "source_index", number), pages)
         if batches and not (control and control.stopped):
-            found.write.partitionBy("source_index", "batch").parquet(work)
+            found.write.partitionBy("source_index", "batch").parquet(f"{work}/pages")
         for i, k in [(i, k) for i, source in enumerate(m.sources) for k in range(batches.get(i, 0))]:
             if control and control.stopped:
                 break
-            where = f"{work}/source_index={i}/batch={k}"
+            where = f"{work}/pages/source_index={i}/batch={k}"
             if files.names_in(spark, where):
                 part = spark.read.parquet(where).repartition(-(-n[i] // (batches[i] * ARTICLES_A_TASK)))
                 sinks.stage(ready(part, m, m.sources[i]), folders.markdown)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from docweir.functions import jsonpath, text
 from docweir.functions.dates import parsed_date
 from docweir.operators import articles, linkage, listing, probe, prune, render, state, status
-from docweir.sources.durable import durable, shared_folder
+from docweir.sources.durable import durable, scratch
 from docweir.sources.tables import parquet
 
 PAGE_ITEMS, SUBJECT = 25, 60
@@ -637,11 +637,9 @@ def source_lookup(spark, sf):
 @query(f"WITH {REFS}, {PREFIX}, first AS (SELECT r.*, k.title_key FROM refs r JOIN (SELECT ord, title_key FROM (SELECT * FROM keyed QUALIFY row_number() OVER (PARTITION BY url_key ORDER BY ord) = 1)) k USING (ord)), kept AS (SELECT * FROM first WHERE title_key = '' UNION ALL SELECT * FROM (SELECT * FROM first WHERE title_key <> '' QUALIFY row_number() OVER (PARTITION BY title_key ORDER BY ord) = 1)) SELECT 'web-' || left(sha256(canonical), 16) AS article_id, url, CASE WHEN e.key IS NOT NULL OR p.key IS NOT NULL THEN 'held' ELSE 'open' END AS verdict FROM kept r LEFT JOIN idx e ON e.key = r.probe_title LEFT JOIN prefixes p ON p.ord = r.ord")
 def stream_backfill(spark, sf):
     """Pages as a file stream, merged into a state store by :mod:`docweir.streaming.stream`; similar titles count as open here."""
-    import uuid
-
     from docweir.streaming import stream
 
-    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    folder = scratch(spark, "stream")
     store = state.StateStore(spark, f"{folder}/state")
     arriving = stream.page_stream(spark, f"{sf}/[p]ages.parquet", pages(spark, sf).schema.simpleString()[7:-1].replace(":", " "))
     title = text.collapsed(text.html_unescaped(F.regexp_extract("html", r"(?s)<title>(.*?)</title>", 1)))

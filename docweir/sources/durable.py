@@ -8,6 +8,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import files
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that ``spark.checkpoint.dir`` names, which all executors share; a temporary one where all run in this process and it is unset."""
@@ -26,5 +28,9 @@ def durable(df: DataFrame) -> DataFrame:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder's path below the shared one; who uses it deletes it."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new folder below the shared one, which goes when the driver ends, if not before."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    where, fs = files.located(spark, path)
+    fs.mkdirs(where)
+    fs.deleteOnExit(where)
+    return path

@@ -141,3 +141,23 @@ def test_a_fault_of_one_document_is_its_own(spark, monkeypatch):
 
     monkeypatch.setattr(m, "to_markdown", lambda h: 1 / 0)
     assert m._converted("<p>") == (None, "ZeroDivisionError: division by zero")
+
+
+def test_a_report_parses_each_page_once(spark):
+    """The containers' links are counted as a search below each element would, and the report's plan reads markup in one place."""
+    rng = __import__("random").Random(4)
+
+    def markup(depth=0):
+        out = ""
+        for _ in range(rng.randint(0, 3)):
+            tag = rng.choice(["div", "li", "article", "a", "p", "ul"])
+            attrs = ' href="/x"' if tag == "a" and rng.random() < 0.8 else f' class="{rng.choice(["c", "long-one b", ""])}"'
+            out += f"<{tag}{attrs}>{markup(depth + 1) if depth < 5 else ''}</{tag}>"
+        return out
+
+    for _ in range(300):
+        tree = dom.parse(markup())
+        want = [{"pos": i, "selector": f"{n.tag}.{max(n.attrs['class'].split(), key=len)}"} for i, n in enumerate(tree.select("article, li, div")) if n.attrs.get("class", "").split() and 1 <= len(n.select("a[href]")) <= probe.MOST_LINKS]
+        assert probe._containers(tree) == want
+    plan = probe.report(spark.createDataFrame([("https://x.test/", "<p>"), (None, None)], "url string, html string"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInPandas" not in plan  # it was kept when the report was asked for

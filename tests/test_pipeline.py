@@ -76,7 +76,7 @@ def test_a_path_that_leads_to_no_list_is_an_error(spark, world):
 
 
 def test_run_again_and_prune(spark, world, tmp_path):
-    store = state.StateStore(spark, f"file://{tmp_path}/state")
+    store = state.StateStore(spark, f"file://{tmp_path}/state", buckets=2)
     folders = pipeline.Folders(f"{tmp_path}/raw", f"{tmp_path}/md", f"{tmp_path}/pub")
     index = pipeline.corpus(held(spark), None, "News")
     dry = pipeline.run(spark, MAPPING, world, index, store, folders, dry_run=True)
@@ -159,7 +159,7 @@ def test_command_lines(tmp_path):
 def test_cli(spark, world, tmp_path, capsys):
     config.Mappings(tmp_path / "m.json").save("News", JSON)
     world.write.parquet(f"{tmp_path}/pages")
-    base = ["--mappings", f"{tmp_path}/m.json", "--state", f"{tmp_path}/s", "--messages", f"{tmp_path}/none", "--pages", f"{tmp_path}/pages", "--raw", f"{tmp_path}/raw", "--markdown", f"{tmp_path}/md"]
+    base = ["--mappings", f"{tmp_path}/m.json", "--state", f"{tmp_path}/s", "--buckets", "2", "--messages", f"{tmp_path}/none", "--pages", f"{tmp_path}/pages", "--raw", f"{tmp_path}/raw", "--markdown", f"{tmp_path}/md"]
     assert cli.main([*base, "scan", "--label", "News"]) == 0
     assert cli.main([*base, "run", "--label", "News", "--limit", "2", "--dry-run"]) == 0 and "selected=2" in capsys.readouterr().out
     assert cli.main([*base, "validate"]) == 1 and cli.main([*base, "list"]) == 0
@@ -195,7 +195,7 @@ def test_held_messages_in_the_command_line(spark, world, tmp_path, capsys):
 
     def selected(label_id):
         config.Mappings(tmp_path / "m.json").save("News", {**JSON, "label_id": label_id})
-        base = ["--mappings", f"{tmp_path}/m.json", "--state", f"{tmp_path}/s", "--messages", f"{tmp_path}/messages", "--message-labels", f"{tmp_path}/bridge", "--pages", f"{tmp_path}/pages", "--raw", f"{tmp_path}/raw", "--markdown", f"{tmp_path}/md"]
+        base = ["--mappings", f"{tmp_path}/m.json", "--state", f"{tmp_path}/s", "--buckets", "2", "--messages", f"{tmp_path}/messages", "--message-labels", f"{tmp_path}/bridge", "--pages", f"{tmp_path}/pages", "--raw", f"{tmp_path}/raw", "--markdown", f"{tmp_path}/md"]
         code, _ = cli.main([*base, "validate"]), capsys.readouterr()
         assert cli.main([*base, "scan", "--label", "News"]) == 0
         held = {line.split("|")[3].strip() for line in capsys.readouterr().out.split("\n") if "|" in line and line.split("|")[1].strip() == "have"}
@@ -217,7 +217,7 @@ def agree(store, folders, label="News"):
 
 
 def test_stop_leaves_the_other_batches(spark, world, tmp_path):
-    store, folders = state.StateStore(spark, f"file://{tmp_path}/state"), pipeline.Folders(f"{tmp_path}/raw", f"{tmp_path}/md")
+    store, folders = state.StateStore(spark, f"file://{tmp_path}/state", buckets=2), pipeline.Folders(f"{tmp_path}/raw", f"{tmp_path}/md")
     index, heard = pipeline.corpus(held(spark), None, "News"), []
 
     def listen(p):
@@ -236,7 +236,7 @@ def test_stop_leaves_the_other_batches(spark, world, tmp_path):
     assert agree(store, folders) == 3
 
 
-def many(spark, n=60):
+def many(spark, n=28):
     """A listing of so many articles on one page."""
     posts = [{"u": f"https://x.test/p/{k}", "t": f"Article {k}", "d": "2026-05-01T00:00:00Z"} for k in range(n)]
     pages = [("https://x.test/api?o=0&n=3", json.dumps({"posts": posts}))] + [(p["u"], "<div class='content'><p>Body</p></div>") for p in posts]
@@ -246,7 +246,7 @@ def many(spark, n=60):
 def test_cancel_inside_a_job_loses_nothing(spark, tmp_path):
     """Cancelled when the first file is in its place, while a later batch is under way."""
     m, pages = many(spark)
-    store, folders = state.StateStore(spark, f"{tmp_path}/state", buckets=4), pipeline.Folders(f"{tmp_path}/raw", f"{tmp_path}/md")
+    store, folders = state.StateStore(spark, f"{tmp_path}/state", buckets=2), pipeline.Folders(f"{tmp_path}/raw", f"{tmp_path}/md")
     control, over = Control(spark), threading.Event()
 
     def watch():
@@ -257,19 +257,19 @@ def test_cancel_inside_a_job_loses_nothing(spark, tmp_path):
 
     t = threading.Thread(target=watch)
     t.start()
-    got = control.run("run", lambda c: pipeline.run(spark, m, pages, pipeline.corpus(held(spark), None, "News"), store, folders, control=c, batch=8))
+    got = control.run("run", lambda c: pipeline.run(spark, m, pages, pipeline.corpus(held(spark), None, "News"), store, folders, control=c, batch=4))
     over.set()
     t.join()
     last = store.last_run("News").first()
-    assert control.stopped and 0 < got.written < 60 and agree(store, folders) == got.written == last.articles_written and last.completed_at
-    assert {r.status: r.n for r in state.counts(store.read("articles"), "News").collect()} == {"done": got.written, "discovered": 60 - got.written}
+    assert control.stopped and 0 < got.written < 28 and agree(store, folders) == got.written == last.articles_written and last.completed_at
+    assert {r.status: r.n for r in state.counts(store.read("articles"), "News").collect()} == {"done": got.written, "discovered": 28 - got.written}
     rest = pipeline.run(spark, m, pages, pipeline.corpus(held(spark), None, "News"), store, folders)
-    assert rest.written == 60 - got.written and agree(store, folders) == 60 and sinks.staged(spark, folders.markdown) == []
+    assert rest.written == 28 - got.written and agree(store, folders) == 28 and sinks.staged(spark, folders.markdown) == []
 
 
 def test_what_a_killed_driver_left_is_finished(spark, tmp_path, monkeypatch):
     m, pages = many(spark, 6)
-    store, folders = state.StateStore(spark, f"{tmp_path}/state", buckets=4), pipeline.Folders(f"{tmp_path}/raw", f"{tmp_path}/md")
+    store, folders = state.StateStore(spark, f"{tmp_path}/state", buckets=2), pipeline.Folders(f"{tmp_path}/raw", f"{tmp_path}/md")
     index = pipeline.corpus(held(spark), None, "News")
 
     class Killed(BaseException):
@@ -293,7 +293,7 @@ def test_scan_shows_undated_first_and_then_the_oldest(spark, tmp_path, capsys):
     posts = [{"u": f"https://x.test/p/{k}", "t": f"Title {k}", **({"d": d} if d else {})} for k, d in enumerate(["2026-05-03T00:00:00Z", None, "2026-05-01T00:00:00Z", "2026-05-02T00:00:00Z"])]
     spark.createDataFrame([("https://x.test/api?o=0&n=3", json.dumps({"posts": posts}))], "url string, html string").write.parquet(f"{tmp_path}/pages")
     config.Mappings(tmp_path / "m.json").save("News", JSON)
-    assert cli.main(["--mappings", f"{tmp_path}/m.json", "--state", f"{tmp_path}/s", "--messages", f"{tmp_path}/none", "--pages", f"{tmp_path}/pages", "--raw", f"{tmp_path}/raw", "--markdown", f"{tmp_path}/md", "scan", "--label", "News"]) == 0
+    assert cli.main(["--mappings", f"{tmp_path}/m.json", "--state", f"{tmp_path}/s", "--buckets", "2", "--messages", f"{tmp_path}/none", "--pages", f"{tmp_path}/pages", "--raw", f"{tmp_path}/raw", "--markdown", f"{tmp_path}/md", "scan", "--label", "News"]) == 0
     assert re.findall(r"Title \d", capsys.readouterr().out) == ["Title 1", "Title 2", "Title 3", "Title 0"]
 
 
