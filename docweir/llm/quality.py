@@ -118,7 +118,8 @@ def _featured(rows: DataFrame, carried: str) -> DataFrame:
 def train(docs: DataFrame, labels: DataFrame, seed: int = 5, train_rows: int = TRAIN_ROWS) -> Ranking:
     """Fits the model on ``docs(doc_id, text)`` with ``labels(doc_id, quality)``.
 
-    At most ``train_rows`` labels are used, those with the smallest hashes, so
+    At most ``train_rows`` labels are used, those with the smallest hashes (and at
+    most twice as many rows, where ids repeat), so
     that side of the join and what the driver gets are bounded. Labels other
     than 0 and 1, and null ids, take no part; a repeated label counts each time.
     """
