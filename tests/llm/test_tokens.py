@@ -84,3 +84,33 @@ def test_counts(spark, docs):
 def test_empty_table(spark, docs):
     assert token_counts(docs.limit(0), public_path("byte_bpe_50k.json")).count() == 0
     assert bpe.decode(bpe.encode(docs.limit(0), public_path("word_bpe_49k.json")), public_path("word_bpe_49k.json")).count() == 0
+
+
+def test_rules_are_the_file_s_own(tmp_path):
+    """A file with another split pattern is cut by it; one whose rules are others is refused, not cut wrongly."""
+    import json
+
+    from docweir.llm import tokenizer
+
+    def changed(name, change):
+        spec = json.load(open(public_path(name), encoding="utf-8"))
+        change(spec)
+        path = tmp_path / f"{len(list(tmp_path.iterdir()))}.json"
+        path.write_text(json.dumps(spec))
+        return str(path)
+
+    def other_pattern(spec):
+        spec["pre_tokenizer"]["pretokenizers"][0]["pattern"] = {"Regex": r"(?:[\p{L}]+)|([\p{N}])"}
+
+    path = changed("word_bpe_49k.json", other_pattern)
+    text = "Ab12, c!3 über"
+    assert splitter(path)(text) == ["ab", "1", "2", "c", "3", "über"]
+    lib = Tokenizer.from_file(path)
+    assert [i for w in splitter(path)(text) for i in lib.encode(w, add_special_tokens=False).ids] == lib.encode(text, add_special_tokens=False).ids
+    assert tokenizer.rules(public_path("byte_bpe_50k.json")) == (tokenizer.BYTE_PATTERN, False) and tokenizer.rules(public_path("word_bpe_49k.json"))[1]
+    for name, change in (
+        ("word_bpe_49k.json", lambda s: s.update(normalizer=None)), ("word_bpe_49k.json", lambda s: s["normalizer"]["normalizers"].pop()), ("word_bpe_49k.json", lambda s: s["pre_tokenizer"]["pretokenizers"][0].update(behavior="Isolated")), ("word_bpe_49k.json", lambda s: s["pre_tokenizer"]["pretokenizers"][1].update(use_regex=True)),
+        ("byte_bpe_50k.json", lambda s: s["pre_tokenizer"].update(add_prefix_space=True)), ("byte_bpe_50k.json", lambda s: s.update(normalizer={"type": "Lowercase"})), ("byte_bpe_50k.json", lambda s: s.update(pre_tokenizer={"type": "Whitespace"})), ("byte_bpe_50k.json", lambda s: s.update(pre_tokenizer=None)),
+    ):
+        with pytest.raises(ValueError, match="not supported"):
+            splitter(changed(name, change))
