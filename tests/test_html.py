@@ -161,3 +161,17 @@ def test_a_report_parses_each_page_once(spark):
         assert probe._containers(tree) == want
     plan = probe.report(spark.createDataFrame([("https://x.test/", "<p>"), (None, None)], "url string, html string"))._jdf.queryExecution().optimizedPlan().toString()
     assert "MapInPandas" not in plan  # it was kept when the report was asked for
+
+
+def test_named_references_end_with_a_semicolon():
+    """One that is cut off or unknown stays as written, in text and attributes; markup that is not decoded stays as it is."""
+    tree = dom.parse('<h1 title="a&amp b&amp;c">x &amp;&amp</h1><a href="/q?a=1&copy=2&amp;b=3">&notice; &#65; &eacute;</a><script>a && b &amp c</script><!-- &lt -->')
+    assert tree.first("h1").line() == "x &&amp" and tree.first("h1").attrs["title"] == "a&amp b&c"
+    assert tree.first("a").attrs["href"] == "/q?a=1&copy=2&b=3" and tree.first("a").line() == "&notice; A é"
+    assert tree.first("script").html() == "<script>a && b &amp c</script>" and "<!-- &lt -->" in tree.html()
+    assert dom.parse("<p>\ufdd0 &amp\ufdd1</p>").first("p").line() == "\ufdd0 &amp\ufdd1"
+
+
+def test_title_cut_within_a_reference(spark):
+    pages = spark.createDataFrame([("https://x.test/", "<title>t</title><h1>A &amp;&amp</h1>")], "url string, html string")
+    assert articles.extracted(pages).first().page_title == "A &&amp"
