@@ -1,7 +1,8 @@
 """Which listed articles are held already: a chain of rules, each run on what the ones before left.
 
 Every rule is an equi-join on a derived key. Sides are never broadcast by hand:
-where one is small enough the optimiser sees its size.
+where one is small enough the optimiser sees its size. It does not see how many
+rows an explode makes of one, so what comes out of an explode is merged.
 """
 
 from __future__ import annotations
@@ -52,7 +53,8 @@ def prefix_matches(refs: DataFrame, index: DataFrame) -> DataFrame:
     probes = probes.select("ord", "p.rank", "p.probe").where(F.length("probe") >= MIN_PROBE)
     distinct = probes.select("probe").distinct()
     entry = F.struct("corpus_ord", "key", "message_id")
-    shorter = distinct.withColumn("key", F.explode(F.transform(F.sequence(F.lit(1), F.length("probe")), lambda n: F.left(F.col("probe"), n)))).join(index, "key").groupBy("probe").agg(F.min(entry).alias("m"))
+    begun = distinct.withColumn("key", F.explode(F.transform(F.sequence(F.lit(1), F.length("probe")), lambda n: F.left(F.col("probe"), n))))
+    shorter = begun.hint("merge").join(index, "key").groupBy("probe").agg(F.min(entry).alias("m"))
     # only keys that agree with some probe on the least length can go on
     begin = distinct.select(F.left("probe", F.lit(MIN_PROBE)).alias("begin")).distinct()
     longer = index.where(F.length("key") > MIN_PROBE).withColumn("begin", F.left("key", F.lit(MIN_PROBE))).join(begin, "begin", "left_semi")
@@ -128,7 +130,7 @@ def similar_pairs(probes: DataFrame, keys: DataFrame, cutoff: float) -> DataFram
     k = key_pieces(_letters(keys, "key", "k"), cutoff).withColumn("near", F.floor(F.col("start") / NEAR).cast("int"))
     common = sum((F.bit_count(F.col(f"p{i}").bitwiseAND(F.col(f"k{i}"))) for i in range(-(-len(ALPHABET) // 12))), F.least("p_rest", "k_rest"))
     both, moved, longer = F.length("probe") + F.col("n"), F.col("place") - F.col("start"), F.length("probe") - F.col("n")
-    met = p.join(k, ["piece", "near"]).where((F.abs(moved) + F.abs(longer - moved) <= _unmatched(both, cutoff)) & (2.0 * common >= F.lit(cutoff) * both - 1e-9))
+    met = p.hint("merge").join(k, ["piece", "near"]).where((F.abs(moved) + F.abs(longer - moved) <= _unmatched(both, cutoff)) & (2.0 * common >= F.lit(cutoff) * both - 1e-9))
     return met.select("probe", "key", "message_id").dropDuplicates(["probe", "key"])
 
 

@@ -114,3 +114,28 @@ def test_pieces_are_few_and_cover_the_key(spark):
         own = sorted((r.start, r.piece) for r in got if r.key == key)
         assert "".join(piece for _, piece in own) == key and all(key[s : s + len(piece)] == piece and piece for s, piece in own)
         assert len(own) > 0.1 * (len(key) + len(key) * 1.1 / 0.9) - 1e-6
+
+
+def broadcast_explodes(df):
+    """Explodes of sequences whose rows are broadcast as they come, by the physical plan."""
+    lines = df._jdf.queryExecution().executedPlan().toString().splitlines()
+    depth = [next((i for i, c in enumerate(x) if c.isalpha() or c in "*("), 0) for x in lines]
+    found = []
+    for i, x in enumerate(lines):
+        if "BroadcastExchange" in x:
+            for y, d in zip(lines[i + 1 :], depth[i + 1 :]):
+                if d <= depth[i] or "Exchange hashpartitioning" in y:
+                    break
+                found += [y] if "Generate explode(transform(sequence" in y else []
+    return found
+
+
+def test_exploded_rows_are_not_broadcast(spark, tmp_path):
+    """The optimiser takes an explode to be as small as its input; the driver would hold all rows of it."""
+    spark.createDataFrame([(0, "alpha-beta-gamma-delta-epsilon", "a")], "ord int, probe_title string, probe_slug string").write.parquet(f"{tmp_path}/refs")
+    spark.createDataFrame([("alpha-beta-gamma-delta", 0, "m0"), ("alpha-beta-gamma-delta-epsilox", 1, "m1")], KEYS).write.parquet(f"{tmp_path}/index")
+    refs, index = (spark.read.parquet(f"{tmp_path}/{x}") for x in ("refs", "index"))
+    found = linkage.prefix_matches(refs, index)
+    assert not broadcast_explodes(found) and [r.key for r in found.collect()] == ["alpha-beta-gamma-delta"]
+    similar = linkage.fuzzy_matches(refs, index)
+    assert not broadcast_explodes(similar) and [r.key for r in similar.collect()] == ["alpha-beta-gamma-delta-epsilox"]
