@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from docweir.functions import dom, embeds
 from docweir.functions.dates import parsed_date
+from docweir.functions.slices import parts
 from docweir.functions.text import html_escaped
 
 # What is stripped, where content is, marks of a preview, containers that may go, and what keeps them.
@@ -125,10 +130,13 @@ def extracted(pages: DataFrame, config: ArticleConfig = ArticleConfig()) -> Data
     """``pages(url, html, ...)`` with ``page_title, page_dates, content, preview, error_class, error``; a vectorised pass, no shuffle."""
     schema = "page_title string, page_dates array<string>, content string, preview boolean, error_class string, error string"
 
-    @F.pandas_udf(f"struct<{schema}>")
-    def run(url: pd.Series, html: pd.Series) -> pd.DataFrame:
-        rows = [_extract(u, h, config) for u, h in zip(url, html)]
-        return pd.DataFrame(rows, columns=["page_title", "page_dates", "content", "preview", "error_class", "error"])
+    out = pa.struct(list(to_arrow_schema(T._parse_datatype_string(schema))))
+
+    @F.arrow_udf(f"struct<{schema}>")
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for urls, pages_html in batches:
+            for html, url in parts(pages_html, urls):
+                yield pa.array([dict(zip(out.names, _extract(u, h, config))) for u, h in zip(url, html)], out)
 
     return pages.withColumn("_e", run("url", "html")).select(*pages.columns, "_e.*")
 

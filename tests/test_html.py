@@ -1,9 +1,10 @@
 import json
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from docweir.functions import dom, embeds
+from docweir.functions import dom, embeds, slices
 from docweir.functions.markdown import converted, to_markdown
 from docweir.operators import articles, probe
 from docweir.operators.articles import ArticleConfig
@@ -175,3 +176,12 @@ def test_named_references_end_with_a_semicolon():
 def test_title_cut_within_a_reference(spark):
     pages = spark.createDataFrame([("https://x.test/", "<title>t</title><h1>A &amp;&amp</h1>")], "url string, html string")
     assert articles.extracted(pages).first().page_title == "A &&amp"
+
+
+def test_pages_are_read_in_small_parts():
+    """No part is longer than the limit and a row, rows keep their order, and nulls, empty and very long texts are rows too."""
+    texts = ["x" * 300_000] * 9 + [None, "", "y" * 3_000_000, "z"] + ["w"] * 2500
+    got = list(slices.parts(pa.array(texts), pa.array(range(len(texts)))))
+    assert [t for part, _ in got for t in part] == texts and [i for _, ids in got for i in ids] == list(range(len(texts)))
+    assert all(len(part) <= 1000 and sum(len(t or "") for t in part[:-1]) <= slices.PART_BYTES for part, _ in got) and len(got) > 4
+    assert list(slices.parts(pa.array([], pa.string()))) == []
