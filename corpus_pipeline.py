@@ -17,7 +17,7 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates (five-word shingles, similarity 0.8 or more) the document with the smallest id stays."""
+    """Of each group of near-duplicates (proposed by SimHash; five-word shingles, similarity 0.8 or more) the document with the smallest id stays."""
     return jaccard.first_of_each_group(docs)
 
 
@@ -38,7 +38,7 @@ def tokenized(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("quality classifier", good_quality),
-    ("near-dedup", near_duplicates),
+    ("SimHash near-dedup", near_duplicates),
     ("benchmark decontamination", decontaminated),
     ("PII", without_personal_data),
     ("BPE encoding and decoding", tokenized),

@@ -1,4 +1,12 @@
-"""Near-duplicates by the Jaccard similarity of word shingles: bands of min-hashes propose pairs, the exact similarity decides.
+"""Near-duplicates by the Jaccard similarity of word shingles: SimHash fingerprints propose pairs, the exact similarity decides.
+
+One fingerprint over all shingles cannot propose pairs at 0.8: half of all bits
+tell nothing, and about a sixth of them differ. So a text has many short ones. In
+each the shingles stand in another random order and count by their place in it,
+each a little over half of what the one before counts: two texts have nearly the
+same fingerprint where they share the leading shingles. The anchors of
+:mod:`.simhash` bring together those of one kind that differ in a single bit, and
+texts whose fingerprints are equal or neighbours are compared.
 
 Between the two stand odd sketches: a bit for each of some hash values, set if an
 odd number of shingles has it. Bits in which two sketches differ are never more
@@ -15,6 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import simhash
 from .common import arrow_schema, durable, shuffle_width, sifted
 from .components import components
 from .simhash import keep_first, unite
@@ -22,14 +31,18 @@ from .simhash import keep_first, unite
 #: Shingles have so many words; texts are linked from this similarity, a fraction.
 SHINGLE_WORDS = 5
 THRESHOLD = (4, 5)
-#: Min-hashes: a pair at the threshold shares no band with a chance of (1 - 0.8 ** 4) ** 24, about 3 in a million.
-BANDS, ROWS = 24, 4
+#: A text has so many fingerprints, one with few shingles has more.
+PRINTS, FEW_SHINGLES, PRINTS_OF_FEW = 24, 16, 60
+#: So many shingles count for a fingerprint, each this fraction of the one before, in whole numbers: further ones would count a ten-thousandth.
+LEADING, RATIO = 16, 0.55
 #: A band with more texts than this is cut into slices, each pair of which is compared by itself.
 SLICE = 1024
 #: Words of sketches that are compared at once.
 AT_ONCE = 1 << 21
-_FACTORS, _OFFSETS = np.random.default_rng(5).integers(0, 1 << 64, (2, BANDS * ROWS), dtype=np.uint64)
+_FACTORS, _OFFSETS = np.random.default_rng(5).integers(0, 1 << 64, (2, PRINTS_OF_FEW, 1), dtype=np.uint64)
 _FACTORS |= np.uint64(1)
+_WEIGHTS = np.round((1 << 24) * RATIO ** np.arange(LEADING)).astype(np.int64)
+_KINDS = np.arange(PRINTS_OF_FEW, dtype=np.int64) << 32
 
 
 def _words(text: str | None) -> list[bytes]:
@@ -54,15 +67,24 @@ def shingles(text: str | None) -> np.ndarray:
     return np.unique(np.fromiter((xxhash.xxh64_intdigest(joined[a:b], 42) for a, b in zip(starts, ends)), np.uint64, n))
 
 
-def bands_of(h: np.ndarray) -> list[int]:
-    """A signed 64-bit value for each band of min-hashes; none without shingles."""
+def fingerprints_of(h: np.ndarray) -> list[int]:
+    """A weighted SimHash of 32 bits for each kind, with the kind's number above it; none without shingles.
+
+    A kind's values of the shingles give their order, and their lower halves the bits.
+    """
     if not len(h):
         return []
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    k = PRINTS if len(h) > FEW_SHINGLES else PRINTS_OF_FEW
+    first = np.zeros((k, 0), np.uint64)
     for i in range(0, len(h), 1024):
-        np.minimum(least, (h[i : i + 1024, None] * _FACTORS + _OFFSETS).min(axis=0), out=least)
-    raw = least.tobytes()
-    return np.array([xxhash.xxh64_intdigest(raw[8 * ROWS * k : 8 * ROWS * (k + 1)], k) for k in range(BANDS)], np.uint64).view(np.int64).tolist()
+        first = np.concatenate([first, h[None, i : i + 1024] * _FACTORS[:k] + _OFFSETS[:k]], axis=1)
+        if first.shape[1] > LEADING:
+            first = np.partition(first, LEADING - 1, axis=1)[:, :LEADING]
+    first.sort(axis=1)
+    m = first.shape[1]
+    bits = np.unpackbits(np.ascontiguousarray(first.astype("<u4")).view(np.uint8).reshape(k, m, 4), axis=2, bitorder="little")
+    votes = np.einsum("kmb,m->kb", bits.astype(np.int64), 2 * _WEIGHTS[:m]) > _WEIGHTS[:m].sum()
+    return (np.packbits(votes, axis=1, bitorder="little").view("<u4").ravel().astype(np.int64) | _KINDS[:k]).tolist()
 
 
 def odd_sketch(h: np.ndarray) -> bytes:
@@ -108,14 +130,14 @@ def forest(fp: np.ndarray, a: np.ndarray, b: np.ndarray, differ: np.ndarray) ->
 
 
 def _prints(docs: DataFrame) -> DataFrame:
-    schema = "doc_id long, fp long, n int, bands array<long>, odd binary"
+    schema = "doc_id long, fp long, n int, prints array<long>, odd binary"
     out = arrow_schema(T._parse_datatype_string(schema))
 
     def scan(batches):
         for b in batches:
             for i in range(0, len(b), 1000):
                 part = b.slice(i, 1000)
-                rows = [(key_of(t), len(h := shingles(t)), bands_of(h), odd_sketch(h)) for t in part.column(1).to_pylist()]
+                rows = [(key_of(t), len(h := shingles(t)), fingerprints_of(h), odd_sketch(h)) for t in part.column(1).to_pylist()]
                 key, *rest = zip(*rows)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.array(key, np.uint64).view(np.int64)), *[pa.array(c, f.type) for c, f in zip(rest, list(out)[2:])]], schema=out)
 
@@ -123,9 +145,20 @@ def _prints(docs: DataFrame) -> DataFrame:
 
 
 def _met(distinct: DataFrame) -> DataFrame:
-    """``(band, fp, tile)``: texts that share a band with others; a large band's in each pair of slices that they take part in."""
-    spread = distinct.select("fp", F.explode("bands").alias("band"))
-    crowded = spread.withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("band"))).where("size > 1")
+    """``(band, fp, tile)``: texts that share a band with others; a large band's in each pair of slices that they take part in.
+
+    A band is a fingerprint with those neighbours that fewer texts have, ties by
+    value, so that texts of a frequent one do not meet again around each neighbour.
+    """
+    spread = durable(distinct.select("fp", F.explode("prints").alias("print")))
+    counted = durable(spread.groupBy("print").agg(F.count(F.lit(1)).alias("n")))
+    near = durable(simhash.neighbours(counted.select(F.col("print").alias("fp"))))
+    sized = [counted.select(F.col("print").alias(c), F.struct("n", "print").alias(f"n{c}")) for c in ("u", "v")]
+    ranked = near.join(sized[0], "u").join(sized[1], "v")
+    around = durable(ranked.select(F.least("nu", "nv")["print"].alias("print"), F.greatest("nu", "nv")["print"].alias("band")))
+    own = counted.where("n > 1").select("print").unionByName(around.select(F.col("band").alias("print"))).distinct()
+    shared = durable(around.unionByName(own.withColumn("band", F.col("print"))))
+    crowded = spread.join(shared, "print").select("band", "fp").withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("band")))
     slices, own = F.ceil(F.col("size") / SLICE).cast("int"), F.pmod(F.xxhash64("fp"), F.ceil(F.col("size") / SLICE)).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), slices - 1), lambda j: F.least(own, j) * slices + F.greatest(own, j))
     return durable(crowded.select("band", "fp", F.explode(F.when(slices > 1, pairs).otherwise(F.array(F.lit(0)))).alias("tile")))
@@ -181,7 +214,7 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def links(distinct: DataFrame, rows: DataFrame) -> DataFrame:
-    """``(u, v)`` links that join the same texts as all pairs that share a band and reach the threshold.
+    """``(u, v)`` links that join the same texts as all pairs that share a band of fingerprints and reach the threshold.
 
     The pairs of spanning forests are verified first; after that only those
     pairs that lie between texts not yet joined. So a large group of copies
@@ -208,7 +241,7 @@ def groups(docs: DataFrame) -> DataFrame:
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     prints = durable(_prints(rows))
-    distinct = durable(prints.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.min("n").alias("n"), F.first("bands").alias("bands"), F.first("odd").alias("odd")))
+    distinct = durable(prints.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.min("n").alias("n"), F.first("prints").alias("prints"), F.first("odd").alias("odd")))
     found = durable(components(links(distinct, rows)).select(F.col("node").alias("fp"), "component"))
     smallest = durable(found.join(distinct.select("fp", "first_id"), "fp").groupBy("component").agg(F.min("first_id").alias("smallest")))
     grouped = durable(found.join(smallest, "component").select("fp", "smallest"))

@@ -12,7 +12,7 @@ block. Whoever lives at an anchor is compared with all that came there.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from itertools import combinations, product
 
 import numpy as np
@@ -34,6 +34,8 @@ GOLAY = (0b101011100011, 23, 3)
 HAMMING = (0b1011, 7, 1)
 #: At an anchor with more residents than this the residents are split into slices, each compared by its own task.
 SLICE = 512
+#: Short fingerprints are dealt into so many buckets for each shuffle partition.
+NEIGHBOUR_BUCKETS = 8
 
 
 class Block:
@@ -164,12 +166,10 @@ def unite(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             parent = up
 
 
-def _links_of(anchor: np.ndarray, fp: np.ndarray, lives: np.ndarray, max_bits: int, at_once: int = 1 << 21) -> tuple[np.ndarray, np.ndarray]:
-    """Compares at each anchor; links enough to join what is alike, at most one for each fingerprint."""
-    nodes, local = np.unique(fp, return_inverse=True)
-    parent = np.arange(len(nodes))
+def _near(anchor: np.ndarray, fp: np.ndarray, lives: np.ndarray, max_bits: int, at_once: int = 1 << 21) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Compares at each anchor whoever lives there with all that came; places of those within ``max_bits``."""
     order = np.argsort(anchor, kind="stable")
-    anchor, fp, local, lives = anchor[order], fp[order], local[order], lives[order]
+    anchor, lives = anchor[order], lives[order]
     cuts = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]])
     group = np.cumsum(np.r_[True, anchor[1:] != anchor[:-1]]) - 1
     size = np.diff(np.r_[cuts, len(anchor)])
@@ -188,37 +188,81 @@ def _links_of(anchor: np.ndarray, fp: np.ndarray, lives: np.ndarray, max_bits: i
             else:
                 a = np.repeat(homes[i:j], w)
                 b = np.arange(len(a)) - np.repeat(np.cumsum(w) - w, w) + np.repeat(cuts[group[homes[i:j]]], w)
+            a, b = order[a], order[b]
             near = np.bitwise_count(fp[a] ^ fp[b]) <= max_bits
-            parent = unite(parent, local[a[near]], local[b[near]])
+            yield a[near], b[near]
         i = j
+
+
+def _links_of(anchor: np.ndarray, fp: np.ndarray, lives: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links enough to join what is alike, at most one for each fingerprint."""
+    nodes, local = np.unique(fp, return_inverse=True)
+    parent = np.arange(len(nodes))
+    for a, b in _near(anchor, fp, lives, max_bits):
+        parent = unite(parent, local[a], local[b])
     moved = np.flatnonzero(parent != np.arange(len(nodes)))
     return nodes[moved], nodes[parent[moved]]
 
 
+def _pairs_of(anchor: np.ndarray, fp: np.ndarray, lives: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """All that is alike, the one that lives at the anchor first."""
+    found = [(fp[a[a != b]], fp[b[a != b]]) for a, b in _near(anchor, fp, lives, max_bits)]
+    return tuple(np.concatenate([np.zeros(0, np.uint64), *x]) for x in zip(*found)) if found else (fp[:0], fp[:0])
+
+
 def links(distinct: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """``(u, v)`` links that join the same fingerprints as all pairs within ``max_bits`` of ``distinct(fp long)``.
+    """``(u, v)`` links that join the same fingerprints as all pairs within ``max_bits`` of ``distinct(fp long)``."""
+
+    def places(fp: np.ndarray):
+        for half in (0, 1):
+            rows, word, lives = code.anchors((fp.view(np.uint64) >> np.uint64(32 * half)).astype(np.uint32))
+            yield rows, np.full(len(rows), half), word, lives
+
+    code = CoveringCode(max_bits // 2)
+    return _compared(distinct, places, lambda *x: _links_of(*x, max_bits), shuffle_width(distinct.sparkSession))
+
+
+def neighbours(distinct: DataFrame) -> DataFrame:
+    """``(u, v)``: all pairs of ``distinct(fp long)`` that differ in a single bit of the lower 32, and not in the upper ones.
+
+    Above its 32 bits a fingerprint has the number of its kind, below 256. One of
+    a pair has an even number of bits, ``u``, the other an odd one: the even ones
+    live at their anchors and only the odd ones travel. A fingerprint has 32
+    neighbours at most, so pairs grow as fingerprints do.
+    """
+
+    def places(fp: np.ndarray):
+        bits = fp.view(np.uint64).astype(np.uint32)
+        rows, word, lives = code.anchors(bits)
+        even = (np.bitwise_count(bits) & 1 == 0)[rows]
+        met = lives | ~even
+        yield rows[met], (fp >> 32)[rows[met]], word[met], (lives & even)[met]
+
+    code = CoveringCode(1)
+    # texts have many of these fingerprints, so they are dealt into more buckets
+    return _compared(distinct, places, lambda *x: _pairs_of(*x, 1), NEIGHBOUR_BUCKETS * shuffle_width(distinct.sparkSession))
+
+
+def _compared(distinct: DataFrame, places: Callable, found: Callable, buckets: int) -> DataFrame:
+    """What ``found(anchor, fp, lives)`` tells of each bucket of anchors, as ``(u, v)``.
 
-    An anchor with many residents is split into slices, each with a part of the
-    residents and all that came to the anchor.
+    ``places(fp)`` yields row numbers, halves or kinds, anchors, and whether the
+    row lives there. An anchor with many residents is split into slices, each with
+    a part of the residents and all that came to the anchor.
     """
-    threshold = max_bits // 2
-    width = shuffle_width(distinct.sparkSession)
     anchored = "half int, anchor long, fp long, lives boolean"
     out = arrow_schema(T._parse_datatype_string(anchored))
 
     def spread(residents_only: bool):
         def run(batches):
-            code = CoveringCode(threshold)
             for b in batches:
                 fp = b.column(0).to_numpy()
-                for half in (0, 1):
-                    bits = (fp.view(np.uint64) >> np.uint64(32 * half)).astype(np.uint32)
-                    rows, word, lives = code.anchors(bits)
+                for rows, half, word, lives in places(fp):
                     if residents_only:
-                        rows, word, lives = rows[lives], word[lives], lives[lives]
+                        rows, half, word, lives = rows[lives], half[lives], word[lives], lives[lives]
                     for i in range(0, len(rows), 1 << 16):
-                        r = rows[i : i + (1 << 16)]
-                        yield batch(out, np.full(len(r), half), word[i : i + (1 << 16)].astype(np.int64), fp[r], lives[i : i + (1 << 16)])
+                        k = slice(i, i + (1 << 16))
+                        yield batch(out, half[k], word[k].astype(np.int64), fp[rows[k]], lives[k])
 
         return run
 
@@ -230,16 +274,17 @@ def links(distinct: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     dealt = dealt.join(heavy, ["half", "anchor"], "left") if heavy.take(1) else dealt.withColumn("slices", F.lit(None).cast("int"))
     own = F.pmod(F.xxhash64("fp"), F.col("slices")).cast("int")
     dealt = dealt.withColumn("slice", F.explode(F.when(F.col("slices").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("slices") - 1))))
-    dealt = dealt.withColumn("lives", F.col("lives") & (F.col("slices").isNull() | (F.col("slice") == own)))
-    dealt = dealt.withColumn("bucket", F.pmod(F.xxhash64("half", "anchor", "slice"), F.lit(width)).cast("int"))
+    here = F.col("lives") & (F.col("slices").isNull() | (F.col("slice") == own))
+    # one long for the place: 32 bits of the anchor, 8 of the half or kind, 1 for residents, the rest for the slice
+    place = F.col("anchor").bitwiseOR(F.shiftleft(F.col("half").cast("long"), 32)).bitwiseOR(F.shiftleft(here.cast("long"), 40)).bitwiseOR(F.shiftleft(F.col("slice").cast("long"), 41))
+    dealt = dealt.select(F.pmod(F.xxhash64("half", "anchor", "slice"), F.lit(buckets)).cast("int").alias("bucket"), place.alias("place"), "fp")
 
     def compare(part: pa.Table) -> pa.Table:
-        key = part.column("anchor").to_numpy().astype(np.uint64) | (part.column("half").to_numpy().astype(np.uint64) << np.uint64(32))
-        key ^= part.column("slice").to_numpy().astype(np.uint64) << np.uint64(33)
-        u, v = _links_of(key, part.column("fp").to_numpy().view(np.uint64), part.column("lives").to_numpy(), max_bits)
+        place, resident = part.column("place").to_numpy().view(np.uint64), np.uint64(1 << 40)
+        u, v = found(place & ~resident, part.column("fp").to_numpy().view(np.uint64), place & resident != 0)
         return pa.table({"u": pa.array(u.view(np.int64)), "v": pa.array(v.view(np.int64))})
 
-    return dealt.select("bucket", "half", "anchor", "slice", "fp", "lives").groupBy("bucket").applyInArrow(compare, "u long, v long")
+    return dealt.groupBy("bucket").applyInArrow(compare, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:

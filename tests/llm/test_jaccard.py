@@ -3,7 +3,7 @@ import random
 import numpy as np
 
 import corpus_pipeline
-from docweir.llm import jaccard
+from docweir.llm import jaccard, simhash
 
 
 def brute(rows):
@@ -112,3 +112,57 @@ def test_slices_change_nothing(spark):
             assert got.columns == docs.columns and sorted(r.doc_id for r in got.collect()) == want
         finally:
             jaccard.SLICE = old
+
+
+def brute_print(h, kind):
+    """A kind's fingerprint in plain Python."""
+    mixed = sorted((x * int(jaccard._FACTORS[kind, 0]) + int(jaccard._OFFSETS[kind, 0])) % (1 << 64) for x in h)[: jaccard.LEADING]
+    weights = [round((1 << 24) * jaccard.RATIO**i) for i in range(len(mixed))]
+    return kind << 32 | sum(1 << b for b in range(32) if sum(w if x >> b & 1 else -w for x, w in zip(mixed, weights)) > 0)
+
+
+def test_fingerprints_propose_what_is_alike():
+    assert jaccard.fingerprints_of(jaccard.shingles(None)) == []
+    rng = np.random.default_rng(7)
+    for n in (1, 2, 16, 17, 900, 3000):
+        h = np.unique(rng.integers(0, 1 << 64, n, dtype=np.uint64))
+        kinds = jaccard.PRINTS if n > jaccard.FEW_SHINGLES else jaccard.PRINTS_OF_FEW
+        assert jaccard.fingerprints_of(h) == [brute_print(h.tolist(), k) for k in range(kinds)]
+    # by the share of fingerprints that agree at a similarity of 0.8, few pairs in a million go unproposed
+    for both, a, b in ((4, 1, 0), (8, 1, 1), (16, 4, 0), (16, 2, 2), (40, 10, 0), (160, 20, 20)):
+        agree, n = 0, 400
+        for _ in range(n):
+            h = rng.integers(0, 1 << 64, both + a + b, dtype=np.uint64)
+            x, y = (np.array(jaccard.fingerprints_of(p)) for p in (h[: both + a], np.r_[h[:both], h[both + a :]]))
+            m = min(len(x), len(y))
+            agree += (np.bitwise_count(x[:m] ^ y[:m]) <= 1).mean()
+        assert (1 - agree / n) ** m < 5e-6
+
+
+def test_bands_are_fingerprints_with_their_neighbours(spark):
+    """Texts meet where fingerprints of one kind are equal or, by all pairs, a bit apart."""
+    texts = edited_groups(random.Random(8), 4, 12)
+    prints = [jaccard.fingerprints_of(jaccard.shingles(t)) for t in texts]
+    distinct = spark.createDataFrame([(i, p) for i, p in enumerate(prints)], "fp long, prints array<long>")
+    want, pairs = set(), set()
+    for column in zip(*prints):
+        near = {(v, w) for v in column for w in column if (v ^ w).bit_count() == 1 and (v & 0xFFFFFFFF).bit_count() % 2 == 0}
+        pairs |= near
+        rank = lambda v: (column.count(v), v)  # noqa: B023, E731
+        for v in set(column):
+            with_it = {v} | {w for pair in near if v in pair for w in pair if rank(w) < rank(v)}
+            texts_of = frozenset(i for i, w in enumerate(column) if w in with_it)
+            if len(texts_of) > 1:
+                want.add((v, texts_of))
+    old = simhash.SLICE
+    for simhash.SLICE in (old, 2):
+        try:
+            flat = spark.createDataFrame([(v,) for v in {v for p in prints for v in p}], "fp long")
+            found = list(map(tuple, simhash.neighbours(flat).collect()))
+            assert len(found) == len(set(found)) > 50 and set(found) == pairs
+        finally:
+            simhash.SLICE = old
+    got = {}
+    for r in jaccard._met(distinct).collect():
+        got.setdefault(r.band, set()).add(r.fp)
+    assert {(b, frozenset(g)) for b, g in got.items()} == want
